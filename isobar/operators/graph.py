@@ -102,25 +102,26 @@ def add_graph_scores(
         for name, k, cap in configs
     }
     per_query = capped.groupBy("query_id", "train_query").agg(*[w.alias(f"w_{n}") for n, w in weights.items()])
-    norms = per_query.groupBy("query_id").agg(
-        *[(F.coalesce(F.sum(f"w_{n}"), F.lit(0.0)) + NORM_OFFSET).alias(f"n_{n}") for n, _, _ in configs]
+    # The normaliser is a sum over the same query partition, so it costs no further shuffle.
+    everything = Window.partitionBy("query_id")
+    shares = per_query.select(
+        "query_id",
+        "train_query",
+        *[
+            (F.col(f"w_{n}") / (F.sum(f"w_{n}").over(everything) + NORM_OFFSET)).alias(f"w_{n}")
+            for n, _, _ in configs
+        ],
     )
     spread = (
-        per_query.join(edges.select("train_query", "candidate_id", "weight"), "train_query")
+        shares.join(edges.select("train_query", "candidate_id", "weight"), "train_query")
         .groupBy("query_id", "candidate_id")
         .agg(*[F.sum(F.col(f"w_{n}") * F.col("weight")).alias(f"p_{n}") for n, _, _ in configs])
     )
     return (
         pool.withColumn("candidate_id", F.col("candidate_id").cast("string"))
         .join(spread, ["query_id", "candidate_id"], "left")
-        .join(norms, "query_id", "left")
-        .withColumns(
-            {
-                n: F.coalesce(F.col(f"p_{n}") / F.col(f"n_{n}"), F.lit(0.0)).cast("float")
-                for n, _, _ in configs
-            }
-        )
-        .drop(*[f"{p}_{n}" for n, _, _ in configs for p in ("p", "n")])
+        .withColumns({n: F.coalesce(F.col(f"p_{n}"), F.lit(0.0)).cast("float") for n, _, _ in configs})
+        .drop(*[f"p_{n}" for n, _, _ in configs])
     )
 
 

@@ -203,7 +203,9 @@ class VectorIndex:
             F.col(vector_col).cast(f"array<{self.element}>").alias("vec"),
         )
         plan = {
-            "probes": self.probes,
+            "ids": self.probes.ids,
+            "groups": self.probes.groups,
+            "vectors": self.probes.vectors,
             "radii": self.radii,
             "k": k,
             "exclude_self": exclude_self,
@@ -328,17 +330,17 @@ def _route(shared, dimension: int, dtype):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
-        probes, radii, k = plan["probes"], plan["radii"], plan["k"]
+        radii, k = plan["radii"], plan["k"]
         filled = np.flatnonzero(~np.isnan(radii[:, 0]))
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             matrix = _matrix(_column(batch, "vec"), dimension, dtype)
-            squared = _gram_distance(matrix, probes.vectors)
+            squared = _gram_distance(matrix, plan["vectors"])
             to_pivot = np.sqrt(squared[:, filled])
-            blocked = _same(_labels(_column(batch, "grp")), probes.groups)
+            blocked = _same(_labels(_column(batch, "grp")), plan["groups"])
             if plan["exclude_self"]:
-                blocked |= _same(_labels(_column(batch, "id")), probes.ids)
+                blocked |= _same(_labels(_column(batch, "id")), plan["ids"])
             squared[blocked] = np.inf
             if squared.shape[1] >= k:
                 bound = np.sqrt(np.partition(squared, k - 1, axis=1)[:, k - 1])

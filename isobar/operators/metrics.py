@@ -87,8 +87,8 @@ def list_metrics(
     hit20 = F.col("hit") & (F.col("rank") <= 20)
     folded = marked.groupBy(*keys).agg(
         F.max("n_relevant").alias("n_relevant"),
-        F.count_distinct(F.when(hit10, F.col("candidate_id"))).alias("hits_10"),
-        F.count_distinct(F.when(hit20, F.col("candidate_id"))).alias("hits_20"),
+        F.size(F.collect_set(F.when(hit10, F.col("candidate_id")))).alias("hits_10"),  # at most ten
+        F.size(F.collect_set(F.when(hit20, F.col("candidate_id")))).alias("hits_20"),  # at most twenty
         F.sort_array(F.collect_list(F.when(hit10, F.col("rank")))).alias("hit_ranks"),  # at most ten
     )
     size = F.col("n_relevant") if denominator == "pool" else F.lit(fixed_size)
@@ -105,6 +105,25 @@ def list_metrics(
     )
 
 
+def array_metrics(ids: Column, relevant: Column) -> dict[str, Column]:
+    """The same metrics for a ranked array of at most 20 ids and the array of relevant ids."""
+    count = F.size(relevant)
+    first = F.slice(ids, 1, 10)
+    places = F.filter(
+        F.transform(first, lambda x, i: F.when(F.array_contains(relevant, x), i + 1)), lambda p: p.isNotNull()
+    )
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda t, x: t + x)
+
+    return {
+        "recall_at_10": F.size(F.array_intersect(first, relevant)) / count,
+        "recall_at_20": F.size(F.array_intersect(F.slice(ids, 1, 20), relevant)) / count,
+        "ndcg_at_10": total(F.transform(places, lambda p: F.lit(1.0) / F.log2(p + 1.0))) / ideal_dcg(count, 10),
+        "map_at_10": total(F.transform(places, lambda p, i: (i + 1) / p)) / F.least(F.lit(10), count),
+    }
+
+
 def macro_metrics(per_query: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return per_query.groupBy(*keys).agg(
         *[F.avg(m).alias(m) for m in METRICS], F.count(F.lit(1)).alias("query_count")
@@ -186,5 +205,5 @@ def ranked_binary_metrics(
             F.coalesce(F.sum(F.when(hit & (F.col("rank") <= ndcg_k), discount("rank"))), F.lit(0.0))
             / ideal_dcg(F.max("n_relevant"), ndcg_k)
         ).alias("ndcg"),
-        F.count_distinct(F.when(hit & (F.col("rank") <= count_k), F.col("candidate_id"))).alias("relevant_at_k"),
+        F.size(F.collect_set(F.when(hit & (F.col("rank") <= count_k), F.col("candidate_id")))).alias("relevant_at_k"),
     )

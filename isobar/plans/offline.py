@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isobar.operators.anchor import anchor_merge
@@ -17,12 +18,14 @@ from isobar.operators.features import (
     add_derived_features,
     labels,
     model_matrix,
+    query_z,
     train_medians,
 )
 from isobar.operators.graph import add_graph_features, label_graph_edges
 from isobar.operators.metrics import (
     METRICS,
     RETAINED_BASELINE,
+    array_metrics,
     composite,
     macro_metrics,
     promotion_gates,
@@ -48,6 +51,12 @@ VALIDATION_FLOORS = {"ndcg_at_10": 0.86, "map_at_10": 0.80, "recall_at_10": 0.41
 MIN_KEEP = 1
 
 
+GRID = (
+    "array<struct<model_name:string,model:int,blend_name:string,"
+    "wb:float,wm:float,wg:float,wc:float,ws:float>>"
+)
+
+
 def ledger(
     scored: DataFrame,
     anchors: DataFrame,
@@ -59,30 +68,67 @@ def ledger(
 ) -> DataFrame:
     """Validation metrics of every model, blend and anchor count, as one plan.
 
-    ``scored`` carries one score column per model (``models`` maps name to column). Rows are shuffled by
-    query once; profiles are expanded, ranked, cut to 20 and merged on that partitioning, and only
-    per-query metrics leave it.
+    ``scored`` carries one score column per model (``models`` maps name to column). A query becomes one row
+    with its pool (bounded by the candidate limit), its first anchors and its relevant ids; profiles are
+    then expanded and ranked inside that row, so the grid adds no shuffle and no sort of the table.
     """
     blends = list(blends if blends is not None else profile_grid())
-    local = scored.repartition("query_id")
-    per_model = []
-    for name, column in models.items():
-        terms = score_terms(local, column)
-        profiles = F.array(
-            *[F.struct(F.lit(b.name).alias("blend_name"), blend_score(b).alias("score")) for b in blends]
-        )
-        per_model.append(
-            terms.select("query_id", "candidate_id", F.lit(name).alias("model_name"), F.explode(profiles).alias("p"))
+    names = list(models)
+    terms = score_terms(scored, models[names[0]]).drop("z_model")
+    terms = terms.withColumns({f"z_model_{i}": query_z(F.coalesce(F.col(models[n]).cast("double"), F.lit(0.0))) for i, n in enumerate(names)})
+    pools = terms.groupBy("query_id").agg(
+        F.collect_list(
+            F.struct(
+                "candidate_id", "z_base", "z_graph", "z_calibrated", "z_source",
+                F.array(*[F.col(f"z_model_{i}") for i in range(len(names))]).alias("z_models"),
+            )
+        ).alias("pool")
+    )
+    heads = (
+        anchors.select("query_id", F.col("candidate_id").cast("string").alias("id"), F.col("rank").cast("int").alias("rank"))
+        .withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id")))
+        .filter(F.col("place") <= max(keeps))
+        .groupBy("query_id")
+        .agg(F.array_sort(F.collect_list(F.struct("place", "id"))).getField("id").alias("heads"))
+    )
+    wanted = relevant.groupBy("query_id").agg(F.collect_set("candidate_id").alias("relevant"))
+    rows = [
+        {
+            "model_name": n, "model": i, "blend_name": b.name,
+            "wb": b.base, "wm": b.model, "wg": b.graph, "wc": b.calibrated, "ws": b.source,
+        }
+        for i, n in enumerate(names)
+        for b in blends
+    ]
+    grid = F.from_json(F.lit(json.dumps(rows)), GRID)  # one constant, folded by the optimizer
+    profiles = (
+        pools.join(wanted, "query_id")
+        .join(heads, "query_id", "left")
+        .withColumn("heads", F.coalesce("heads", F.array().cast("array<string>")))
+        .withColumn("g", F.explode(grid))
+    )
+
+    def blended(r: Column) -> Column:
+        """Sort key of a pool row: descending score, then candidate id."""
+        score = (
+            F.col("g.wb") * r["z_base"]
+            + F.col("g.wm") * r["z_models"][F.col("g.model")]
+            + F.col("g.wg") * r["z_graph"]
+            + F.col("g.wc") * r["z_calibrated"]
+            + F.col("g.ws") * r["z_source"]
         )
-    stacked = per_model[0]
-    for other in per_model[1:]:
-        stacked = stacked.unionByName(other)
-    flat = stacked.select("query_id", "candidate_id", "model_name", "p.blend_name", "p.score")
-    lists = ["query_id", "model_name", "blend_name"]
-    proposals = rank_proposals(flat, keys=lists).select(*lists, "candidate_id", "rank")
-    merged = keep_grid(anchors, proposals, lists, keeps)
-    names = [*lists, "keep_top"]
-    per_query = query_metrics(merged, relevant, keys=names)
+        return F.struct((-score).alias("s"), r["candidate_id"].alias("id"))
+
+    ranked = profiles.select(
+        "query_id", "relevant", "heads", "g.model_name", "g.blend_name",
+        F.slice(F.array_sort(F.transform("pool", blended)), 1, 20).getField("id").alias("ids"),
+    ).withColumn("keep_top", F.explode(F.array(*[F.lit(k) for k in keeps])))
+    kept = F.array_distinct(F.slice("heads", F.lit(1), F.col("keep_top")))
+    merged = ranked.withColumn("ids", F.slice(F.concat(kept, F.array_except("ids", kept)), 1, 20))
+    per_query = merged.select(
+        "query_id", "model_name", "blend_name", "keep_top",
+        *[m.alias(n) for n, m in array_metrics(F.col("ids"), F.col("relevant")).items()],
+    )
     return (
         macro_metrics(per_query, ["model_name", "blend_name", "keep_top"])
         .withColumn("composite", composite())
@@ -93,18 +139,6 @@ def ledger(
     )
 
 
-def keep_grid(anchors: DataFrame, proposals: DataFrame, lists: Sequence[str], keeps: Sequence[int]) -> DataFrame:
-    """Merge each proposed list with its anchors once per anchor count."""
-    each = F.explode(F.array(*[F.lit(k) for k in keeps]))
-    offers = proposals.withColumn("keep_top", each)
-    heads = anchors.select("query_id", F.col("candidate_id").cast("string").alias("candidate_id"), "rank").filter(
-        F.col("rank").isNotNull()
-    )
-    wanted = offers.select(*lists, "keep_top").distinct()
-    spread = wanted.filter("keep_top > 0").join(heads, "query_id")
-    return anchor_merge(spread, offers, keep_top=F.col("keep_top"), keys=[*lists, "keep_top"])
-
-
 def ledger_order() -> list[Column]:
     return [F.desc("composite"), F.desc("recall_at_20"), F.col("profile")]
 

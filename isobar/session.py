@@ -12,6 +12,8 @@ SESSION_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Small shuffles stay parallel; large ones are cut by the advisory size anyway.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
 }
 
 
