@@ -21,11 +21,11 @@ def l2(a: str, b: str) -> str:
     return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: {gap} * {gap}))"
 
 
-def knn(name: str, first: int, last: int, k: int) -> str:
+def knn(name: str, first: int, last: int, k: int, table: str = "vecs") -> str:
     return f"""{name} as (select q, a, d, rk from (
   select q.id q, a.id a, {l2(f'q.v[{first}:{last}]', f'a.v[{first}:{last}]')} d,
     row_number() over (partition by q.id order by {l2(f'q.v[{first}:{last}]', f'a.v[{first}:{last}]')}, a.id) rk
-  from vecs q join vecs a on q.id <> a.id and q.g <> a.g) where rk <= {k})"""
+  from {table} q join {table} a on q.id <> a.id and q.g <> a.g) where rk <= {k})"""
 
 
 VECS = """vecs as (select cast(vec_id as varchar) id, vec_id, embedding v, cast(label as varchar) g from embeddings)"""
@@ -35,20 +35,27 @@ EVENT = knn("k_event", 1, 32, 40)
 CONTEXT = knn("k_context", 1, 64, 40)
 METADATA = knn("k_meta", 33, 48, 20)
 TRUTH = knn("k_truth", 33, 64, 20)
-POOL = f"""{VECS}, {EVENT}, {CONTEXT}, {METADATA}, {TRUTH},
-stacked as (
-  select q, a, 0 ch, rk, d from k_event union all
-  select q, a, 1 ch, rk, d from k_context union all
-  select q, a, 2 ch, rk, d from k_meta),
-folded as (
+
+
+def fused_rows(prefix: str, event: str, context: str, metadata: str) -> str:
+    """Rank union of three channels with sentinel ranks and the pool order."""
+    return f"""{prefix}stacked as (
+  select q, a, 0 ch, rk, d from {event} union all
+  select q, a, 1 ch, rk, d from {context} union all
+  select q, a, 2 ch, rk, d from {metadata}),
+{prefix}folded as (
   select q, a, max(case when ch = 0 then rk end) re, max(case when ch = 1 then rk end) rc,
     max(case when ch = 2 then rk end) rm, max(case when ch = 0 then d end) de, max(case when ch = 1 then d end) dc,
     min(rk) mn, min(ch) fc
-  from stacked group by q, a),
-pool0 as (
-  select *, coalesce(re, 61) fe, coalesce(rc, 61) fx, coalesce(rm, 61) fm from folded),
-pool1 as (
-  select *, row_number() over (partition by q order by mn, fc, fe, fx, fm, a) pr from pool0),
+  from {prefix}stacked group by q, a),
+{prefix}pool0 as (
+  select *, coalesce(re, 61) fe, coalesce(rc, 61) fx, coalesce(rm, 61) fm from {prefix}folded),
+{prefix}pool1 as (
+  select *, row_number() over (partition by q order by mn, fc, fe, fx, fm, a) pr from {prefix}pool0)"""
+
+
+POOL = f"""{VECS}, {EVENT}, {CONTEXT}, {METADATA}, {TRUTH},
+{fused_rows('', 'k_event', 'k_context', 'k_meta')},
 pool as (
   select p.q, p.a, p.pr, p.mn, p.re, p.rc, p.rm, p.fe, p.fx, p.fm, p.de, p.dc,
     greatest(p.fe, p.fx, p.fm) - least(p.fe, p.fx, p.fm) gap,
@@ -73,10 +80,10 @@ EDGES = """edges as (
   from pool where split = 'train' and rel)"""
 
 
-def graph_ctes() -> str:
+def graph_ctes(source: str = "pool") -> str:
     parts = [
         f"""seedscore as (select q, a, cast(0.7 as float) * {z('coalesce(score_final, 0)')}
-      + cast(0.3 as float) * {z('1 / (1 + cast(mn as double))')} s from pool),
+      + cast(0.3 as float) * {z('1 / (1 + cast(mn as double))')} s from {source}),
     seeds as (select q, a, sr from (select q, a, row_number() over (partition by q order by s desc, a) sr from seedscore) where sr <= 40)"""
     ]
     for name, k, cap in GRAPH_CONFIGS:
@@ -90,10 +97,10 @@ def graph_ctes() -> str:
         )
     columns = ", ".join(f"cast(coalesce(p_{n}.p / n_{n}.nrm, 0) as float) {n}" for n in NAMES)
     joins = " ".join(
-        f"left join prop_{n} p_{n} on p_{n}.q = pool.q and p_{n}.a = pool.a left join norm_{n} n_{n} on n_{n}.q = pool.q"
+        f"left join prop_{n} p_{n} on p_{n}.q = {source}.q and p_{n}.a = {source}.a left join norm_{n} n_{n} on n_{n}.q = {source}.q"
         for n in NAMES
     )
-    parts.append(f"graph0 as (select pool.*, {columns} from pool {joins})")
+    parts.append(f"graph0 as (select {source}.*, {columns} from {source} {joins})")
     parts.append(
         f"graph1 as (select *, greatest({', '.join(NAMES)}) graph_max, "
         f"cast(({' + '.join(NAMES)}) / 4.0::double as float) graph_mean from graph0)"
@@ -454,6 +461,36 @@ def oracle_queries() -> dict[str, str]:
     out["g20_ground_truth"] = f"with {TRACK}, {G20} select q query_id, c candidate_id, rk rank, round(d, 5) distance from g20"
     out["track_errors_top1"] = f"with {ERRORS} select q query_id, c candidate_id, {', '.join(f'{steady(c)} {c}' for c in ERROR_NAMES)} from errs"
     out["mean_physical_errors"] = f"with {ERRORS} select {', '.join(f"{steady(f'avg({c})')} {c}" for c in ERROR_NAMES)} from errs"
+    retrieval = f"""with recursive {POOL}, {EDGES}, {WINDOWS},
+      cov as (select w.id, unnest(e.embedding) v, generate_subscripts(e.embedding, 1) p from wins w
+        join embeddings e on e.vec_id % 6 = 0 and e.vec_id * 3600 >= w.s and e.vec_id * 3600 < w.e),
+      cell as (select id, p, cast(avg(cast(v as double)) as float) v from cov group by id, p),
+      unit as (select *, sqrt(sum(cast(v as double) * cast(v as double)) over (partition by id)) nrm from cell),
+      rvecs as (select u.id, list(cast(cast(u.v as double) / u.nrm as float) order by u.p) v, any_value(x.g) g from unit u join vecs x on x.id = u.id group by u.id),
+      {knn('r_context', 1, 64, 60, 'rvecs')},
+      {fused_rows('r', 'k_event', 'r_context', 'k_meta')},
+      pw as (select f.q, f.a cid, f.pr rnk, w.tp, w.s, w.e from rpool1 f join wins w on w.id = f.a where f.pr <= 60),
+      {suppression('pw', 'q || chr(1) || tp', 0.5, 12)},
+      rpool as (select f.*, greatest(f.fe, f.fx, f.fm) - least(f.fe, f.fx, f.fm) gap, 1 / (1 + f.de) score_final, 0.0::double score_calibrated,
+        false rel, 'test' split from rpool1 f join walk k on split_part(k.g, chr(1), 1) = f.q and k.cid = f.a where k.keep),
+      {graph_ctes('rpool')}, terms as ({terms('context_prior')}), scored as (select *, {FROZEN_TEXT} score from terms),
+      proposal as (select q, a, score, row_number() over (partition by q order by score desc, a) pr from scored),
+      anchors as (select q, a, row_number() over (partition by q order by rk) ar from (
+        select k.q, k.a, k.rk from k_context k join rpool p on p.q = k.q and p.a = k.a where k.rk <= 20) qualify ar <= 5), {merged(5, 21)}"""
+    out["retrieval_top20"] = f"""{retrieval}
+      select m.q query_id, m.a candidate_id, m.rk rank, {signless('cast(s.score as double)', 4)} score
+      from merged m join scored s on s.q = m.q and s.a = m.a"""
+    out["audit_counters"] = f"""{retrieval},
+      c as (select q, count(*) n from r_context group by q), f as (select q, count(*) n from rpool1 where pr <= 60 group by q),
+      k as (select split_part(g, chr(1), 1) q, count(case when keep then 1 end) kept, count(case when not keep and ov then 1 end) o,
+        count(case when not keep and st then 1 end) s from walk group by 1), m as (select q, count(*) n from merged group by q)
+      select c.q query_id, c.n retrieved, f.n fused, k.kept ranker_input, k.kept survivors, m.n returned, k.o overlap_suppressed,
+      k.s start_suppressed, 0::bigint excluded, 1 certified from c join f on f.q = c.q join k on k.q = c.q join m on m.q = c.q"""
+    limbs = ", ".join(f"cast(sum(cast('0x' || substr(h, {1 + 12 * i}, 12) as hugeint)) as varchar) l{i}" for i in range(4))
+    out["label_graph_digest"] = f"""with {POOL}, {EDGES}, g as (select tq, c, sum(w) sw, max(w) mw from edges group by tq, c),
+      x as (select sha256(tq || chr(1) || c || chr(1) || cast(sw as varchar) || chr(1) || cast(mw as varchar)) h from g),
+      s as (select {limbs}, count(*) n from x)
+      select sha256(l0 || ',' || l1 || ',' || l2 || ',' || l3 || ',' || cast(n as varchar)) graph_sha256, n edge_count from s"""
     out["fold_deltas"] = f"with {PAIRED} select fold, round(avg(proposed - baseline), 6) mean_delta, count(*) query_count, (avg(proposed - baseline) > 0)::int positive from paired group by fold"
     out["fold_window_contract"] = """with f as (select date_diff('day', date '2024-01-01', ts::date) // 10 fold, min(ts) a, max(ts) b from events group by 1),
       p as (select f.*, g.b tb from f join f g on g.fold + 1 = f.fold)

@@ -871,7 +871,17 @@ def gbt_scores(spark, sf):
     return _trained(spark, sf, 2, 3)
 
 
+_results: dict[tuple[str, str], retrieval.RetrievalResult] = {}
+
+
 def _retrieval(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _results:
+        _results[key] = _run_retrieval(spark, sf)
+    return _results[key]
+
+
+def _run_retrieval(spark, sf):
     windows = t.vector_windows(spark, sf)
     events = t.channels(spark, sf)
     edges = t.edges(spark, sf)
@@ -902,3 +912,27 @@ def retrieval_top20(spark, sf):
 @query
 def audit_receipt(spark, sf):
     return _retrieval(spark, sf).audit.select("query_id", "audit_json", F.col("certified").cast("int").alias("certified"))
+
+
+@query
+def audit_counters(spark, sf):
+    """Counters read back from the audit records."""
+    paths = {
+        "retrieved": "$.context_stage.retrieved_count",
+        "fused": "$.candidate_generation.fused_candidate_count",
+        "ranker_input": "$.candidate_generation.reranker_candidate_count",
+        "survivors": "$.temporal_suppression.post_tnms_count",
+        "returned": "$.output.returned_count",
+    }
+    lists = {
+        "overlap_suppressed": "$.temporal_suppression.overlap_suppressed_candidate_ids",
+        "start_suppressed": "$.temporal_suppression.start_proximity_suppressed_candidate_ids",
+        "excluded": "$.exclusions_and_deduplication.excluded_candidate_ids",
+    }
+    rows = _retrieval(spark, sf).audit
+    return rows.select(
+        "query_id",
+        *[F.get_json_object("audit_json", p).cast("long").alias(n) for n, p in paths.items()],
+        *[big(F.json_array_length(F.get_json_object("audit_json", p))).alias(n) for n, p in lists.items()],
+        F.col("certified").cast("int").alias("certified"),
+    )

@@ -15,6 +15,7 @@ from isobar.operators.ordering import ordinal
 SEQUENTIAL_ROWS = 20_000
 CHUNK = 1_000
 PRIME = 2_147_483_647
+NUMBERING_BUCKETS = 4_096
 
 RESULT = "estimate double, lower double, upper double, confidence double, query_count long, resamples long, seed long"
 
@@ -98,15 +99,20 @@ def hashed_bootstrap(
     confidence: float = 0.95,
     resamples: int = 10_000,
     seed: int = 20262202,
-    bucket: Column | None = None,
 ) -> DataFrame:
     """Bootstrap with hashed draws; the draw table is generated in place and joined on the index."""
     spark = df.sparkSession
     gaps = df.select(F.col(order).alias("k"), (F.col(proposed).cast("double") - F.col(baseline).cast("double")).alias("d"))
-    # Rows are numbered by range of a numeric key, else by first character: both are monotone.
-    numeric = dict(gaps.dtypes)["k"] in {"int", "bigint", "smallint", "tinyint"}
-    bucket = bucket if bucket is not None else (F.floor(F.col("k") / 10_000) if numeric else F.substring("k", 1, 12))
-    numbered = ordinal(gaps.withColumn("_all", F.lit(0)), ["_all"], bucket, ["k"], name="place").select(
+    # Any fixed numbering will do. Numeric keys are numbered in order, over ranges of equal width;
+    # other keys by their hash, whose leading bits are evenly filled buckets.
+    if dict(gaps.dtypes)["k"] in {"int", "bigint", "smallint", "tinyint"}:
+        edge = gaps.agg(F.min("k").alias("low"), F.max("k").alias("high")).first()
+        width = max(1, (edge["high"] - edge["low"]) // NUMBERING_BUCKETS + 1)
+        placed, bucket, by = gaps, F.floor((F.col("k") - F.lit(edge["low"])) / F.lit(width)), ["k"]
+    else:
+        placed = gaps.withColumn("h", F.xxhash64("k"))
+        bucket, by = F.shiftright("h", 64 - NUMBERING_BUCKETS.bit_length()), ["h", "k"]
+    numbered = ordinal(placed.withColumn("_all", F.lit(0)), ["_all"], bucket, by, name="place").select(
         (F.col("place") - 1).cast("long").alias("i"), "d"
     )
     draws = spark.range(resamples * n).select(

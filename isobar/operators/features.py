@@ -119,3 +119,11 @@ def model_matrix(
 
 def group_sizes(df: DataFrame, keys: Sequence[str] = ("query_id",)) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_size"))
+
+
+def sort_for_groups(df: DataFrame) -> DataFrame:
+    """Rows ordered by query (as text) and best source rank, as far as those columns exist."""
+    present = [c for c in ("query_id", "source_min_rank") if c in df.columns]
+    keys = [F.col(c).cast("string") if c == "query_id" else F.col(c) for c in present]
+    ties = [F.col("candidate_id")] if "candidate_id" in df.columns else []
+    return df.orderBy(*keys, *ties) if keys else df

@@ -190,3 +190,13 @@ def test_rankers_learn_the_relevant_rows(spark, position):
     assert min(good) > max(bad)
     splits, gain = model.importance("score_context_rank_prior")
     assert splits >= 1 and gain > 0 and len(model.sha256()) == 64 and model.input_dimension == 2
+
+
+def test_example_command(spark, tmp_path):
+    from isobar import cli
+
+    out = tmp_path / "out.json"
+    assert cli.main(["example", "--directory", str(tmp_path / "archive"), "--output", str(out)]) == 0
+    payload = json.loads(out.read_text())
+    audit.validate_record(payload["audit"])
+    assert [r["candidate_id"] for r in payload["top_k"]] == ["candidate-a", "candidate-c", "candidate-d"]
