@@ -391,12 +391,12 @@ def oracle_queries() -> dict[str, str]:
         else json_extract_string(props, '$.k') end as double) v from events)
       select event_id, round(v, 6) source_min_rank, round(1 / (greatest(coalesce(v, 1501), 0) + 1), 6) source_min_rank_inv,
       round(1 / (1 + coalesce(v, 9999)), 6) source_min_rank_inv_safe from x"""
-    out["score_sum_diff"] = f"""with {POOL} select q query_id, a candidate_id, round({DERIVED['score_final_minus_calibrated']}, 6) score_diff,
+    out["score_sum_diff"] = f"""with {POOL} select q query_id, a candidate_id, {signless(DERIVED['score_final_minus_calibrated'], 6)} score_diff,
       round({DERIVED['score_final_plus_calibrated']}, 6) score_sum from pool"""
     out["query_zscore"] = f"select event_id, {signless(f"cast({z('value', 'user_id')} as double)", 4)} value_z, 0.0::double flat_z from events"
     medians = " union all ".join(
-        f"""select '{c}' feature, round(m, 5) median, count(case when v is null then 1 end) filled,
-        round(avg(cast(cast(coalesce(v, m) as float) as double)), 5) mean_input from (
+        f"""select '{c}' feature, {signless('m', 5)} median, count(case when v is null then 1 end) filled,
+        {signless('avg(cast(cast(coalesce(v, m) as float) as double))', 5)} mean_input from (
         select {feature(c)} v, (select coalesce(median({feature(c)}), 0) from graph2 where split = 'train') m from graph2) group by m"""
         for c in FEATURE_NAMES
     )
