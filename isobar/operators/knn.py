@@ -129,11 +129,18 @@ class VectorIndex:
             (F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")).alias("grp"),
             F.col(vector_col).alias("vec"),
         )
-        row_count = rows.count()
+        if check_ids:
+            per_id = rows.groupBy("id").count()
+            found = per_id.agg(
+                F.sum("count").alias("rows"), F.max("count").alias("most"), F.count_if(F.col("id").isNull()).alias("nameless")
+            ).first()
+            row_count = found["rows"] or 0
+            if row_count and (found["most"] > 1 or found["nameless"]):
+                raise ValueError("candidate ids must be present and unique")
+        else:
+            row_count = rows.count()
         if row_count == 0:
             raise ValueError("cannot index an empty archive")
-        if check_ids and not rows.groupBy("id").count().filter("id IS NULL OR count > 1").isEmpty():
-            raise ValueError("candidate ids must be present and unique")
         cells = cells or max(1, min(MAX_CELLS, math.ceil(row_count / ROWS_PER_CELL), probes))
         probes = min(MAX_PROBES, max(probes, cells))
         # A bounded sample (at most MAX_PROBES rows): it steers pruning and never limits results.
@@ -427,18 +434,26 @@ def _score(dimension: int, dtype, k: int, exclude_self: bool):
                 else:
                     keep = ~blocked
                 left, right = np.nonzero(keep)
+                distance = np.empty(len(left))
                 step = max(1, 8_000_000 // dimension)
                 for start in range(0, len(left), step):
-                    l, r = left[start : start + step], right[start : start + step]
-                    gap = a[r] - q[l]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(q_ids[l], pa.string()),
-                            pa.array(a_ids[r], pa.string()),
-                            pa.array(a_grps[r], pa.string()),
-                            pa.array(np.einsum("ij,ij->i", gap, gap, dtype=np.float64)),
-                        ],
-                        names=["query_id", "candidate_id", "group_id", "distance"],
-                    )
+                    part = slice(start, start + step)
+                    gap = a[right[part]] - q[left[part]]
+                    distance[part] = np.einsum("ij,ij->i", gap, gap, dtype=np.float64)
+                # Copies tie, so the block is cut by (distance, id) before anything leaves the task.
+                by_id = np.empty(len(a_ids), dtype=np.int64)
+                by_id[np.argsort(a_ids.astype(str), kind="stable")] = np.arange(len(a_ids))
+                order = np.lexsort((by_id[right], distance, left))
+                place = np.arange(len(order)) - np.searchsorted(left[order], left[order], side="left")
+                order = order[place < k]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(q_ids[left[order]], pa.string()),
+                        pa.array(a_ids[right[order]], pa.string()),
+                        pa.array(a_grps[right[order]], pa.string()),
+                        pa.array(distance[order]),
+                    ],
+                    names=["query_id", "candidate_id", "group_id", "distance"],
+                )
 
     return run

@@ -77,3 +77,24 @@ def test_ivf_recall_and_bad_input(spark):
         VectorIndex.fit(df, backend="tree")
     with pytest.raises(Exception, match="finite"):
         VectorIndex.fit(frame(spark, ["a", "b"], [[float("nan"), 0], [1, 1]], [None, None]))
+
+
+def test_copies_are_cut_inside_the_task(spark):
+    vectors = np.concatenate([np.zeros((100, 3)), np.random.default_rng(2).normal(size=(200, 3))]).astype(np.float32)
+    ids, groups = [f"i{i:03d}" for i in range(300)], [None] * 300
+    df = frame(spark, ids, vectors, groups)
+    index = VectorIndex.fit(df, cells=3, block_rows=50)
+    got = {}
+    for r in index.search(df, 4, id_col="candidate_id").orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["candidate_id"])
+    assert got == brute(ids, vectors, groups, 4)
+    score = knn._score(3, np.float32, 4, True)
+    import pyarrow as pa
+
+    block = pa.RecordBatch.from_pylist(
+        [{"q_ids": ["q"], "q_grps": [None], "q_vecs": [0.0, 0.0, 0.0], "a_ids": ids[:100], "a_grps": [None] * 100, "a_vecs": [0.0] * 300}],
+        schema=pa.schema(
+            [(n, pa.list_(pa.float32() if n.endswith("vecs") else pa.string())) for n in ("q_ids", "q_grps", "q_vecs", "a_ids", "a_grps", "a_vecs")]
+        ),
+    )
+    assert [b.column(1).to_pylist() for b in score(iter([block]))] == [["i000", "i001", "i002", "i003"]]
