@@ -242,18 +242,22 @@ def nms_suppression_reasons(spark, sf):
     )
 
 
+def _event_order(spark, sf):
+    return _event_ranks(spark, sf).select("user_id", "event_id", "event_type", "rank")
+
+
 DEDUP = {"keys": ["user_id"], "order": ("rank", "event_id"), "event_key": "event_type"}
 
 
 @query
 def event_dedup_topk(spark, sf):
-    kept = temporal.deduplicate_events(_event_ranks(spark, sf), top_k=3, **DEDUP)
+    kept = temporal.deduplicate_events(_event_order(spark, sf), top_k=3, **DEDUP)
     return kept.select("user_id", "event_id", big("dedup_rank").alias("dedup_rank"))
 
 
 @query
 def event_dedup_removed(spark, sf):
-    return temporal.removed_duplicates(_event_ranks(spark, sf), top_k=3, **DEDUP).select("user_id", "event_id")
+    return temporal.removed_duplicates(_event_order(spark, sf), top_k=3, **DEDUP).select("user_id", "event_id")
 
 
 @query
