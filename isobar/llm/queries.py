@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.llm import mixing, topk, urlfilter, warc
+from isobar.llm import decontaminate, licenses, mixing, topk, urlfilter, warc
 from isobar.llm.common import table
 from isobar.session import materialize, shared_dir
 
@@ -46,15 +46,45 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = decontaminate.decontaminate(documents, items, F.col("doc_id"), F.col("text"), F.col("item_id"), F.col("text"))
+    listed = F.sha2(F.array_join("items", ","), 256)
+    return found.select(
+        "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated"
+    )
+
+
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licenses.scan_licenses(documents, F.col("doc_id"), F.col("text"))
+
+    def joined(labels):
+        return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+
+    base, more = F.col("places.label"), F.col("blocks.label")
+    best = F.coalesce(F.array_max(F.col("blocks.share")), F.lit(0.0))
+    return found.select(
+        "row.doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
+        F.array_min(F.col("places.start")).alias("first_word"), F.array_max(F.col("places.start")).alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.concat(base, more)).alias("labels"),
+        F.when(F.size("places") > 0, 1.0).otherwise(best).alias("score"),
+    )
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_url_filters": op3_url_filters,
     "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
+    "op6_decontamination": op6_decontamination,
+    "op8_licenses": op8_licenses,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE = {
     "op1_warc": """
         with p as (select page_id, coalesce(html, '') as body from pages),
@@ -88,4 +118,49 @@ ORACLE = {
         r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
         select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 10
     """,
+    "op6_decontamination": f"""
+        with d as (select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} as w from documents),
+        b as (select cast(item_id as varchar) as item_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} as w from benchmark),
+        bw as (select distinct item_id, w[i + 1 : i + least(10, len(w))] as seq
+               from (select item_id, w, unnest(range(0, greatest(len(w) - 9, 1))) as i from b where len(w) > 0)),
+        lens as (select distinct len(seq) as n from bw),
+        dw as (select doc_id, n, i, w[i + 1 : i + n] as seq
+               from (select doc_id, w, n, unnest(range(0, len(w) - n + 1)) as i from d join lens on len(w) >= n)),
+        hit as (select doc_id, i, n, item_id from dw join bw on dw.seq = bw.seq),
+        pos as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hit) group by 1),
+        ids as (select doc_id, list_sort(list(distinct item_id)) as items from hit group by 1)
+        select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, cast(coalesce(len(items), 0) as bigint) as n_items,
+               sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join pos on d.doc_id = pos.doc_id left join ids on d.doc_id = ids.doc_id
+    """,
+    "op8_licenses": f"""
+        with phrases(phrase, label) as (
+            values (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')),
+        templates as (select list_distinct(string_split(t, ' ')) as t, label from (values
+            ('released under the mit license', 'mit'), ('licensed under the mit license', 'mit'),
+            ('permission is hereby granted free of charge to any person obtaining a copy of this software', 'mit'),
+            ('licensed under the apache license version 2 0', 'apache'),
+            ('this work is licensed under the gnu general public license version 3', 'gpl'),
+            ('released under the gnu lesser general public license', 'lgpl'),
+            ('redistribution and use in source and binary forms with or without modification are permitted', 'bsd'),
+            ('subject to the terms of the mozilla public license version 2 0', 'mpl'),
+            ('licensed under cc by nc 4 0', 'cc-by-nc'), ('licensed under cc by sa 4 0', 'cc-by-sa'),
+            ('licensed under the creative commons attribution license', 'cc-by'),
+            ('all rights reserved no part may be reproduced without permission', 'proprietary')) v(t, label)),
+        d as (select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} as w from documents),
+        wp as (select doc_id, w, unnest(range(0, len(w))) as i from d),
+        base as (select doc_id, i, label from wp join phrases on w[i + 1 : i + len(phrase)] = phrase),
+        blocks as (select doc_id, list_distinct(w[i + 1 : i + 32]) as words from wp where i % 16 = 0),
+        more as (select doc_id, label, len(list_intersect(words, t)) / len(t) as share
+                 from blocks join templates on len(list_intersect(words, t)) >= ceil(0.8 * len(t) - 1e-9)),
+        b as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word,
+                     array_to_string(list_sort(list(distinct label)), ',') as base_labels from base group by 1),
+        a as (select doc_id, array_to_string(list_sort(list(distinct label)), ',') as labels
+              from (select doc_id, label from base union all select doc_id, label from more) group by 1),
+        s as (select doc_id, max(share) as share from more group by 1)
+        select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word,
+               coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels,
+               case when n_base > 0 then 1.0 else coalesce(share, 0.0) end as score
+        from d left join b on d.doc_id = b.doc_id left join a on d.doc_id = a.doc_id left join s on d.doc_id = s.doc_id
+    """,
 }
