@@ -26,18 +26,19 @@ CONTAINMENT = 0.8
 
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
+#: At the threshold, templates of up to four words need all of them, so licenses that differ in one word stay apart.
 TEMPLATES = (
-    ("released under the mit license", "mit"),
-    ("licensed under the mit license", "mit"),
+    ("under the mit license", "mit"),
+    ("subject to the terms of the mit license", "mit"),
     ("permission is hereby granted free of charge to any person obtaining a copy of this software", "mit"),
-    ("licensed under the apache license version 2 0", "apache"),
+    ("under the apache license", "apache"),
     ("this work is licensed under the gnu general public license version 3", "gpl"),
-    ("released under the gnu lesser general public license", "lgpl"),
+    ("gnu lesser general public", "lgpl"),
     ("redistribution and use in source and binary forms with or without modification are permitted", "bsd"),
-    ("subject to the terms of the mozilla public license version 2 0", "mpl"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("licensed under cc by sa 4 0", "cc-by-sa"),
-    ("licensed under the creative commons attribution license", "cc-by"),
+    ("mozilla public license version", "mpl"),
+    ("cc by nc", "cc-by-nc"),
+    ("cc by sa", "cc-by-sa"),
+    ("creative commons attribution license", "cc-by"),
     ("all rights reserved no part may be reproduced without permission", "proprietary"),
 )
 
