@@ -35,10 +35,14 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def split_words(text: Column) -> Column:
+    """Array of the alphanumeric words; ASCII punctuation separates, other characters do not."""
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
+
+
 def alnum_words(text: Column) -> Column:
-    """Array of the lower-cased alphanumeric words; ASCII punctuation separates, other characters do not."""
-    parts = F.split(F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATORS, " ")), " ")
-    return F.filter(parts, lambda word: word != "")
+    """The words of :func:`split_words` with A-Z lower-cased."""
+    return split_words(lower_ascii(text))
 
 
 def input_bytes(df: DataFrame, *columns: str) -> int:

@@ -8,7 +8,7 @@ window-sized stretch are compared exactly.
 
 Nulls: a null text or item has no words; an item without id marks words but is neither counted nor listed; documents
 without id are judged like others. Repeated documents and items change nothing. Without items nothing is contaminated.
-All columns of the input are in ``row``.
+The input's columns are in ``row``.
 """
 
 from __future__ import annotations
@@ -65,9 +65,11 @@ def covered(places: DataFrame) -> DataFrame:
 
 
 def decontaminate(
-    docs: DataFrame, items: DataFrame, doc_id: Column, text: Column, item_id: Column, item_text: Column, window: int = 10
+    docs: DataFrame, items: DataFrame, doc_id: Column, text: Column, item_id: Column, item_text: Column, window: int = 10,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """(row, n_words, n_hit, items, contaminated); ``items`` are the sorted ids whose windows occur."""
+    """(row, n_words, n_hit, items, contaminated); ``items`` are the sorted ids whose windows occur, ``row`` has the
+    columns ``keep``."""
     documents = sequences.word_arrays(docs, doc_id, text)
     windows = materialize(item_windows(items, item_id, item_text, window), "benchmark-windows")
     patterns = materialize(anchored(windows, documents), "benchmark-anchors")
@@ -78,9 +80,7 @@ def decontaminate(
         .groupBy(*sequences.KEY).agg(F.array_sort(F.collect_set("item_id")).alias("items"))
     )
     hits = covered(places).alias("c").join(found.alias("f"), _same("c", "f")).select("c.*", "f.items")
-    rows = docs.select(
-        F.struct("*").alias("row"), doc_id.alias("doc_id"), sequences.text_key(text).alias("text_key"), sequences.word_total(text).alias("n_words")
-    )
+    rows = sequences.kept_rows(docs, doc_id, text, keep)
     return rows.alias("d").join(hits.alias("h"), _same("d", "h"), "left").select(
         "d.row", "d.n_words", F.coalesce("h.n_hit", F.lit(0)).alias("n_hit"),
         F.coalesce("h.items", F.array().cast("array<string>")).alias("items"), F.coalesce(F.col("h.n_hit") > 0, F.lit(False)).alias("contaminated"),

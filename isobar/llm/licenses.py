@@ -8,7 +8,7 @@ position filter the prefix words after which too few of the template are left; t
 
 Fixed phrases are found at the same time: words that stand consecutively anywhere in the text.
 
-Nulls: a null text has no words; rows equal in id and text have equal results, and every other column is in ``row``.
+Nulls: a null text has no words; rows equal in id and text have equal results, and the input's columns ``keep`` (all if None) are in ``row``.
 """
 
 from __future__ import annotations
@@ -67,7 +67,8 @@ def patterns(spark: SparkSession, documents: DataFrame, phrases, templates, cont
 
 
 def scan_licenses(
-    docs: DataFrame, doc_id: Column, text: Column, phrases=PHRASES, templates=TEMPLATES, containment: float = CONTAINMENT
+    docs: DataFrame, doc_id: Column, text: Column, phrases=PHRASES, templates=TEMPLATES, containment: float = CONTAINMENT,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """(row, n_words, places, blocks).
 
@@ -92,9 +93,7 @@ def scan_licenses(
         F.array_sort(F.collect_list(F.when(F.col("phrase"), F.struct("start", "label")))).alias("places"),
         F.array_sort(F.collect_list(F.when(~F.col("phrase"), F.struct("start", "label", "share")))).alias("blocks"),
     )
-    rows = docs.select(
-        F.struct("*").alias("row"), doc_id.alias("doc_id"), sequences.text_key(text).alias("text_key"), sequences.word_total(text).alias("n_words")
-    )
+    rows = sequences.kept_rows(docs, doc_id, text, keep)
     same = F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.text_key") == F.col("h.text_key"))
     none = {"places": "array<struct<start:bigint,label:string>>", "blocks": "array<struct<start:bigint,label:string,share:double>>"}
     return rows.alias("d").join(lists.alias("h"), same, "left").select(

@@ -48,7 +48,7 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
-    found = decontaminate.decontaminate(documents, items, F.col("doc_id"), F.col("text"), F.col("item_id"), F.col("text"))
+    found = decontaminate.decontaminate(documents, items, F.col("doc_id"), F.col("text"), F.col("item_id"), F.col("text"), keep=["doc_id"])
     listed = F.sha2(F.array_join("items", ","), 256)
     return found.select(
         "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated"
@@ -57,7 +57,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = licenses.scan_licenses(documents, F.col("doc_id"), F.col("text"))
+    found = licenses.scan_licenses(documents, F.col("doc_id"), F.col("text"), keep=["doc_id"])
 
     def joined(labels):
         return F.array_join(F.array_sort(F.array_distinct(labels)), ",")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import alnum_words
+from isobar.llm.common import alnum_words, split_words
 
 BROADCAST_BYTES = 16 << 20
 KEY = ("doc_id", "text_key")
@@ -26,8 +26,13 @@ def word_arrays(docs: DataFrame, doc_id: Column, text: Column) -> DataFrame:
 
 
 def word_total(text: Column) -> Column:
-    """Number of alphanumeric words, without building them."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    return F.size(split_words(text)).cast("long")
+
+
+def kept_rows(docs: DataFrame, doc_id: Column, text: Column, keep: list[str] | None) -> DataFrame:
+    """(row, doc_id, text_key, n_words); ``row`` has the columns ``keep`` (all if None), so others are not shuffled."""
+    row = F.struct("*") if keep is None else F.struct(*keep)
+    return docs.select(row.alias("row"), doc_id.alias("doc_id"), text_key(text).alias("text_key"), word_total(text).alias("n_words"))
 
 
 def measured(rows: DataFrame, *text: Column) -> tuple[DataFrame, bool]:
