@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.llm import decontaminate, licenses, mixing, topk, urlfilter, warc
+from isobar.llm import brown, chosen_path, decontaminate, langid, licenses, mixing, suffix_dedup, topk, urlfilter, warc
 from isobar.llm.common import table
 from isobar.session import materialize, shared_dir
 
@@ -21,6 +21,15 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path, columns).withColumnRenamed("id", "page_id")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+    model = langid.train(documents.where(~held_out & F.col("doc_id").isNotNull()), F.col("doc_id"), F.col("text"), F.col("lang"))
+    spans = langid.label_spans(documents.select("doc_id", "text"), F.col("text"), model).select("doc_id", "spans")
+    lang_pred, score = langid.main_language(F.col("spans"))
+    return spans.select("doc_id", held_out.alias("held_out"), lang_pred.alias("lang_pred"), score.alias("score"))
+
+
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
@@ -55,6 +64,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chosen_path.jaccard_classes(documents, F.col("doc_id"), F.col("text")).select("doc_id", "class_id", "n_links")
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = licenses.scan_licenses(documents, F.col("doc_id"), F.col("text"), keep=["doc_id"])
@@ -72,13 +86,30 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffix_dedup.remove_repeats(documents, F.col("doc_id"), F.col("text"), keep=["doc_id"])
+    return cut.select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2, F.lit(False))
+    scored = brown.score_texts(documents, F.col("doc_id"), F.col("text"), ~held_out & F.col("doc_id").isNotNull())
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_language_id": op2_language_id,
     "op3_url_filters": op3_url_filters,
     "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
     "op6_decontamination": op6_decontamination,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op8_licenses": op8_licenses,
+    "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_brown_lm": op10_brown_lm,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
