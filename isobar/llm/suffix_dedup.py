@@ -433,6 +433,12 @@ def cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(kept, pa.binary())], ["n_removed", "n_spans", "kept"])
 
 
+@F.arrow_udf(T.StringType())
+def as_text(kept: pa.Array) -> pa.Array:
+    """Text of the remaining bytes, without characters that were cut in two."""
+    return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
+
+
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """(doc_id, text_key, start, length) of repeats in rows (doc_id, text_key, text); a null id is the largest number."""
     spark = rows.sparkSession
