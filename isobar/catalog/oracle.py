@@ -486,11 +486,11 @@ def oracle_queries() -> dict[str, str]:
         count(case when not keep and st then 1 end) s from walk group by 1), m as (select q, count(*) n from merged group by q)
       select c.q query_id, c.n retrieved, f.n fused, k.kept ranker_input, k.kept survivors, m.n returned, k.o overlap_suppressed,
       k.s start_suppressed, 0::bigint excluded, 1 certified from c join f on f.q = c.q join k on k.q = c.q join m on m.q = c.q"""
-    limbs = ", ".join(f"cast(sum(cast('0x' || substr(h, {1 + 12 * i}, 12) as hugeint)) as varchar) l{i}" for i in range(4))
+    limbs = ", ".join(f"cast(sum(cast('0x' || substr(h, {1 + 8 * i}, 8) as hugeint)) as varchar) l{i}" for i in range(8))
     out["label_graph_digest"] = f"""with {POOL}, {EDGES}, g as (select tq, c, sum(w) sw, max(w) mw from edges group by tq, c),
       x as (select sha256(tq || chr(1) || c || chr(1) || cast(sw as varchar) || chr(1) || cast(mw as varchar)) h from g),
       s as (select {limbs}, count(*) n from x)
-      select sha256(l0 || ',' || l1 || ',' || l2 || ',' || l3 || ',' || cast(n as varchar)) graph_sha256, n edge_count from s"""
+      select sha256({" || ',' || ".join(f'l{i}' for i in range(8))} || ',' || cast(n as varchar)) graph_sha256, n edge_count from s"""
     out["fold_deltas"] = f"with {PAIRED} select fold, round(avg(proposed - baseline), 6) mean_delta, count(*) query_count, (avg(proposed - baseline) > 0)::int positive from paired group by fold"
     out["fold_window_contract"] = """with f as (select date_diff('day', date '2024-01-01', ts::date) // 10 fold, min(ts) a, max(ts) b from events group by 1),
       p as (select f.*, g.b tb from f join f g on g.fold + 1 = f.fold)

@@ -7,7 +7,6 @@ import json
 from pathlib import Path
 
 from isobar.plans import offline, studies
-from isobar.plans.example import run_example
 from isobar.session import build_session
 from isobar.sources import candidates, sinks
 
@@ -27,9 +26,6 @@ def parser() -> argparse.ArgumentParser:
     study.add_argument("--backend", default="backend")
     study.add_argument("--full-system", default="full")
     study.add_argument("--layout", help="JSON with the verify_evidence file and column names")
-    example = commands.add_parser("example", help="run the whole retrieval on generated data")
-    example.add_argument("--directory", required=True, help="shared folder for the generated archive")
-    example.add_argument("--output")
     search = commands.add_parser("offline", help="train, select on validation and report test")
     for split in ("train", "validation", "test", "validation-anchors", "test-anchors"):
         search.add_argument(f"--{split}", required=True)
@@ -82,11 +78,8 @@ def run_offline(spark, args) -> dict:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = build_session()
-    if args.command == "example":
-        result = run_example(spark, args.directory)
-    else:
-        result = run_study(spark, args) if args.command == "study" else run_offline(spark, args)
-    if args.command != "offline" and args.output:
+    result = run_study(spark, args) if args.command == "study" else run_offline(spark, args)
+    if args.command != "offline":
         sinks.write_json(result, args.output)
     print(json.dumps(result, indent=2, sort_keys=True, default=str))
     return 0

@@ -23,7 +23,9 @@ def event(name, group, hour):
 @pytest.fixture(scope="module")
 def world(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("archive")
-    archive.synthetic_archive(str(folder), rows=96, dimension=32)
+    starts = np.datetime64("2020-01-01T00", "h") + np.arange(96).astype("timedelta64[h]")
+    matrix = np.random.default_rng(5).normal(size=(96, 32)).astype(np.float32)
+    archive.write_npy_archive(str(folder), matrix, starts, starts + np.timedelta64(24, "h"))
     schema = "candidate_id string, group_id string, event_type string, time_coverage_start string, time_coverage_end string"
     stored = [event("query", "storm-q", 0), event("a", "storm-a", 24), event("b", "storm-b", 30), event("c", "storm-c", 48),
               event("d", "storm-d", 72), event("twin", "storm-q", 60)]
@@ -190,13 +192,3 @@ def test_rankers_learn_the_relevant_rows(spark, position):
     assert min(good) > max(bad)
     splits, gain = model.importance("score_context_rank_prior")
     assert splits >= 1 and gain > 0 and len(model.sha256()) == 64 and model.input_dimension == 2
-
-
-def test_example_command(spark, tmp_path):
-    from isobar import cli
-
-    out = tmp_path / "out.json"
-    assert cli.main(["example", "--directory", str(tmp_path / "archive"), "--output", str(out)]) == 0
-    payload = json.loads(out.read_text())
-    audit.validate_record(payload["audit"])
-    assert [r["candidate_id"] for r in payload["top_k"]] == ["candidate-a", "candidate-c", "candidate-d"]
