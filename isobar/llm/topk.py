@@ -3,7 +3,7 @@
 Vectors become integers, ``floor(scale * x)``. The index cuts them into blocks of bounded size, and each block keeps,
 for every dimension, its vectors in order of their quantised value (``STEP`` integers to a level): a posting segment is
 one dimension and one level. The impact of a segment on a query is the largest product it can add. A query takes the
-segments of a block tier by tier in descending impact and adds the middle of each level. After a tier it knows for each
+segments of a block tier by tier in descending impact and adds the low end of each level. After a tier it knows for each
 vector a lower and an upper bound: what the levels hide, plus the tier's impact for every dimension not yet met.
 It stops only when at most ``RESCORE`` vectors have an upper bound that reaches the k-th lower bound, or when all
 segments are done; those vectors are scored exactly from the stored integers. So the result is exact.
@@ -81,7 +81,8 @@ class Index:
         impact = np.maximum(np.abs(low), np.abs(high))
         order = np.argsort(-impact, kind="stable")
         sizes = (self.end - self.begin)[order]
-        lows, highs, met = np.zeros(n), np.zeros(n), np.zeros(n)
+        hidden = float(np.abs(query).sum() * (STEP - 1))  # what the levels of all dimensions can hide
+        lows, met = np.zeros(n), np.zeros(n)
         allowed = self.ids != own
         cuts = np.searchsorted(np.cumsum(sizes), np.arange(1, TIERS + 1) * sizes.sum() / TIERS) + 1
         done, reach = 0, allowed
@@ -92,7 +93,6 @@ class Index:
             inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             vec = self.postings[np.repeat(self.dim[part], size), np.repeat(self.begin[part], size) + inner]
             lows += np.bincount(vec, np.repeat(low[part], size), n)
-            highs += np.bincount(vec, np.repeat(high[part], size), n)
             met += np.bincount(vec, minlength=n)
             done = cut
             rest = (impact[order[done]] if done < len(order) else 0) * (len(query) - met)
@@ -100,7 +100,7 @@ class Index:
             if len(floors) <= k:
                 continue
             kth = np.partition(floors, len(floors) - k)[len(floors) - k]
-            reach = allowed & (highs + rest >= kth)
+            reach = allowed & (lows + hidden + rest >= kth)
             if reach.sum() <= max(RESCORE, 2 * k):
                 break
         place = np.flatnonzero(reach)
