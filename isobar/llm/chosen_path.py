@@ -230,16 +230,28 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return member, root[member]
 
 
-def pairs_of(first: np.ndarray, size: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of all groups, groups of one size together, in bounded pieces; two blocks meet only each other."""
+def pairs_of(first: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of all groups, groups of one size together, in bounded pieces."""
     for s in np.unique(size[size > 1]):
         base = first[size == s]
         i, j = np.triu_indices(s, 1)
         step = max(1, (1 << 19) // len(i))
         for at in range(0, len(base), step):
-            a, b = (base[at : at + step, None] + i).ravel(), (base[at : at + step, None] + j).ravel()
-            ok = (side[a] != side[b]) | (side[a] < 0)
-            yield a[ok], b[ok]
+            yield (base[at : at + step, None] + i).ravel(), (base[at : at + step, None] + j).ravel()
+
+
+def spanning(n: int, side: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges of the pairs a-b. Where two blocks meet, their own cells have the edges inside each of them, so only
+    edges between components of the blocks are added."""
+    inside = side[a] == side[b]
+    root = np.arange(n)
+    member, top = forest(n, a[inside], b[inside])
+    root[member] = top
+    alone = side[member] < 0
+    within = member[alone], top[alone]
+    member, top = forest(n, a, b)
+    across = (side[member] >= 0) & (root[member] == member)
+    return np.concatenate([within[0], member[across]]), np.concatenate([within[1], top[across]])
 
 
 def candidate_edges(cells: DataFrame, least: int) -> DataFrame:
@@ -251,15 +263,16 @@ def candidate_edges(cells: DataFrame, least: int) -> DataFrame:
             ids, side = rows.column("set_id").to_numpy(), rows.column("side").to_numpy()
             tokens = _signatures(rows.column("signature").combine_chunks())
             hits: list[list[np.ndarray]] = [[], []]
-            for a, b in pairs_of(*runs(rows.column("cell").to_numpy()), side):
+            for a, b in pairs_of(*runs(rows.column("cell").to_numpy())):
                 for k in range(0, len(a), 1 << 16):
                     x, y = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
-                    x, y = (z[(tokens[x, :16] == tokens[y, :16]).sum(axis=1) >= least - 48] for z in (x, y))
+                    some = (tokens[x, :16] == tokens[y, :16]).sum(axis=1) >= least - (SIGNATURE - 16)
+                    x, y = x[some], y[some]
                     same = (tokens[x] == tokens[y]).sum(axis=1) >= least
                     hits[0].append(x[same])
                     hits[1].append(y[same])
             if hits[0]:
-                member, root = forest(len(ids), np.concatenate(hits[0]), np.concatenate(hits[1]))
+                member, root = spanning(len(ids), side, np.concatenate(hits[0]), np.concatenate(hits[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[member], pa.int64()), pa.array(ids[root], pa.int64())], schema=schema)
 
     return cells.mapInArrow(compare, "a long, b long")
@@ -361,7 +374,7 @@ def jaccard_classes(
     )
     # One text for each member: rows equal in id and text are the same text.
     texts = rows.join(
-        placed.select("set_id", "root", "n", "copies", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")),
+        placed.select("set_id", "root", "n", "copies", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")).hint("merge"),
         F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key")),
     ).select("set_id", "root", "n", "copies", set_of(F.coalesce("text", F.lit(""))).alias("shingles"))
     sets = materialize(texts, "jaccard-sets").dropDuplicates(["set_id"])
