@@ -345,8 +345,9 @@ def oracle_queries() -> dict[str, str]:
       m as (select event_id, p, count(*) n, cast(avg(cast(v as double)) as float) v from x group by event_id, p),
       s as (select *, sqrt(sum(cast(v as double) * cast(v as double)) over (partition by event_id)) nrm from m),
       u as (select event_id, p, n, cast(cast(cast(v as double) / nrm as float) as double) v from s)
-      select event_id, max(n) pooled_rows, {signless('max(case when p = 1 then v end)', 5)} v0, {signless('max(case when p = 32 then v end)', 5)} v31,
-      {signless('max(case when p = 64 then v end)', 5)} v63, round(sqrt(sum(v * v)), 5) norm from u group by event_id"""
+      select event_id, coalesce(max(n), 0) pooled_rows, {signless('max(case when p = 1 then v end)', 5)} v0, {signless('max(case when p = 32 then v end)', 5)} v31,
+      {signless('max(case when p = 64 then v end)', 5)} v63, round(sqrt(sum(v * v)), 5) norm,
+      {signless('sum(v * p)', 3)} weighted_sum from (select event_id from events) left join u using (event_id) group by event_id"""
     out["temporal_overlap_pairs"] = f"""with {POOL}, {WINDOWS},
       pairs as (select p.q, p.a, greatest(0, least(x.e, y.e) - greatest(x.s, y.s)) / 3600 i, (x.e - x.s) / 3600 dx, (y.e - y.s) / 3600 dy
         from pool p join wins x on x.id = p.q join wins y on y.id = p.a)
@@ -378,6 +379,22 @@ def oracle_queries() -> dict[str, str]:
       fe source_event_rank, fx source_context_rank, fm source_metadata_rank, 61::bigint source_sequence_rank,
       concat_ws('+', case when re is not null then 'event' end, case when rc is not null then 'context' end, case when rm is not null then 'metadata' end) membership,
       round(dc, 6) context_distance, case when re is not null then 'event_channel' end event_provenance from pool"""
+    out["fuse_channels_rankless"] = """with e as (select cast(user_id as varchar) q, cast(event_id % 20 as varchar) a, event_id % 3 ch, event_id, value,
+        row_number() over (partition by user_id, event_id % 3 order by event_id) o from events),
+      r as (select *, case when event_id % 5 <> 0 then o + event_id % 4 else o end rk from e),
+      f as (select q, a, ch, arg_min(rk, o) rk, arg_min(value, o) d from r group by 1, 2, 3),
+      p as (select q, a, max(case when ch = 0 then rk end) r0, max(case when ch = 1 then rk end) r1, max(case when ch = 2 then rk end) r2,
+        max(case when ch = 0 then d end) d0, max(case when ch = 1 then d end) d1, max(case when ch = 2 then d end) d2 from f group by 1, 2),
+      m as (select *, least(coalesce(r0, r1, r2), coalesce(r1, r0, r2), coalesce(r2, r0, r1)) mn,
+        greatest(coalesce(r0, 16), coalesce(r1, 16), coalesce(r2, 16)) mx from p),
+      o as (select *, row_number() over (partition by q order by mn, case when r0 is not null then 0 when r1 is not null then 1 else 2 end,
+        coalesce(r0, 16), coalesce(r1, 16), coalesce(r2, 16), a) pr from m)
+      select q query_id, a candidate_id, pr pool_rank, mn source_min_rank, mx - mn source_rank_gap,
+      concat_ws('+', case when r0 is not null then 'event' end, case when r1 is not null then 'context' end, case when r2 is not null then 'metadata' end) membership,
+      concat_ws('|', coalesce(r0::varchar, '-'), coalesce(r1::varchar, '-'), coalesce(r2::varchar, '-')) ranks,
+      concat_ws('|', coalesce(floor(d0 * 100)::bigint::varchar, '-'), coalesce(floor(d1 * 100)::bigint::varchar, '-'), coalesce(floor(d2 * 100)::bigint::varchar, '-')) distances,
+      concat_ws('|', case when r0 is null then '-' else 'event_candidate_path' end, case when r1 is null then '-' else 'context_candidate_path' end,
+        case when r2 is null then '-' else 'metadata_candidate_path' end) provenance from o where pr <= 15"""
     priors = ("rank_inv", "source_event_rank_inv", "source_sequence_rank_inv", "source_min_rank_inv", "score_event_rank_prior", "score_pool_rank_prior", "score_context_rank_prior")
     out["fusion_priors"] = f"""with {POOL} select q query_id, a candidate_id, {', '.join(f'round({DERIVED[c]}, 6) {c}' for c in priors)},
       (rc is not null)::int context_candidate, coalesce(rc, 0) context_rank from pool"""
@@ -497,12 +514,16 @@ def oracle_queries() -> dict[str, str]:
       select count(*) fold_count, count(distinct fold) fold_names, count(case when not tb < a then 1 end) train_overlaps, count(case when not a <= b then 1 end) empty_folds from p"""
     out["seed_sd"] = """with u as (select event_type, user_id, avg(value) v from events group by 1, 2), m as (select event_type, avg(v) m from u group by 1)
       select count(*) seeds, round(avg(m), 6) seed_mean, round(stddev_pop(m), 6) seed_sd from m"""
-    out["paired_bootstrap_hash"] = f"""with {PAIRED}, g as (select row_number() over (order by user_id) - 1 i, proposed - baseline d from paired),
-      n as (select count(*) n from paired), x as (select id, n, (id * 48271 + 7) % 2147483647 h from n, range(0, (select n * 1000 from n)) r(id)),
-      y as (select *, (h * h + 12345) % 2147483647 h2 from x), w as (select id // n b, ((h2 * h2 + h) % 2147483647) % n i, n from y),
-      m as (select b, avg(d) m from w join g on g.i = w.i group by b)
+    # Poisson(1) by inversion: cumulative probabilities times 2^32, rounded down.
+    edges = (1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777, 4294923276, 4294962463, 4294966817, 4294967252, 4294967292)
+    weight = " + ".join(f"(u >= {e})::int" for e in edges)
+    out["paired_bootstrap_hash"] = f"""with {PAIRED}, g as (select cast(user_id as varchar) k, proposed - baseline d from paired),
+      h as (select d, blk, md5('7:' || blk || ':' || k) m from g, range(2500) r(blk)),
+      x as (select d, blk * 4 + j as b, cast('0x' || substr(m, j * 8 + 1, 8) as bigint) u from h, (select unnest([0, 1, 2, 3])::int j)),
+      w as (select b, d, {weight} w from x),
+      m as (select b, sum(w * d) / sum(w) m from w group by b having sum(w) > 0)
       select round((select avg(d) from g), 6) estimate, round(quantile_cont(m, 0.025), 6) lower, round(quantile_cont(m, 0.975), 6) upper,
-      0.95::double confidence, (select n from n) query_count, count(*) resamples from m"""
+      0.95::double confidence, (select count(*) from g) query_count, 10000::bigint resamples from m"""
     out["study_json_explode"] = "select event_type, count(*) n, cast(sum(cast(json_extract(props, '$.k') as bigint)) as bigint) k_sum from events group by event_type"
     out["portability_pairs"] = f"""with {scores}, {dcg('src', 'user_id, seed', 'control', 'rel3', 'c')}, {dcg('src', 'user_id, seed', 'system', 'rel3', 's')},
       ca as (select user_id, avg(ndcg) v from c group by 1), sa as (select user_id, avg(ndcg) v from s group by 1)

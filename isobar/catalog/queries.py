@@ -161,6 +161,8 @@ def event_vectors_pooled(spark, sf):
         r6(F.col("vector")[31], 5).alias("v31"),
         r6(F.col("vector")[63], 5).alias("v63"),
         r6(l2_norm("vector"), 5).alias("norm"),
+        # Every value counts, at its place.
+        r6(F.aggregate(F.transform("vector", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x), 3).alias("weighted_sum"),
     )
 
 
@@ -301,6 +303,30 @@ def fuse_channels(spark, sf):
     )
 
 
+@query
+def fuse_channels_rankless(spark, sf):
+    """Three channels of events per user: ranks that are often missing, and candidates that repeat in a channel."""
+    rows = t.table(spark, sf, "events").select(
+        F.col("user_id").cast("string").alias("query_id"), F.pmod("event_id", F.lit(20)).cast("string").alias("candidate_id"),
+        F.pmod("event_id", F.lit(3)).alias("channel"), "event_id", F.col("value").alias("distance"),
+    )
+    order = Window.partitionBy("query_id", "channel").orderBy("event_id")
+    placed = rows.withColumn("ordinal", F.row_number().over(order)).withColumn(
+        "rank", F.when(F.pmod("event_id", F.lit(5)) != 0, F.col("ordinal") + F.pmod("event_id", F.lit(4))).cast("int")
+    )
+    channels = {n: placed.filter(F.col("channel") == i).drop("channel", "event_id") for i, n in enumerate(("event", "context", "metadata"))}
+    fused = fusion.fuse_candidate_channels(channels, limit=15)
+
+    def text(column, cast):
+        return F.concat_ws("|", *[F.coalesce(cast(F.col(column)[n]).cast("string"), F.lit("-")) for n in channels])
+
+    return fused.select(
+        "query_id", "candidate_id", *[big(c).alias(c) for c in ("pool_rank", "source_min_rank", "source_rank_gap")],
+        F.concat_ws("+", "source_membership").alias("membership"), text("source_ranks", lambda c: c).alias("ranks"),
+        text("source_distances", lambda c: F.floor(c * 100)).alias("distances"), text("source_provenance", lambda c: c).alias("provenance"),
+    )
+
+
 @query
 def fusion_priors(spark, sf):
     names = (
@@ -790,17 +816,7 @@ def _interval(frame: DataFrame) -> DataFrame:
 def paired_bootstrap_hash(spark, sf):
     return _interval(
         bootstrap.paired_bootstrap(
-            _paired(spark, sf), baseline="baseline", proposed="proposed", order="user_id", resamples=1000, seed=7,
-            method="hash",
-        )
-    )
-
-
-@query
-def paired_bootstrap_pcg64(spark, sf):
-    return _interval(
-        bootstrap.paired_bootstrap(
-            _paired(spark, sf), baseline="baseline", proposed="proposed", order="user_id", resamples=1000
+            _paired(spark, sf), baseline="baseline", proposed="proposed", order="user_id", seed=7
         )
     )
 

@@ -20,7 +20,6 @@ def parser() -> argparse.ArgumentParser:
     study.add_argument("--output", required=True)
     study.add_argument("--resamples", type=int, default=10_000)
     study.add_argument("--seed", type=int, default=20262202)
-    study.add_argument("--method", choices=("pcg64", "hash"), default="pcg64")
     study.add_argument("--control", help="control field (portability) or prefix (physical)")
     study.add_argument("--system", help="system field (portability) or prefix (physical)")
     study.add_argument("--backend", default="backend")
@@ -38,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
 
 
 def run_study(spark, args) -> dict:
-    common = {"resamples": args.resamples, "seed": args.seed, "method": args.method}
+    common = {"resamples": args.resamples, "seed": args.seed}
     if args.study == "evidence":
         if not Path(args.input).is_dir():
             raise ValueError("evidence input must be a directory")

@@ -1,23 +1,33 @@
-"""Paired bootstrap intervals for the mean of per-query differences."""
+"""Paired bootstrap intervals for the mean of per-query differences.
+
+Resamples are drawn without drawing rows: a row enters each resample with a Poisson(1) weight, the limit of how often
+sampling with replacement takes it. A weight is a function of seed, resample and key alone, so it does not depend on
+order, partitioning or the key's type, and no index, join or numbering is needed. Tasks add up weights and weighted
+differences per resample; one row for each task and resample is shuffled, whatever the number of queries.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isobar.operators.ordering import ordinal
+#: Resamples whose weights come from one hash of 128 bits, 32 bits each.
+PER_HASH = 4
 
-# The exact generator stream is sequential, so it runs in one task and only for inputs this small.
-SEQUENTIAL_ROWS = 20_000
-CHUNK = 1_000
-PRIME = 2_147_483_647
-NUMBERING_BUCKETS = 4_096
 
-RESULT = "estimate double, lower double, upper double, confidence double, query_count long, resamples long, seed long"
+def poisson_edges() -> list[int]:
+    """Cumulative probabilities of Poisson(1) in units of 2^-32, up to the last below 1."""
+    edges, term, total = [], math.exp(-1), 0.0
+    for k in range(1, 20):
+        total += term
+        edge = math.floor(total * 2**32)
+        if edge >= 2**32 - 1:
+            break
+        edges.append(edge)
+        term /= k
+    return edges
 
 
 def _check(df: DataFrame, baseline: str, proposed: str, confidence: float, resamples: int) -> int:
@@ -37,62 +47,31 @@ def _check(df: DataFrame, baseline: str, proposed: str, confidence: float, resam
     return row["n"]
 
 
-def paired_bootstrap(
-    df: DataFrame,
-    *,
-    baseline: str,
-    proposed: str,
-    order: str = "query_id",
-    confidence: float = 0.95,
-    resamples: int = 10_000,
-    seed: int = 20262202,
-    method: str = "pcg64",
-) -> DataFrame:
-    """One row: estimate, percentile interval and settings.
-
-    ``pcg64`` reproduces the published draws of NumPy's default generator over rows sorted by
-    ``order``. Its stream cannot be split, so it accepts at most ``SEQUENTIAL_ROWS`` queries.
-    ``hash`` has no such bound: draws are a function of (resample, position) and are spread over the
-    cluster.
-    """
-    n = _check(df, baseline, proposed, confidence, resamples)
-    if method == "hash":
-        return hashed_bootstrap(
-            df, n=n, baseline=baseline, proposed=proposed, order=order, confidence=confidence,
-            resamples=resamples, seed=seed,
-        )
-    if method != "pcg64":
-        raise ValueError("method must be 'pcg64' or 'hash'")
-    if n > SEQUENTIAL_ROWS:
-        raise ValueError(f"{n} queries exceed the sequential generator; use method='hash'")
-    gaps = df.select(F.col(order).alias("k"), (F.col(proposed).cast("double") - F.col(baseline).cast("double")).alias("d"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        values = pd.concat(list(frames))["d"].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        means = [
-            values[rng.integers(0, values.size, size=(min(CHUNK, resamples - done), values.size))].mean(axis=1)
-            for done in range(0, resamples, CHUNK)
-        ]
-        tail = (1.0 - confidence) / 2.0
-        low, high = np.quantile(np.concatenate(means), [tail, 1.0 - tail])
-        yield pd.DataFrame([(values.mean(), low, high, confidence, values.size, resamples, seed)])
-
-    return gaps.orderBy("k").coalesce(1).mapInPandas(run, RESULT)
+def resample_weight(digest: Column, place: Column) -> Column:
+    """Poisson(1) weight from the 32 bits of an MD5 digest at ``place`` (0 to 3)."""
+    bits = F.conv(F.substring(digest, place * 8 + 1, F.lit(8)), 16, 10).cast("long")
+    return sum((F.when(bits >= edge, 1).otherwise(0) for edge in poisson_edges()), F.lit(0))
 
 
-def draw_index(draw: Column, n: int, seed: int) -> Column:
-    """Index in ``[0, n)`` of one draw: two squarings modulo a prime, in 64-bit integers only."""
-    first = F.pmod(draw * F.lit(48_271) + F.lit(seed), F.lit(PRIME))
-    second = F.pmod(first * first + F.lit(12_345), F.lit(PRIME))
-    third = F.pmod(second * second + first, F.lit(PRIME))
-    return F.pmod(third, F.lit(n))
+def resample_means(gaps: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """(resample, mean) of rows (k, d); a resample that takes no row has no mean."""
+    blocks = F.explode(F.sequence(F.lit(0), F.lit((resamples - 1) // PER_HASH))).alias("block")
+    hashed = gaps.select("d", F.col("k").cast("string").alias("k"), blocks).select(
+        "d", "block", F.md5(F.concat_ws(":", F.lit(seed), "block", F.coalesce("k", F.lit(""))).cast("binary")).alias("digest")
+    )
+    sums = []
+    for place in range(PER_HASH):
+        weight = resample_weight(F.col("digest"), F.lit(place))
+        sums += [F.sum(weight).alias(f"w{place}"), F.sum(weight * F.col("d")).alias(f"s{place}")]
+    wide = hashed.groupBy("block").agg(*sums)
+    pairs = F.explode(F.array(*[F.struct((F.col("block") * PER_HASH + i).alias("resample"), F.col(f"s{i}").alias("s"), F.col(f"w{i}").alias("w")) for i in range(PER_HASH)]))
+    flat = wide.select(pairs.alias("r")).select("r.*").where((F.col("resample") < resamples) & (F.col("w") > 0))
+    return flat.select("resample", (F.col("s") / F.col("w")).alias("mean"))
 
 
-def hashed_bootstrap(
+def paired_bootstrap(
     df: DataFrame,
     *,
-    n: int,
     baseline: str,
     proposed: str,
     order: str = "query_id",
@@ -100,27 +79,11 @@ def hashed_bootstrap(
     resamples: int = 10_000,
     seed: int = 20262202,
 ) -> DataFrame:
-    """Bootstrap with hashed draws; the draw table is generated in place and joined on the index."""
-    spark = df.sparkSession
+    """One row: estimate, percentile interval and settings. ``order`` is the key of a query, unique per row."""
+    n = _check(df, baseline, proposed, confidence, resamples)
     gaps = df.select(F.col(order).alias("k"), (F.col(proposed).cast("double") - F.col(baseline).cast("double")).alias("d"))
-    # Any fixed numbering will do. Numeric keys are numbered in order, over ranges of equal width;
-    # other keys by their hash, whose leading bits are evenly filled buckets.
-    if dict(gaps.dtypes)["k"] in {"int", "bigint", "smallint", "tinyint"}:
-        edge = gaps.agg(F.min("k").alias("low"), F.max("k").alias("high")).first()
-        width = max(1, (edge["high"] - edge["low"]) // NUMBERING_BUCKETS + 1)
-        placed, bucket, by = gaps, F.floor((F.col("k") - F.lit(edge["low"])) / F.lit(width)), ["k"]
-    else:
-        placed = gaps.withColumn("h", F.xxhash64("k"))
-        bucket, by = F.shiftright("h", 64 - NUMBERING_BUCKETS.bit_length()), ["h", "k"]
-    numbered = ordinal(placed.withColumn("_all", F.lit(0)), ["_all"], bucket, by, name="place").select(
-        (F.col("place") - 1).cast("long").alias("i"), "d"
-    )
-    draws = spark.range(resamples * n).select(
-        F.floor(F.col("id") / F.lit(n)).alias("b"), draw_index(F.col("id"), n, seed).cast("long").alias("i")
-    )
-    means = draws.join(numbered, "i").groupBy("b").agg(F.avg("d").alias("mean"))
     tail = (1.0 - confidence) / 2.0
-    interval = means.agg(F.percentile("mean", F.array(F.lit(tail), F.lit(1.0 - tail))).alias("q"))
+    interval = resample_means(gaps, resamples, seed).agg(F.percentile("mean", F.array(F.lit(tail), F.lit(1.0 - tail))).alias("q"))
     estimate = gaps.agg(F.avg("d").alias("e")).first()["e"]
     return interval.select(
         F.lit(estimate).alias("estimate"),

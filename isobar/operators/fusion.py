@@ -69,8 +69,9 @@ def fuse_candidate_channels(
 ) -> DataFrame:
     """Fused pool per query: one row per candidate, the best ``limit`` of them.
 
-    Each channel brings ``candidate_id`` and ``rank``, and optionally ``ordinal`` (its row order, by
-    default the rank), ``distance``, ``provenance`` and carried attributes. Channels are stacked and
+    Each channel brings ``candidate_id`` and ``rank`` or ``ordinal`` (its row order from 1, by default the
+    rank), and optionally ``distance``, ``provenance`` and carried attributes. A row without a rank has its
+    ordinal for one; a row without both fails the job. Channels are stacked and
     folded by one aggregation on (query, candidate), not joined one by one.
     """
     keys = list(keys)
@@ -89,8 +90,11 @@ def fuse_candidate_channels(
             return value.cast(kind)
 
         who = F.coalesce(*[F.col(c).cast("string") for c in ("candidate_id", "event_id") if c in has])
-        rank = pick("rank", "int")
-        checked = F.when(rank <= 0, F.raise_error(F.lit("source ranks must be positive")).cast("int")).otherwise(rank)
+        ordinal = pick("ordinal", "long")
+        rank = F.coalesce(pick("rank", "int"), ordinal.cast("int"))
+        checked = F.when(
+            F.coalesce(rank, F.lit(0)) <= 0, F.raise_error(F.lit("a source row needs a positive rank or ordinal")).cast("int")
+        ).otherwise(rank)
         return df.select(
             *keys,
             F.when(
@@ -98,7 +102,7 @@ def fuse_candidate_channels(
             ).otherwise(who).alias("candidate_id"),
             F.lit(position).alias("_channel"),
             checked.alias("_rank"),
-            (F.col("ordinal").cast("long") if "ordinal" in has else rank.cast("long")).alias("_ordinal"),
+            F.coalesce(ordinal, rank.cast("long")).alias("_ordinal"),
             pick("distance", "double").alias("_distance"),
             F.coalesce(pick("provenance", "string"), F.lit(f"{name}_candidate_path")).alias("_provenance"),
             *[pick(c, types[c]).alias(c) for c in carried],

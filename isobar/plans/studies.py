@@ -161,10 +161,10 @@ def _check_folds(queries: DataFrame, folds: DataFrame, expected: int) -> None:
         raise ValueError(f"expected {expected} non-empty folds")
 
 
-def _paired_summary(pairs: DataFrame, baseline: str, proposed: str, *, resamples: int, seed: int, method: str) -> dict[str, Any]:
+def _paired_summary(pairs: DataFrame, baseline: str, proposed: str, *, resamples: int, seed: int) -> dict[str, Any]:
     interval = paired_bootstrap(
         pairs, baseline=baseline, proposed=proposed, order="position" if "position" in pairs.columns else "query_id",
-        resamples=resamples, seed=seed, method=method,
+        resamples=resamples, seed=seed,
     ).first().asDict()
     means = pairs.agg(F.avg(baseline).alias("b"), F.avg(proposed).alias("p")).first()
     return {"baseline_mean": means["b"], "proposed_mean": means["p"], "paired_bootstrap": interval}
@@ -187,7 +187,6 @@ def evaluate_portability(
     system: str = "system_scores",
     resamples: int = 10_000,
     seed: int = 308000,
-    method: str = "pcg64",
 ) -> dict[str, Any]:
     """Continuous nDCG@10 of two sealed score vectors per query and model seed, over temporal folds."""
     require(
@@ -239,7 +238,7 @@ def evaluate_portability(
             .agg(F.avg("ndcg").alias(arm))
         )
     pairs = materialize(arms[0].join(arms[1], ["query_id", "fold"]), "study")
-    summary = _paired_summary(pairs, control, system, resamples=resamples, seed=seed, method=method)
+    summary = _paired_summary(pairs, control, system, resamples=resamples, seed=seed)
     return {
         "study_scope": "development",
         "metric": "continuous_nDCG@10",
@@ -260,7 +259,6 @@ def evaluate_matched_scoring(
     full_system: str = "full",
     resamples: int = 10_000,
     seed: int = 20262202,
-    method: str = "pcg64",
 ) -> dict[str, Any]:
     """Two candidate pools under one sealed score map."""
     require(
@@ -306,7 +304,7 @@ def evaluate_matched_scoring(
         )
     pairs = materialize(results[0].join(results[1], "query_id"), "study")
     summary = _paired_summary(
-        pairs, f"{backend}_ndcg", f"{full_system}_ndcg", resamples=resamples, seed=seed, method=method
+        pairs, f"{backend}_ndcg", f"{full_system}_ndcg", resamples=resamples, seed=seed
     )
     counts = pairs.agg(F.avg(f"{backend}_relevant").alias("b"), F.avg(f"{full_system}_relevant").alias("f")).first()
     return {
@@ -330,7 +328,6 @@ def evaluate_physical_ablation(
     system: str = "system",
     resamples: int = 10_000,
     seed: int = 20262202,
-    method: str = "pcg64",
 ) -> dict[str, Any]:
     """Ranking and top-1 track error of two systems, over temporal folds."""
     require(payload, {"only development ablations are accepted": F.col("study_scope") == "development"})
@@ -350,7 +347,7 @@ def evaluate_physical_ablation(
             "nDCG must not exceed one": (F.col(ndcg[0]) <= 1.0) & (F.col(ndcg[1]) <= 1.0),
         },
     )
-    summary = _paired_summary(queries, *ndcg, resamples=resamples, seed=seed, method=method)
+    summary = _paired_summary(queries, *ndcg, resamples=resamples, seed=seed)
     means = queries.agg(F.avg(errors[0]).alias("b"), F.avg(errors[1]).alias("s")).first()
     return {
         "study_scope": "development",
@@ -381,6 +378,13 @@ def _evidence(
     return rows, meta
 
 
+def _diversity(rows: DataFrame) -> dict[str, Any]:
+    """Row count, and mean, least and largest value of every numeric column, over all rows."""
+    names = [f.name for f in rows.schema if isinstance(f.dataType, T.NumericType)]
+    found = rows.agg(F.count(F.lit(1)).alias("row_count"), *[f(F.col(f"`{n}`")).alias(f"{n}_{label}") for n in names for label, f in (("mean", F.avg), ("min", F.min), ("max", F.max))])
+    return found.first().asDict()
+
+
 def verify_evidence(
     spark: SparkSession,
     directory: str | Path,
@@ -402,7 +406,6 @@ def verify_evidence(
     def result(rows: DataFrame, meta: Mapping[str, Any], control: str, system: str) -> dict[str, Any]:
         summary = _paired_summary(
             rows, control, system, resamples=int(meta["bootstrap_resamples"]), seed=int(meta["bootstrap_seed"]),
-            method="pcg64",
         )
         interval = summary["paired_bootstrap"]
         return {
@@ -451,8 +454,6 @@ def verify_evidence(
         "portability": first,
         "matched_scoring": second,
         "physical_ablation": third,
-        "candidate_diversity": [
-            r.asDict() for r in spark.read.csv(str(root / diversity), header=True).limit(1000).collect()
-        ],
+        "candidate_diversity": _diversity(spark.read.csv(str(root / diversity), header=True, inferSchema=True)),
         "audit_export": json.loads((root / audit).read_text(encoding="utf-8")),
     }

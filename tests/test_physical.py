@@ -80,23 +80,33 @@ def test_ground_truth_excludes_the_same_cyclone(spark):
     assert {r["query_id"]: r["candidate_id"] for r in truth.collect()}["e4"] == "e3"
 
 
-def test_bootstrap_matches_numpy_and_hash_is_close(spark):
+def test_bootstrap_intervals(spark):
     rng = np.random.default_rng(5)
     base, gain = rng.random(60), rng.normal(0.1, 0.3, 60)
     df = spark.createDataFrame([(i, float(a), float(a + g)) for i, (a, g) in enumerate(zip(base, gain, strict=True))], "i int, a double, b double")
     options = {"baseline": "a", "proposed": "b", "order": "i"}
-    got = bootstrap.paired_bootstrap(df.repartition(3), resamples=2500, seed=11, **options).first()
+    got = bootstrap.paired_bootstrap(df, resamples=4000, seed=11, **options).first()
     draws = np.random.default_rng(11)
-    means = np.concatenate([((base + gain) - base)[draws.integers(0, 60, size=(n, 60))].mean(axis=1) for n in (1000, 1000, 500)])
-    assert (got["lower"], got["upper"]) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+    means = np.quantile(gain[draws.integers(0, 60, size=(4000, 60))].mean(axis=1), [0.025, 0.975])
+    assert (got["lower"], got["upper"]) == pytest.approx(tuple(means), abs=0.015)
     assert got["query_count"] == 60 and got["estimate"] == pytest.approx(gain.mean())
-    hashed = bootstrap.paired_bootstrap(df, resamples=2500, seed=11, method="hash", **options).first()
-    assert hashed["lower"] == pytest.approx(got["lower"], abs=0.02) and hashed["upper"] == pytest.approx(got["upper"], abs=0.02)
+    # Neither the partitioning nor the type of the key matters.
+    other = bootstrap.paired_bootstrap(df.repartition(3).withColumn("i", F.col("i").cast("string")), resamples=4000, seed=11, **options).first()
+    assert (other["lower"], other["upper"]) == pytest.approx((got["lower"], got["upper"]))
     same = spark.createDataFrame([(i, i / 10, i / 10 + 0.1) for i in range(4)], "i int, a double, b double")
     flat = bootstrap.paired_bootstrap(same, resamples=500, seed=7, **options).first()
     assert (flat["estimate"], flat["lower"], flat["upper"]) == pytest.approx((0.1, 0.1, 0.1))
-    for bad in ({"confidence": 1.0}, {"resamples": 99}, {"method": "other"}):
+    for bad in ({"confidence": 1.0}, {"resamples": 99}):
         with pytest.raises(ValueError):
             bootstrap.paired_bootstrap(df, **options, **bad)
     with pytest.raises(ValueError, match="finite"):
         bootstrap.paired_bootstrap(df.withColumn("b", F.lit(None).cast("double")), **options)
+
+
+def test_bootstrap_weights_are_poisson_and_resamples_differ(spark):
+    weights = spark.range(30000).select(bootstrap.resample_weight(F.md5(F.col("id").cast("string").cast("binary")), F.lit(1)).alias("w"))
+    row = weights.agg(F.avg("w").alias("m"), F.var_pop("w").alias("v"), F.max("w").alias("x")).first()
+    assert row["m"] == pytest.approx(1, abs=0.03) and row["v"] == pytest.approx(1, abs=0.05) and row["x"] >= 5
+    far = spark.range(40).select((F.col("id") + 2**40).alias("k"), F.sqrt(F.col("id") + 2).alias("d"))
+    means = bootstrap.resample_means(far, 10_001, 3)
+    assert means.count() == 10_001 and means.select("mean").distinct().count() > 9_900

@@ -36,6 +36,18 @@ def test_fusion_ranks_and_priors(spark):
         fuse_candidate_channels({"event": channel(spark, [("a", 0, 0.1)])}, limit=3).collect()
 
 
+def test_rows_without_a_rank_take_their_place(spark):
+    rows = [("a", 1, 0.1, 1), ("b", None, 0.2, 2), ("c", None, 0.3, 3), ("b", 1, 0.4, 4)]
+    channels = {"event": channel(spark, rows, "candidate_id string, rank int, distance double, ordinal long")}
+    got = {r["candidate_id"]: r for r in fuse_candidate_channels(channels, limit=5).collect()}
+    assert {c: (r["pool_rank"], r["source_min_rank"], r["source_membership"]) for c, r in got.items()} == {
+        "a": (1, 1, ["event"]), "b": (2, 2, ["event"]), "c": (3, 3, ["event"])
+    }
+    assert got["b"]["source_distances"] == {"event": 0.2}
+    with pytest.raises(Exception, match="rank or ordinal"):
+        fuse_candidate_channels({"event": channel(spark, [("a", None, 0.1)])}, limit=3).collect()
+
+
 def test_enrichment_and_exclusion(spark):
     rows = spark.createDataFrame([("q", "a", None, "g"), ("q", "q", "x", "g"), ("q", "b", "mine", None)],
                                  "query_id string, candidate_id string, group_id string, query_group_id string")

@@ -129,7 +129,7 @@ def test_evidence_directory(spark, tmp_path):
     (tmp_path / "match_metadata.json").write_text(json.dumps({**base, "query_count": 2, "full_pool_size": 1000}))
     (tmp_path / "phys_metadata.json").write_text(json.dumps({**base, "query_count": 2}))
     (tmp_path / "seeds.json").write_text(json.dumps({"seed_values": {"1": 0.5, "2": 0.7}}))
-    (tmp_path / "div.csv").write_text("task,ratio\nx,1.0\n")
+    (tmp_path / "div.csv").write_text("task,ratio\n" + "".join(f"x{i},{i}\n" for i in range(1500)))
     (tmp_path / "audit.json").write_text("{}")
     layout = {
         "portability": ["port", "c", "s"], "matched": ["match", "c", "s", "cn", "sn"],
@@ -137,6 +137,7 @@ def test_evidence_directory(spark, tmp_path):
     }
     result = studies.verify_evidence(spark, tmp_path, **{k: tuple(v) if isinstance(v, list) else v for k, v in layout.items()})
     assert result["portability"]["gain"] == pytest.approx(0.2) and result["portability"]["seed_sd"] == pytest.approx(0.1)
+    assert result["candidate_diversity"] == {"row_count": 1500, "ratio_mean": 749.5, "ratio_min": 0, "ratio_max": 1499}
     assert result["matched_scoring"]["system_relevant_at20"] == 5.5
     assert result["physical_ablation"]["track_rmse_reduction_km"] == 500.0
     assert not result["physical_ablation"]["all_temporal_folds_positive"]
