@@ -488,12 +488,12 @@ def oracle_queries() -> dict[str, str]:
       {fused_rows('r', 'k_event', 'r_context', 'k_meta')},
       pw as (select f.q, f.a cid, f.pr rnk, w.tp, w.s, w.e from rpool1 f join wins w on w.id = f.a where f.pr <= 60),
       {suppression('pw', 'q || chr(1) || tp', 0.5, 12)},
-      rpool as (select f.*, greatest(f.fe, f.fx, f.fm) - least(f.fe, f.fx, f.fm) gap, 1 / (1 + f.de) score_final, 0.0::double score_calibrated,
+      rpool as materialized (select f.*, greatest(f.fe, f.fx, f.fm) - least(f.fe, f.fx, f.fm) gap, 1 / (1 + f.de) score_final, 0.0::double score_calibrated,
         false rel, 'test' split from rpool1 f join walk k on split_part(k.g, chr(1), 1) = f.q and k.cid = f.a where k.keep),
-      {graph_ctes('rpool')}, terms as ({terms('context_prior')}), scored as (select *, {FROZEN_TEXT} score from terms),
-      proposal as (select q, a, score, row_number() over (partition by q order by score desc, a) pr from scored),
-      anchors as (select q, a, row_number() over (partition by q order by rk) ar from (
-        select k.q, k.a, k.rk from k_context k join rpool p on p.q = k.q and p.a = k.a where k.rk <= 20) qualify ar <= 5), {merged(5, 21)}"""
+      {graph_ctes('rpool')}, terms as materialized ({terms('context_prior')}), scored as materialized (select *, {FROZEN_TEXT} score from terms),
+      anchors as materialized (select q, a, row_number() over (partition by q order by rk) ar from (
+        select k.q, k.a, k.rk from k_context k join rpool p on p.q = k.q and p.a = k.a where k.rk <= 20) qualify ar <= 5),
+      proposal as materialized (select q, a, score, row_number() over (partition by q order by score desc, a) pr from scored where q in (select q from anchors)), {merged(5, 21)}"""
     out["retrieval_top20"] = f"""{retrieval}
       select m.q query_id, m.a candidate_id, m.rk rank, {signless('cast(s.score as double)', 4)} score
       from merged m join scored s on s.q = m.q and s.a = m.a"""
@@ -501,8 +501,8 @@ def oracle_queries() -> dict[str, str]:
       c as (select q, count(*) n from r_context group by q), f as (select q, count(*) n from rpool1 where pr <= 60 group by q),
       k as (select split_part(g, chr(1), 1) q, count(case when keep then 1 end) kept, count(case when not keep and ov then 1 end) o,
         count(case when not keep and st then 1 end) s from walk group by 1), m as (select q, count(*) n from merged group by q)
-      select c.q query_id, c.n retrieved, f.n fused, k.kept ranker_input, k.kept survivors, m.n returned, k.o overlap_suppressed,
-      k.s start_suppressed, 0::bigint excluded, 1 certified from c join f on f.q = c.q join k on k.q = c.q join m on m.q = c.q"""
+      select c.q query_id, c.n retrieved, f.n fused, k.kept ranker_input, k.kept survivors, coalesce(m.n, 0) returned, k.o overlap_suppressed,
+      k.s start_suppressed, 0::bigint excluded, 1 certified from c join f on f.q = c.q join k on k.q = c.q left join m on m.q = c.q"""
     limbs = ", ".join(f"cast(sum(cast('0x' || substr(h, {1 + 8 * i}, 8) as hugeint)) as varchar) l{i}" for i in range(8))
     out["label_graph_digest"] = f"""with {POOL}, {EDGES}, g as (select tq, c, sum(w) sw, max(w) mw from edges group by tq, c),
       x as (select sha256(tq || chr(1) || c || chr(1) || cast(sw as varchar) || chr(1) || cast(mw as varchar)) h from g),

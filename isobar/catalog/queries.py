@@ -947,7 +947,7 @@ def audit_counters(spark, sf):
     lists = {
         "overlap_suppressed": "$.temporal_suppression.overlap_suppressed_candidate_ids",
         "start_suppressed": "$.temporal_suppression.start_proximity_suppressed_candidate_ids",
-        "excluded": "$.exclusions_and_deduplication.excluded_candidate_ids",
+        "excluded": "$.exclusions_and_deduplication.query_and_same_group_exclusion.excluded_candidate_ids",
     }
     rows = _retrieval(spark, sf).audit
     return rows.select(

@@ -61,13 +61,30 @@ def test_retrieval_end_to_end(spark, world):
     audit.validate_record(record)
     assert row["certified"]
     assert record["temporal_suppression"]["start_proximity_suppressed_candidate_ids"] == ["b"]
-    assert record["exclusions_and_deduplication"]["excluded_candidate_ids"] == ["query", "twin"]
+    removed = record["exclusions_and_deduplication"]
+    assert removed["query_and_same_group_exclusion"] == {
+        "query_event_excluded": True, "same_group_excluded": True, "excluded_candidate_ids": ["query", "twin"]
+    }
+    assert removed["pre_reranking_same_event_deduplication"] == {"removed_candidate_ids": []}
+    assert removed["post_ranking_event_deduplication"]["applied"] is True and row["status"] == "ok"
     assert record["output"]["returned_count"] == 3 and record["context_stage"]["retrieved_count"] == 4
     for bad in ({"top_k": 0}, {"candidate_limit": 0}):
         with pytest.raises(ValueError):
             run_retrieval(**{**world, **bad})
-    with pytest.raises(ValueError, match="anchor"):
-        run_retrieval(**{**world, "anchors": world["anchors"].withColumn("candidate_id", F.lit("zz"))})
+    with pytest.raises(ValueError, match="rank or an ordinal"):
+        run_retrieval(**{**world, "anchors": world["anchors"].drop("rank")})
+
+
+def test_queries_without_candidates_or_anchors_are_told_apart(spark, world):
+    # "lost" has anchors that are not in its pool; the anchors have their order only.
+    asked = world["queries"].unionByName(world["queries"].withColumn("query_id", F.lit("lost")))
+    more = {n: world[n].unionByName(world[n].withColumn("query_id", F.lit("lost"))) for n in ("event_candidates", "metadata_candidates")}
+    anchors = world["anchors"].unionByName(
+        world["anchors"].withColumn("query_id", F.lit("lost")).withColumn("candidate_id", F.lit("zz"))
+    ).withColumnRenamed("rank", "ordinal")
+    result = run_retrieval(**{**world, **more, "queries": asked, "anchors": anchors})
+    assert {r["query_id"]: r["status"] for r in result.audit.collect()} == {"query": "ok", "lost": "no anchor left"}
+    assert [r["candidate_id"] for r in result.top_k.orderBy("rank").collect()] == ["a", "c", "d"]
 
 
 def test_serving_replaces_replayed_batches(spark, tmp_path):
