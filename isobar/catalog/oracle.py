@@ -317,6 +317,14 @@ def merge_query(keep: int, tail: int = 21) -> str:
 
 def oracle_queries() -> dict[str, str]:
     out: dict[str, str] = {}
+    out["knn_topk_shuffled"] = f"with {VECS}, {knn('k', 1, 64, 20)} select q query_id, a candidate_id, rk rank, round(d, 6) distance from k"
+    out["knn_ivf"] = f"""with {VECS}, pivots as (select id, v, row_number() over (order by md5(id), id) - 1 c from vecs qualify c < 16),
+      near as (select x.id, c, row_number() over (partition by x.id order by {l2('x.v', 'p.v')}, c) n from vecs x cross join pivots p),
+      home as (select id, c from near where n = 1), filled as (select distinct c from home),
+      visit as (select id, c from (select id, near.c, row_number() over (partition by id order by n) m from near join filled on near.c = filled.c) where m <= 6),
+      k as (select q.id q, a.id a, {l2('q.v', 'a.v')} d, row_number() over (partition by q.id order by {l2('q.v', 'a.v')}, a.id) rk
+        from visit t join home h on h.c = t.c join vecs q on q.id = t.id join vecs a on a.id = h.id where q.id <> a.id and q.g <> a.g)
+      select q query_id, a candidate_id, rk rank, round(d, 6) distance from k where rk <= 20"""
     out["knn_topk_excl_group"] = f"with {VECS}, {knn('k', 1, 64, 20)} select q query_id, a candidate_id, rk rank, round(d, 6) distance from k"
     out["knn_distance_profile"] = f"""with {VECS}, {CONTEXT} select q query_id, round(min(d), 6) min_distance, round(avg(d), 6) avg_distance,
       round(max(d), 6) max_distance, count(*) neighbours from k_context group by q"""

@@ -66,6 +66,14 @@ def knn_topk_excl_group(spark, sf):
     return hits.select("query_id", "candidate_id", big("rank").alias("rank"), r6("distance").alias("distance"))
 
 
+@query
+def knn_topk_shuffled(spark, sf):
+    """Sixteen cells, pruned by the bound, and an index that is shuffled and not broadcast."""
+    rows = t.vectors(spark, sf)
+    hits = knn.VectorIndex.fit(rows, cells=16, block_rows=64).search(rows, 20, id_col="candidate_id", broadcast_bytes=0)
+    return hits.select("query_id", "candidate_id", big("rank").alias("rank"), r6("distance").alias("distance"))
+
+
 @query
 def knn_distance_profile(spark, sf):
     """Distances of the neighbours, measured again by the column expression."""

@@ -141,10 +141,10 @@ class VectorIndex:
             row_count = rows.count()
         if row_count == 0:
             raise ValueError("cannot index an empty archive")
-        cells = cells or max(1, min(MAX_CELLS, math.ceil(row_count / ROWS_PER_CELL), probes))
+        cells = cells or max(1, min(MAX_CELLS, math.ceil(row_count / ROWS_PER_CELL)))
         probes = min(MAX_PROBES, max(probes, cells))
         # A bounded sample (at most MAX_PROBES rows): it steers pruning and never limits results.
-        sample = rows.orderBy(F.xxhash64("id"), "id").limit(probes).collect()
+        sample = rows.orderBy(F.md5(F.col("id").cast("binary")), "id").limit(probes).collect()
         dtype = np.float32 if element == "float" else np.float64
         width = len(sample[0]["vec"])
         if dimension is not None and width != dimension:
@@ -198,8 +198,12 @@ class VectorIndex:
         group_col: str | None = "group_id",
         exclude_self: bool = True,
         provenance: str = "background_context_index",
+        broadcast_bytes: int = BROADCAST_BYTES,
     ) -> DataFrame:
-        """Top ``k`` eligible archive rows per query, ordered by (distance, candidate id)."""
+        """Top ``k`` eligible archive rows per query, ordered by (distance, candidate id).
+
+        An index of up to ``broadcast_bytes`` is sent to the query blocks, a larger one is shuffled.
+        """
         spark = queries.sparkSession
         if k <= 0:
             return spark.createDataFrame([], HITS)
@@ -221,18 +225,19 @@ class VectorIndex:
         shared = spark.sparkContext.broadcast(plan)  # bounded by MAX_PROBES vectors
         routed = rows.mapInArrow(
             _route(shared, self.dimension, dtype),
-            f"id string, grp string, vec array<{self.element}>, home int, cells array<int>",
+            f"id string, grp string, vec array<{self.element}>, home int, bound double, cells array<int>",
         )
         if self.probes.cells > SORTED_PACKING_CELLS:
             routed = routed.repartitionByRange("home", F.xxhash64("id")).sortWithinPartitions("home")
         packed = routed.mapInArrow(
-            _pack_queries(self.dimension, dtype, self.block_rows),
-            f"q_ids array<string>, q_grps array<string>, q_vecs array<{self.element}>, cells array<int>",
+            _pack_queries(self.dimension, dtype, self.block_rows, self.backend == "ivf"),
+            f"q_ids array<string>, q_grps array<string>, q_vecs array<{self.element}>, q_bounds array<double>, "
+            "q_visits array<array<int>>, cells array<int>",
         )
-        visits = packed.select("q_ids", "q_grps", "q_vecs", F.explode("cells").alias("cell"))
+        visits = packed.select("q_ids", "q_grps", "q_vecs", "q_bounds", "q_visits", F.explode("cells").alias("cell"))
         blocks = self.blocks.select("cell", "a_ids", "a_grps", "a_vecs")
         size = self.row_count * self.dimension * np.dtype(dtype).itemsize
-        if size <= BROADCAST_BYTES:
+        if size <= broadcast_bytes:
             visits = visits.repartition(spark.sparkContext.defaultParallelism)
             blocks = F.broadcast(blocks)
         pairs = visits.join(blocks, "cell").mapInArrow(
@@ -353,13 +358,16 @@ def _route(shared, dimension: int, dtype):
                 bound = np.sqrt(np.partition(squared, k - 1, axis=1)[:, k - 1])
             else:
                 bound = np.full(len(matrix), np.inf)
-            closest = np.maximum(to_pivot - radii[filled, 1], radii[filled, 0] - to_pivot)
-            visit = closest <= (bound * (1.0 + 1e-5) + 1e-5)[:, None]
-            if plan["nprobe"] is not None and plan["nprobe"] < len(filled):
-                nearest = np.argpartition(to_pivot, plan["nprobe"] - 1, axis=1)[:, : plan["nprobe"]]
-                probe_mask = np.zeros_like(visit)
-                np.put_along_axis(probe_mask, nearest, True, axis=1)
-                visit &= probe_mask
+            bound = bound * (1.0 + 1e-5) + 1e-5
+            if plan["nprobe"] is None:
+                closest = np.maximum(to_pivot - radii[filled, 1], radii[filled, 0] - to_pivot)
+                visit = closest <= bound[:, None]
+            else:
+                # The best of the visited cells only, so rows elsewhere do not bound it.
+                bound[:] = np.inf
+                visit = np.zeros(to_pivot.shape, dtype=bool)
+                nearest = np.argsort(to_pivot, axis=1, kind="stable")[:, : plan["nprobe"]]
+                np.put_along_axis(visit, nearest, True, axis=1)
             picked = [filled[row] for row in visit]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -367,17 +375,19 @@ def _route(shared, dimension: int, dtype):
                     _column(batch, "grp"),
                     _column(batch, "vec"),
                     pa.array(filled[to_pivot.argmin(axis=1)].astype(np.int32)),
+                    pa.array(bound),
                     _list_array(
                         np.concatenate(picked).astype(np.int32), [len(p) for p in picked], pa.int32()
                     ),
                 ],
-                names=["id", "grp", "vec", "home", "cells"],
+                names=["id", "grp", "vec", "home", "bound", "cells"],
             )
 
     return run
 
 
-def _pack_queries(dimension: int, dtype, block_rows: int):
+def _pack_queries(dimension: int, dtype, block_rows: int, own_cells: bool):
+    """Blocks of queries with the cells that any of them visits; ``own_cells`` keeps the list of each query."""
     value_type = pa.float32() if dtype is np.float32 else pa.float64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,6 +396,7 @@ def _pack_queries(dimension: int, dtype, block_rows: int):
                 continue
             matrix = _matrix(_column(batch, "vec"), dimension, dtype)
             ids, groups = _labels(_column(batch, "id")), _labels(_column(batch, "grp"))
+            bounds = _column(batch, "bound").to_numpy()
             cells = _column(batch, "cells")
             flat, offsets = cells.flatten().to_numpy(), cells.offsets.to_numpy() - cells.offsets[0].as_py()
             pieces = [p for _, p in _runs(_column(batch, "home").to_numpy(), block_rows)]
@@ -397,42 +408,60 @@ def _pack_queries(dimension: int, dtype, block_rows: int):
                     _list_array(ids[order], sizes, pa.string()),
                     _list_array(groups[order], sizes, pa.string()),
                     _list_array(matrix[order].ravel(), sizes * dimension, value_type),
+                    _list_array(bounds[order], sizes, pa.float64()),
+                    _visits(flat, offsets, order, sizes) if own_cells else pa.nulls(len(sizes), pa.list_(pa.list_(pa.int32()))),
                     _list_array(np.concatenate(wanted), [len(w) for w in wanted], pa.int32()),
                 ],
-                names=["q_ids", "q_grps", "q_vecs", "cells"],
+                names=["q_ids", "q_grps", "q_vecs", "q_bounds", "q_visits", "cells"],
             )
 
     return run
 
 
+def _visits(flat: np.ndarray, offsets: np.ndarray, order: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Per block the cell lists of its queries."""
+    lists = [flat[offsets[i] : offsets[i + 1]] for i in order]
+    inner = _list_array(np.concatenate(lists).astype(np.int32), [len(x) for x in lists], pa.int32())
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), inner)
+
+
 def _score(dimension: int, dtype, k: int, exclude_self: bool):
     """Best rows of one archive block for each query of one query block.
 
     The matrix product only preselects: everything within its error margin of the k-th value is
-    measured again by subtracting in the element type and summing squares in double.
+    measured again by subtracting in the element type and summing squares in double. Rows beyond a
+    query's bound stay here: the bound it came with, or the k-th distance among the blocks that the
+    task has scored for the same query block, which come one after the other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, best = None, np.zeros((0, k))
         for batch in batches:
             for i in range(batch.num_rows):
-                cell = {name: _column(batch, name)[i].values for name in batch.schema.names if name != "cell"}
+                cell = {name: _column(batch, name)[i].values for name in batch.schema.names if name not in ("cell", "q_visits")}
+                visits = _column(batch, "q_visits")[i].as_py()
                 q_ids, a_ids = _labels(cell["q_ids"]), _labels(cell["a_ids"])
                 q_grps, a_grps = _labels(cell["q_grps"]), _labels(cell["a_grps"])
                 q = cell["q_vecs"].to_numpy(zero_copy_only=False).reshape(-1, dimension)
                 a = cell["a_vecs"].to_numpy(zero_copy_only=False).reshape(-1, dimension)
+                if asked is None or not np.array_equal(asked, q_ids):
+                    asked, best = q_ids, np.full((len(q_ids), k), np.inf)
+                limit = np.minimum(cell["q_bounds"].to_numpy(zero_copy_only=False) ** 2, best[:, -1])
                 squared = _gram_distance(q, a)
                 blocked = _same(q_grps, a_grps)
                 if exclude_self:
                     blocked |= _same(q_ids, a_ids)
+                if visits is not None:
+                    here = _column(batch, "cell")[i].as_py()
+                    blocked |= np.array([here not in own for own in visits])[:, None]
                 squared[blocked] = np.inf
+                kth = limit
                 if squared.shape[1] > k:
-                    kth = np.partition(squared, k - 1, axis=1)[:, k - 1]
-                    scale = (q.astype(np.float64) ** 2).sum(axis=1).max(initial=0.0)
-                    scale += (a.astype(np.float64) ** 2).sum(axis=1).max(initial=0.0)
-                    keep = squared <= (kth * (1.0 + 1e-5) + 1e-12 * dimension * (1.0 + scale))[:, None]
-                    keep &= ~blocked
-                else:
-                    keep = ~blocked
+                    kth = np.minimum(limit, np.partition(squared, k - 1, axis=1)[:, k - 1])
+                scale = (q.astype(np.float64) ** 2).sum(axis=1).max(initial=0.0)
+                scale += (a.astype(np.float64) ** 2).sum(axis=1).max(initial=0.0)
+                keep = squared <= (kth * (1.0 + 1e-5) + 1e-12 * dimension * (1.0 + scale))[:, None]
+                keep &= ~blocked
                 left, right = np.nonzero(keep)
                 distance = np.empty(len(left))
                 step = max(1, 8_000_000 // dimension)
@@ -445,7 +474,11 @@ def _score(dimension: int, dtype, k: int, exclude_self: bool):
                 by_id[np.argsort(a_ids.astype(str), kind="stable")] = np.arange(len(a_ids))
                 order = np.lexsort((by_id[right], distance, left))
                 place = np.arange(len(order)) - np.searchsorted(left[order], left[order], side="left")
-                order = order[place < k]
+                order, place = order[place < k], place[place < k]
+                fresh = np.full(best.shape, np.inf)
+                fresh[left[order], place] = distance[order]
+                best = np.partition(np.concatenate([best, fresh], axis=1), k - 1, axis=1)[:, :k]
+                best.sort(axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(q_ids[left[order]], pa.string()),

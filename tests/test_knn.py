@@ -91,10 +91,21 @@ def test_copies_are_cut_inside_the_task(spark):
     score = knn._score(3, np.float32, 4, True)
     import pyarrow as pa
 
-    block = pa.RecordBatch.from_pylist(
-        [{"q_ids": ["q"], "q_grps": [None], "q_vecs": [0.0, 0.0, 0.0], "a_ids": ids[:100], "a_grps": [None] * 100, "a_vecs": [0.0] * 300}],
-        schema=pa.schema(
-            [(n, pa.list_(pa.float32() if n.endswith("vecs") else pa.string())) for n in ("q_ids", "q_grps", "q_vecs", "a_ids", "a_grps", "a_vecs")]
-        ),
-    )
-    assert [b.column(1).to_pylist() for b in score(iter([block]))] == [["i000", "i001", "i002", "i003"]]
+    kinds = {"cell": pa.int32(), "q_visits": pa.list_(pa.list_(pa.int32())), "q_bounds": pa.list_(pa.float64())}
+    names = ("cell", "q_ids", "q_grps", "q_vecs", "q_bounds", "q_visits", "a_ids", "a_grps", "a_vecs")
+    schema = pa.schema([(n, kinds.get(n, pa.list_(pa.float32() if n.endswith("vecs") else pa.string()))) for n in names])
+
+    def block(a_ids, a_vecs, **more):
+        row = {"cell": 1, "q_ids": ["q"], "q_grps": [None], "q_vecs": [0.0, 0.0, 0.0], "q_bounds": [float("inf")], "q_visits": None,
+               "a_ids": a_ids, "a_grps": [None] * len(a_ids), "a_vecs": a_vecs}
+        return pa.RecordBatch.from_pylist([{**row, **more}], schema=schema)
+
+    def emitted(*blocks):
+        return [b.column(1).to_pylist() for b in score(iter(blocks))]
+
+    copies = block(ids[:100], [0.0] * 300)
+    assert emitted(copies) == [["i000", "i001", "i002", "i003"]]
+    far = block([f"f{i}" for i in range(50)], [9.0] * 150)
+    assert emitted(copies, far) == [["i000", "i001", "i002", "i003"], []]  # the task knows four nearer rows
+    assert emitted(block(["a", "b"], [1.0] * 3 + [3.0] * 3, q_bounds=[2.0])) == [["a"]]
+    assert emitted(block(["a"], [1.0] * 3, q_visits=[[2, 3]])) == [[]] and emitted(block(["a"], [1.0] * 3, q_visits=[[1]])) == [["a"]]
