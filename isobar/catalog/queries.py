@@ -862,8 +862,7 @@ def portability_pairs(spark, sf):
 def dense_positions(spark, sf):
     """Row numbers of whole groups without ordering a group in one task."""
     rows = t.table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
-    day = F.floor(s.micros("at") / (24 * s.MICROS_PER_HOUR))
-    numbered = ordering.ordinal(rows, ["event_type"], day, ["at", "event_id"], name="place", total="group_rows")
+    numbered = ordering.ordinal(rows, ["event_type"], ["at", "event_id"], name="place", total="group_rows")
     return numbered.select("event_id", big("place").alias("place"), big("group_rows").alias("group_rows"))
 
 

@@ -7,40 +7,42 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isobar.session import materialize
+
 
 def ordinal(
     df: DataFrame,
     keys: Sequence[str],
-    bucket: Column,
     order: Sequence[Column | str],
     *,
     name: str = "ordinal",
     total: str | None = None,
 ) -> DataFrame:
-    """Number rows 1..n per key, where ``bucket`` is monotone in ``order``.
+    """Number rows 1..n per key; rows equal in keys and order are numbered in any order.
 
-    Rows are numbered inside each (key, bucket) and shifted by the row count of the earlier
-    buckets. Only the bucket counts, one row per key and bucket, are ordered per key, so a key that
-    owns a third of the table is still spread over its buckets.
+    Rows are dealt by ranges of (key, order), so the ranges are even whatever a key owns or how its values lie. The sorted
+    rows are written once, which fixes their places; a place is the one inside its range plus the rows of the key in the
+    ranges before, and only those counts, one row per key and range, are put in order per key.
     """
     keys = list(keys)
-    marked = df.withColumn("_bucket", bucket)
-    counts = marked.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_rows"))
+    marked = df.select("*", *[F.col(c).alias(f"_k{i}") if isinstance(c, str) else c.alias(f"_k{i}") for i, c in enumerate(order)])
+    by = [*keys, *[f"_k{i}" for i in range(len(order))]]
+    ranged = marked.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_place", F.monotonically_increasing_id())
+    placed = materialize(ranged.drop(*by[len(keys):]), "ordinal").withColumn("_range", F.shiftright("_place", 33))
+    counts = placed.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_rows"), F.min("_place").alias("_first"))
     over = Window.partitionBy(*keys)
-    earlier = over.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = over.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(
-        *keys,
-        "_bucket",
-        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_offset"),
+        *[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)],
+        F.col("_range").alias("_r"),
+        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
         *([F.sum("_rows").over(over).alias(total)] if total else []),
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
-    numbered = marked.withColumn("_inner", F.row_number().over(inside))
-    return (
-        numbered.join(offsets, [*keys, "_bucket"])
-        .withColumn(name, F.col("_inner") + F.col("_offset"))
-        .drop("_bucket", "_inner", "_offset")
-    )
+    same = F.col("_range") == F.col("_r")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_o{i}"))
+    numbered = placed.join(offsets, same).withColumn(name, F.col("_place") + F.col("_shift"))
+    return numbered.drop("_place", "_range", "_r", "_shift", *[f"_o{i}" for i in range(len(keys))])
 
 
 def top_k(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from isobar.functions.scalars import MICROS_PER_HOUR, haversine_km, micros, number, parse_time
 from isobar.operators.ordering import ordinal
+from isobar.session import materialize
 from isobar.operators.pooling import interval_join
 
 # Coast anchor points (latitude, longitude).
@@ -81,8 +82,7 @@ def resample_tracks(points: DataFrame, *, samples: int = SAMPLES, keys: Sequence
             F.array(*[F.struct(F.lit(v).alias("variable"), number(v).alias("value")) for v in VARIABLES])
         ).alias("p"),
     ).select(*keys, "time_utc", "p.variable", "p.value").filter("value IS NOT NULL")
-    day = F.floor(micros("time_utc") / F.lit(24 * MICROS_PER_HOUR))
-    placed = ordinal(long, [*keys, "variable"], day, ["time_utc", "value"], name="place", total="m")
+    placed = ordinal(long, [*keys, "variable"], ["time_utc", "value"], name="place", total="m")
     index = (F.col("place") - 1).cast("double")
     step = (F.col("m") - 1).cast("double") / F.lit(float(samples - 1))
     low = F.when(F.col("m") == 1, F.lit(0)).otherwise(F.greatest(F.ceil((index - 1.0) / step), F.lit(0)))
@@ -134,7 +134,9 @@ def top_one(ranked: DataFrame) -> DataFrame:
 
 def pair_errors(pairs: DataFrame, points: DataFrame, *, anchors=COAST_ANCHORS) -> DataFrame:
     """Per (query, candidate) errors; NULL where a quantity cannot be measured."""
-    series = resample_tracks(points)
+    asked = pairs.select(F.col("query_id").alias("event_id")).unionByName(pairs.select(F.col("candidate_id").alias("event_id"))).distinct()
+    points = materialize(points.join(asked, "event_id", "left_semi"), "pair-tracks")
+    series = materialize(resample_tracks(points), "pair-samples")  # read for either side of a pair
     mine = series.select(F.col("event_id").alias("query_id"), "sample", *[F.col(v).alias(f"q_{v}") for v in VARIABLES])
     theirs = series.select(F.col("event_id").alias("candidate_id"), "sample", *[F.col(v).alias(f"c_{v}") for v in VARIABLES])
     gap = haversine_km("q_lat", "q_lon", "c_lat", "c_lon")

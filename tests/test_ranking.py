@@ -245,10 +245,11 @@ def test_gates_never_pass_without_physical_errors(spark):
 
 
 def test_ordinal_equals_row_number(spark):
-    rows = [("hot" if i % 3 else "cold", (i * 7919) % 1000) for i in range(500)]
-    df = spark.createDataFrame(rows, "k string, v int")
-    got = ordinal(df, ["k"], F.floor(F.col("v") / 50), ["v"], name="n", total="t").collect()
-    for key in ("hot", "cold"):
+    # All of the hot key's values lie close together, and a null key is a key.
+    rows = [("hot" if i % 3 else ("cold" if i % 2 else None), (i * 7919) % 1000 + (0 if i % 3 else i * 10**6)) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(4)
+    got = ordinal(df, ["k"], ["v"], name="n", total="t").collect()
+    for key in ("hot", "cold", None):
         values = sorted(v for k, v in rows if k == key)
         mine = sorted((r["n"], r["v"], r["t"]) for r in got if r["k"] == key)
         assert mine == [(i, v, len(values)) for i, v in enumerate(values, 1)]
