@@ -430,6 +430,22 @@ def oracle_queries() -> dict[str, str]:
     out["candidate_group_sizes"] = f"with {POOL} select q query_id, count(*) group_size, count(case when rel then 1 end) positives from pool group by q"
     out["graded_labels"] = f"""with {POOL} select q query_id, a candidate_id, rel::bigint binary_label,
       case when rel then greatest(cast(least(greatest(grade, 0), 10) as bigint), 1) else 0 end graded_label from pool"""
+    for name, gain in (
+        ("lambdarank_gradients", "case when rel then 1.0 else 0.0 end"),
+        ("lambdarank_gradients_graded", "case when rel then cast(greatest(cast(least(greatest(grade, 0), 10) as bigint), 1) as double) else 0.0 end"),
+    ):
+        out[name] = f"""with {POOL}, x as (select q, a, {gain} g, 1 / (1 + pr) s from pool),
+          p as materialized (select *, row_number() over (partition by q order by s desc, a) - 1 p, row_number() over (partition by q order by g desc) r from x),
+          i as (select q, sum(case when r <= 30 then g / log2(r + 1) end) best from p group by q having best > 0),
+          d as (select h.q, h.a ha, l.a la, h.s - l.s lead, (h.g - l.g) * abs(1 / log2(h.p + 2) - 1 / log2(l.p + 2)) / best / (0.01 + abs(h.s - l.s)) swing
+            from p h join p l on h.q = l.q and h.g > l.g and (h.p < 30 or l.p < 30) join i on i.q = h.q),
+          f as materialized (select *, 1 / (1 + exp(least(greatest(lead, -50), 50))) doubt from d),
+          e as (select q, ha a, swing * doubt step, swing * doubt * (1 - doubt) curve from f
+            union all select q, la, -swing * doubt, swing * doubt * (1 - doubt) from f),
+          t as (select q, a, sum(step) step, sum(curve) curve from e group by q, a),
+          z as (select q, sum(abs(step)) total from t group by q)
+          select p.q query_id, p.a candidate_id, {signless('coalesce(t.step * log2(1 + total) / total, 0)', 5)} step,
+          {signless('coalesce(t.curve * log2(1 + total) / total, 0)', 5)} curve from p left join t on t.q = p.q and t.a = p.a left join z on z.q = p.q"""
     out["label_graph_edges"] = f"with {POOL}, {EDGES} select tq train_query, c candidate_id, round(max(w), 6) weight, round(sum(w), 6) seed_weight from edges group by tq, c"
     out["label_graph_counts"] = f"""with {POOL}, {EDGES} select count(distinct c) train_positive_seed_count, count(distinct tq) train_positive_query_count from edges"""
     out["label_graph_scores"] = f"""with {FEATURES} select q query_id, a candidate_id,

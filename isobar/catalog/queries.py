@@ -869,33 +869,22 @@ def dense_positions(spark, sf):
 # --- learned rankers and whole plans ------------------------------------------------------------
 
 
-def _trained(spark, sf, spec_position: int, trees: int):
-    spec = ranker.MODEL_SPECS[spec_position]
-    rows = t.features(spark, sf)
-    fill = features.train_medians(rows.filter("split = 'train'"), contract.FEATURE_NAMES)
-    matrix = features.model_matrix(rows, contract.FEATURE_NAMES, fill)
-    mode = "graded" if spec.label_mode == "graded" else "binary"
-    ready = materialize(
-        matrix.select("query_id", "candidate_id", "split", "features", features.labels(matrix, mode).alias("label")),
-        "ranker-input",
-    )
-    model = ranker.fit_ranker(ready.filter("split = 'train'"), contract.FEATURE_NAMES, spec, trees=trees)
-    return model.score(ready).select("query_id", "candidate_id", "split", "label", r6("model_score").alias("model_score"))
-
-
-@query
-def lambdarank_binary_scores(spark, sf):
-    return _trained(spark, sf, 0, 3)
+def _gradients(spark, sf, spec_position: int, mode: str):
+    """One boosting step over all pools: directions and curvatures from the pool-rank prior as the score."""
+    rows = t.pool(spark, sf)
+    pool = rows.select("query_id", "candidate_id", features.labels(rows, mode).alias("label"), F.col("score_pool_rank_prior").alias("score"))
+    found = ranker.gradient_table(pool, ranker.MODEL_SPECS[spec_position])
+    return found.select("query_id", "candidate_id", r6("step", 5).alias("step"), r6("curve", 5).alias("curve"))
 
 
 @query
-def lambdarank_graded_scores(spark, sf):
-    return _trained(spark, sf, 1, 3)
+def lambdarank_gradients(spark, sf):
+    return _gradients(spark, sf, 0, "binary")
 
 
 @query
-def gbt_scores(spark, sf):
-    return _trained(spark, sf, 2, 3)
+def lambdarank_gradients_graded(spark, sf):
+    return _gradients(spark, sf, 1, "graded")
 
 
 _results: dict[tuple[str, str], retrieval.RetrievalResult] = {}

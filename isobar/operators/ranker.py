@@ -87,6 +87,24 @@ def lambda_gradients(scores: np.ndarray, gains: np.ndarray, truncation: int) ->
     return step, curve
 
 
+def gradient_table(pool: DataFrame, spec: RankerSpec) -> DataFrame:
+    """(query_id, candidate_id, step, curve) of rows (query_id, candidate_id, label, score); ties go by candidate id.
+
+    A query's pool has at most as many rows as the candidate limit, so it fits a task.
+    """
+    gains = np.array(spec.label_gain) if spec.label_gain else 2.0 ** np.arange(32) - 1.0
+    truncation = spec.truncation
+
+    def gradients(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("candidate_id")
+        step, curve = lambda_gradients(rows["score"].to_numpy(float), gains[rows["label"].to_numpy(int)], truncation)
+        return rows[["query_id", "candidate_id"]].assign(step=step, curve=curve)
+
+    return pool.select("query_id", "candidate_id", "label", "score").groupBy("query_id").applyInPandas(
+        gradients, "query_id string, candidate_id string, step double, curve double"
+    )
+
+
 @dataclass
 class TreeRanker:
     """Fitted scorer: boosted regression trees or a boosted classifier."""
@@ -169,17 +187,8 @@ def fit_ranker(
     model = TreeRanker(spec, names)
     state = materialize(rows.withColumn("score", F.lit(0.0)), "ranker")
     pick = random.Random(spec.seed)
-    gains = np.array(spec.label_gain) if spec.label_gain else 2.0 ** np.arange(32) - 1.0
-    truncation = spec.truncation
-
-    def gradients(pool: pd.DataFrame) -> pd.DataFrame:
-        step, curve = lambda_gradients(pool["score"].to_numpy(float), gains[pool["label"].to_numpy(int)], truncation)
-        return pool[["query_id", "candidate_id"]].assign(step=step, curve=curve)
-
     for done in range(rounds):
-        pushed = state.select("query_id", "candidate_id", "label", "score").groupBy("query_id").applyInPandas(
-            gradients, "query_id string, candidate_id string, step double, curve double"
-        )
+        pushed = gradient_table(state, spec)
         target = (
             state.join(pushed, ["query_id", "candidate_id"])
             .filter("curve > 1e-12")
