@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from isobar.llm.common import IS_ALNUM, LOWER_LUT, U64, Rolling, as_signed, buffers, mix, partitions_for, pieces, runs, word_bounds
+from isobar.llm.common import IS_ALNUM, LOWER_LUT, U64, Rolling, as_signed, buffers, mix, partitions_for, pieces, release, runs, word_bounds
 from isobar.llm.components import components
 from isobar.session import materialize
 
@@ -111,6 +111,7 @@ def member_of(texts: pa.Array) -> pa.Array:
         for part, column in zip((np.diff(at), segment(np.add, mix(values), at), segment(np.bitwise_xor, mix(values + U64(77)), at), tokens), out):
             column.append(part)
     size, a, b, tokens = (np.concatenate(c) if c else np.zeros((0, SIGNATURE) if k == 3 else 0) for k, c in enumerate(out))
+    release()
     raw = pa.Array.from_buffers(pa.binary(SIGNATURE * 4), len(size), [None, pa.py_buffer(np.ascontiguousarray(tokens, np.uint32))])
     return pa.StructArray.from_arrays(
         [pa.array(size, pa.int32()), pa.array(as_signed(a.astype(U64)), pa.int64()), pa.array(as_signed(b.astype(U64)), pa.int64()), raw.cast(pa.binary())],
@@ -126,6 +127,7 @@ def set_of(texts: pa.Array) -> pa.Array:
     for i, j in pieces(offsets):
         values, at = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         out += [values[a:b].tobytes() for a, b in zip(at[:-1], at[1:])]
+    release()
     return pa.array(out, pa.binary())
 
 
@@ -274,6 +276,7 @@ def candidate_edges(cells: DataFrame, least: int) -> DataFrame:
             if hits[0]:
                 member, root = spanning(len(ids), side, np.concatenate(hits[0]), np.concatenate(hits[1]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[member], pa.int64()), pa.array(ids[root], pa.int64())], schema=schema)
+        release()
 
     return cells.mapInArrow(compare, "a long, b long")
 
@@ -308,6 +311,7 @@ def exact_links(cells: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[linked], pa.int64()), pa.array(links[linked].astype(np.int64)), pa.array(ids[top[linked]], pa.int64())], schema=LINK_SCHEMA
             )
+        release()
 
     return cells.mapInArrow(verify, "set_id long, links long, root long")
 

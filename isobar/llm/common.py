@@ -6,6 +6,8 @@ shingles and windows are found by array operations and never by a loop over word
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,13 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 
 
+#: Bytes of an Arrow batch. Spark cuts batches by rows, ten thousand by default; texts make such rows heavy.
+BATCH_BYTES = 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of documents or pages; from here on batches for Python are cut by bytes as well."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -172,6 +180,13 @@ def runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(sorted_keys)))
 
 
+def release() -> None:
+    """Give freed memory back to the system; workers live on after a task, and the next stage needs the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def as_signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 

@@ -17,21 +17,20 @@ from __future__ import annotations
 
 import unicodedata
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isobar.llm.common import buffers, pieces
+from isobar.llm.common import buffers, pieces, release
 
 SWITCH = 14.0
 #: A word cannot speak against a language by more than this.
 FLOOR = 10.0
 #: Least share of a language's letters in a script for the language to be a candidate for its words.
 SCRIPT_SHARE = 0.01
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 4 << 20
 
 # Unicode ranges of scripts.
 SCRIPTS = (
@@ -47,9 +46,20 @@ SCRIPTS = (
 SCRIPT_NAMES = tuple(dict.fromkeys(name for _, _, name in SCRIPTS))
 
 
-@lru_cache(maxsize=1)
-def character_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per code point: is a letter, belongs to words, lower case, script (the last number: none)."""
+@dataclass
+class Characters:
+    """Per code point: is a letter, belongs to words, lower case, script (the last number: none).
+
+    Made once on the driver and shipped with the task code.
+    """
+
+    letter: np.ndarray
+    inside: np.ndarray
+    lower: np.ndarray
+    script: np.ndarray
+
+
+def character_tables() -> Characters:
     n = 0x40000
     letter, inside = np.zeros(n, bool), np.zeros(n, bool)
     lower = np.arange(n, dtype=np.uint32)
@@ -62,7 +72,7 @@ def character_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
             lower[c] = ord(low)
     for first, last, name in SCRIPTS:
         script[first : last + 1] = SCRIPT_NAMES.index(name)
-    return letter, inside, lower, script
+    return Characters(letter, inside, lower, script)
 
 
 @dataclass
@@ -76,8 +86,8 @@ class Words:
     grams: np.ndarray
 
 
-def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    letter, inside, lower, script = character_tables()
+def read_words(data: np.ndarray, offsets: np.ndarray, characters: Characters) -> Words:
+    letter, inside, lower, script = characters.letter, characters.inside, characters.lower, characters.script
     codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     codes = np.where(codes < len(letter), codes, 0)
     bounds = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))[offsets]
@@ -177,6 +187,7 @@ SPAN = "array<struct<start:int,end:int,lang:string,letters:long>>"
 def spans_udf(model: Model, switch: float = SWITCH):
     """Arrow function from text to labelled spans (words from ``start`` up to ``end``)."""
     names = pa.array([*model.languages, ""])
+    characters = character_tables()
 
     @F.arrow_udf(SPAN)
     def label(texts: pa.Array) -> pa.Array:
@@ -186,8 +197,8 @@ def spans_udf(model: Model, switch: float = SWITCH):
         for i, j in pieces(offsets, GROUP_BYTES):
             scores, docs, letters = [], [], []
             inner = offsets[i : j + 1]
-            for a, b in pieces(inner, max(1 << 16, (4 << 20) // max(4, len(model.languages)))):
-                words = read_words(data[inner[a] : inner[b]], inner[a : b + 1] - inner[a])
+            for a, b in pieces(inner, max(1 << 16, (2 << 20) // max(4, len(model.languages)))):
+                words = read_words(data[inner[a] : inner[b]], inner[a : b + 1] - inner[a], characters)
                 scores.append(model.score(words))
                 docs.append(words.doc + a)
                 letters.append(words.letters)
@@ -207,6 +218,7 @@ def spans_udf(model: Model, switch: float = SWITCH):
             ["start", "end", "lang", "letters"],
         )
         ends = np.cumsum(np.concatenate([[0], *counts]))
+        release()
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
 
     return label
@@ -223,13 +235,14 @@ def train(texts: DataFrame, doc_id: Column, text: Column, lang: Column, sample:
     uniform = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     chosen = known.where(uniform < share[F.col("lang")])
     number = {name: i for i, name in enumerate(languages)}
+    characters = character_tables()
 
     def count(batches):
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             langs = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)
             for i, j in pieces(offsets):
-                words = read_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                words = read_words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], characters)
                 lengths = np.diff(np.append(words.first_char, len(words.grams)))
                 of = np.repeat(langs[i:j][words.doc], lengths)
                 for k in np.unique(of):
@@ -245,7 +258,7 @@ def train(texts: DataFrame, doc_id: Column, text: Column, lang: Column, sample:
     counts[np.searchsorted(keys, rows["gram"].to_numpy(np.int64).view(np.uint64)), rows["lang"]] = rows["n"]
     smooth = 0.5
     scores = np.log((counts + smooth) / (counts.sum(axis=0) + smooth * len(counts)))
-    letter, _, _, script = character_tables()
+    script = characters.script
     middle = ((keys >> np.uint64(21)) & np.uint64(0x1FFFFF)).astype(np.int64)
     used = np.zeros((len(SCRIPT_NAMES) + 1, len(languages)))
     np.add.at(used, script[middle], counts[:-1])

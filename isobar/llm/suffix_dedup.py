@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from isobar.llm.chosen_path import grouped
-from isobar.llm.common import U64, Rolling, as_signed, buffers, input_bytes, mix, partitions_for, pieces, runs
+from isobar.llm.common import U64, Rolling, as_signed, buffers, input_bytes, mix, partitions_for, pieces, release, runs
 from isobar.session import materialize
 
 LENGTH, GRAM, SHALLOW = 100, 16, 2
@@ -189,6 +189,8 @@ def _fingerprints(buckets: int, frequent: np.ndarray):
                 for column, value in zip(rows, (bucket[at], False, *(c.tobytes() for c in columns))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, CHUNK)], schema=CHUNK)
+            del parts, rows, columns, order
+            release()
 
     return run
 
@@ -237,6 +239,8 @@ def _compare_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     shared = only[np.repeat(size > 1, size)]
     # Single starts have their whole string as core, so another part with it is a collision of the short core.
     yield _rows(ids[shared], keys[shared], start[shared], count[shared], offset[shared], as_signed(mix(core[shared].astype(U64))))
+    del ids, keys, start, count, offset, whole, core, order, tied, some, lead, again, covered, spans, only, shared
+    release()
 
 
 # --- deep-shallow sorting ---------------------------------------------------------------------------------
@@ -357,6 +361,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i, k, s = (np.concatenate(x) for x in zip(*found))
             spans = merged(i, k, s, np.full(len(s), LENGTH))
             yield _rows(*spans, np.full(len(spans[0]), -1), np.zeros(len(spans[0]), np.int64))
+    release()
 
 
 PART = pa.schema([("core", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("offset", pa.int32()), ("bytes", pa.binary())])
@@ -382,6 +387,7 @@ def _cut_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(core[cut]), batch.column("doc_id").fill_null(NULL_ID).take(key), batch.column("text_key").take(key), pa.array(start[cut]),
                  pa.array(count[cut]), pa.array(offset[cut]), raw], schema=PART,
             )
+        release()
 
 
 def _core_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,6 +436,7 @@ def cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
         kept = np.concatenate([*keep, own[at:]]).tobytes()
         out.append((int(length.sum()), len(start), kept))
     removed, number, kept = zip(*out) if out else ((), (), ())
+    release()
     return pa.StructArray.from_arrays([pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(kept, pa.binary())], ["n_removed", "n_spans", "kept"])
 
 
