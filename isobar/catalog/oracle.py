@@ -6,11 +6,36 @@ Lambdas use the ``lambda x:`` form. Shared building blocks are common table expr
 
 from __future__ import annotations
 
-from isobar.operators.blend import MODEL_ONLY, profile_grid
-from isobar.operators.graph import GRAPH_CONFIGS
-from isobar.operators.physical import COAST_ANCHORS
-from isobar.plans.contract import FEATURE_NAMES
-from isobar.plans.online import SELECTED_PROFILE
+from collections import namedtuple
+
+# Fixed values, written out here so that the code under test does not supply them: label-graph configurations (name,
+# seeds, activation cap), coast anchors, the frozen profile, the names of the model inputs.
+GRAPH_CONFIGS = (("g18_seed20_cap200", 20, 200), ("g19_seed16_cap200", 16, 200), ("gwide_seed20_cap500", 20, 500), ("gdeep_seed40_cap500", 40, 500))
+COAST_ANCHORS = ((18.2, 109.5), (22.3, 114.2), (24.0, 118.3), (25.0, 121.5), (28.0, 121.0), (31.2, 121.5), (35.0, 139.7))
+SELECTED_PROFILE = "lgbm_ranker_grade_leaves63_lr03|blend_f0.10_m0.45_g0.30_c0.15_s0.00|anchor_keep5"
+FEATURE_NAMES = """score_final score_calibrated score_event_rank_prior score_context_rank_prior score_pool_rank_prior
+  source_event_rank source_sequence_rank source_min_rank source_rank_gap rank_inv source_event_rank_inv
+  source_sequence_rank_inv source_min_rank_inv source_event_rank_inv_safe source_sequence_rank_inv_safe
+  source_min_rank_inv_safe source_rank_gap_inv_safe score_final_minus_calibrated score_final_plus_calibrated
+  g18_seed20_cap200 g18_seed20_cap200_z g19_seed16_cap200 g19_seed16_cap200_z gwide_seed20_cap500
+  gwide_seed20_cap500_z gdeep_seed40_cap500 gdeep_seed40_cap500_z graph_max graph_mean graph_max_z graph_mean_z""".split()
+MODEL_ONLY = "lambdarank_only"
+
+Profile = namedtuple("Profile", "name base model graph calibrated source")
+
+
+def profile_grid() -> list[Profile]:
+    """Weights in hundredths; a profile needs a floating point rest that is not negative."""
+    out = [Profile(MODEL_ONLY, 0.0, 1.0, 0.0, 0.0, 0.0)]
+    for m in (35, 45, 55, 65):
+        for g in (10, 20, 30):
+            for c in (5, 15, 25):
+                for s in (0, 6):
+                    rest = 1.0 - m / 100 - g / 100 - c / 100 - s / 100
+                    if rest >= 0:
+                        out.append(Profile(f"blend_f{rest:.2f}_m{m / 100:.2f}_g{g / 100:.2f}_c{c / 100:.2f}_s{s / 100:.2f}", rest, m / 100, g / 100, c / 100, s / 100))
+    return out
+
 
 NAMES = [n for n, _, _ in GRAPH_CONFIGS]
 METRICS = ("recall_at_10", "recall_at_20", "ndcg_at_10", "map_at_10")

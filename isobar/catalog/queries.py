@@ -887,14 +887,8 @@ def lambdarank_gradients_graded(spark, sf):
     return _gradients(spark, sf, 1, "graded")
 
 
-_results: dict[tuple[str, str], retrieval.RetrievalResult] = {}
-
-
 def _retrieval(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _results:
-        _results[key] = _run_retrieval(spark, sf)
-    return _results[key]
+    return t.once(spark, sf, "retrieval", lambda: _run_retrieval(spark, sf))
 
 
 def _run_retrieval(spark, sf):

@@ -28,17 +28,33 @@ PARTS = {"event": (1, 32), "context": (1, 64), "metadata": (33, 16), "truth": (3
 TRUTH_K = 20
 EPOCH = "2024-01-01 00:00:00"
 
-_cache: dict[tuple[str, str, str], DataFrame] = {}
+_cache: dict[tuple, object] = {}
 
 
-def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Intermediate table written once per application and data folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def folder_state(spark: SparkSession, folder: str) -> tuple:
+    """Name, length and time of every file below a folder, by the file system Spark reads it with."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while files.hasNext():
+        file = files.next()
+        out.append((file.getPath().toString(), file.getLen(), file.getModificationTime()))
+    return tuple(sorted(out))
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
+    """What ``build`` returns, made once per application and state of the data folder: changed files are read anew."""
+    key = (spark.sparkContext.applicationId, name, folder_state(spark, sf_dir))
     if key not in _cache:
-        _cache[key] = materialize(build(), name)
+        _cache[key] = build()
     return _cache[key]
 
 
+def shared(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Intermediate table of several queries, written once."""
+    return once(spark, sf_dir, name, lambda: materialize(build(), name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
