@@ -566,13 +566,34 @@ def oracle_queries() -> dict[str, str]:
     # Poisson(1) by inversion: cumulative probabilities times 2^32, rounded down.
     edges = (1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777, 4294923276, 4294962463, 4294966817, 4294967252, 4294967292)
     weight = " + ".join(f"(u >= {e})::int" for e in edges)
-    out["paired_bootstrap_hash"] = f"""with {PAIRED}, g as (select cast(user_id as varchar) k, proposed - baseline d from paired),
-      h as (select d, blk, md5('7:' || blk || ':' || k) m from g, range(2500) r(blk)),
-      x as (select d, blk * 4 + j as b, cast('0x' || substr(m, j * 8 + 1, 8) as bigint) u from h, (select unnest([0, 1, 2, 3])::int j)),
-      w as (select b, d, {weight} w from x),
-      m as (select b, sum(w * d) / sum(w) m from w group by b having sum(w) > 0)
-      select round((select avg(d) from g), 6) estimate, round(quantile_cont(m, 0.025), 6) lower, round(quantile_cont(m, 0.975), 6) upper,
-      0.95::double confidence, (select count(*) from g) query_count, 10000::bigint resamples from m"""
+
+    def interval(pairs: str) -> str:
+        """CTEs ``g`` (k, d) to ``boot`` (estimate, lower, upper, query_count, resamples), 10,000 resamples, seed 7."""
+        return f"""g as ({pairs}), h as (select d, blk, md5('7:' || blk || ':' || k) m from g, range(2500) r(blk)),
+      bits as (select d, blk * 4 + j as b, cast('0x' || substr(m, j * 8 + 1, 8) as bigint) u from h, (select unnest([0, 1, 2, 3])::int j)),
+      drawn as (select b, d, {weight} w from bits), means as (select b, sum(w * d) / sum(w) m from drawn group by b having sum(w) > 0),
+      boot as (select round((select avg(d) from g), 6) estimate, round(quantile_cont(m, 0.025), 6) lower, round(quantile_cont(m, 0.975), 6) upper,
+        (select count(*) from g) query_count, 10000::bigint resamples from means)"""
+
+    out["paired_bootstrap_hash"] = f"""with {PAIRED}, {interval("select cast(user_id as varchar) k, proposed - baseline d from paired")}
+      select estimate, lower, upper, 0.95::double confidence, query_count, resamples from boot"""
+    folded = "f as (select count(*) folds, min((d > 0)::int)::bigint folds_positive from (select fold, avg(s - c) d from u group by fold))"
+    out["study_portability"] = f"""with {scores},
+      {dcg('src', 'user_id, seed', 'control', 'rel3', 'nc')}, {dcg('src', 'user_id, seed', 'system', 'rel3', 'ns_')},
+      ca as (select user_id, avg(ndcg) v from nc group by 1), sa as (select user_id, avg(ndcg) v from ns_ group by 1),
+      u as (select ca.user_id, ca.user_id % 3 fold, ca.v c, sa.v s from ca join sa on sa.user_id = ca.user_id), {folded},
+      {interval("select cast(user_id as varchar) k, s - c d from u")}
+      select boot.*, folds, folds_positive, round((select avg(c) from u), 6) control_mean, round((select avg(s) from u), 6) system_mean, 5::bigint seeds from boot, f"""
+    matched = ", ".join(arms).replace("full as (select q, coalesce", "full_ as (select q, coalesce")
+    out["study_matched_scoring"] = f"""with {POOL}, {matched},
+      u as (select b.q, b.ndcg c, f.ndcg s, b.rel20 cr, f.rel20 sr from backend b join full_ f on f.q = b.q), {interval("select q k, s - c d from u")}
+      select boot.*, round((select avg(c) from u), 6) backend_mean, round((select avg(s) from u), 6) full_mean,
+      round((select avg(cr) from u), 6) backend_relevant, round((select avg(sr) from u), 6) full_relevant from boot"""
+    out["study_physical_ablation"] = f"""with x as (select user_id, avg(value) a, coalesce(avg(case when event_type = 'view' then value end), 0) v from events group by 1),
+      u as (select user_id, user_id % 3 fold, a / (a + 100) c, v / (v + 100) s, a * 10 ce, v * 5 se from x), {folded},
+      {interval("select cast(user_id as varchar) k, s - c d from u")}
+      select boot.*, folds, folds_positive, round((select avg(c) from u), 6) baseline_mean, round((select avg(s) from u), 6) system_mean,
+      round((select avg(ce) - avg(se) from u), 6) reduction_km from boot, f"""
     out["study_json_explode"] = "select event_type, count(*) n, cast(sum(cast(json_extract(props, '$.k') as bigint)) as bigint) k_sum from events group by event_type"
     out["portability_pairs"] = f"""with {scores}, {dcg('src', 'user_id, seed', 'control', 'rel3', 'c')}, {dcg('src', 'user_id, seed', 'system', 'rel3', 's')},
       ca as (select user_id, avg(ndcg) v from c group by 1), sa as (select user_id, avg(ndcg) v from s group by 1)

@@ -829,6 +829,65 @@ def paired_bootstrap_hash(spark, sf):
     )
 
 
+def _report(spark, found: dict, names: dict[str, str]) -> DataFrame:
+    """A study result as one row; interval ends and means are rounded, counts are integers."""
+    values = {**found, **found["paired_bootstrap"], "folds_positive": int(found.get("all_temporal_folds_positive", 0))}
+    row = {out: int(values[name]) if kind == "long" else round(float(values[name]), 6) for name, (out, kind) in names.items()}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{out} {kind}" for out, kind in names.values()))
+
+
+INTERVAL = {"query_count": ("query_count", "long"), "estimate": ("estimate", "double"), "lower": ("lower", "double"), "upper": ("upper", "double"), "resamples": ("resamples", "long")}
+FOLDS = {"temporal_fold_count": ("folds", "long"), "folds_positive": ("folds_positive", "long")}
+
+
+@query
+def study_portability(spark, sf):
+    """Users as queries, event types as model seeds, events as positions."""
+    rows = t.table(spark, sf, "events").withColumn("seed", F.col("event_type")).select(
+        F.col("user_id").cast("string").alias("query_id"), F.pmod("user_id", F.lit(3)).alias("fold"), "seed", F.col("event_id").alias("position"),
+        (F.col("value") % 3.0).alias("relevance"), F.pmod(F.col("event_id") * 37, F.lit(101)).cast("double").alias("control"),
+        (F.col("value") % 7.0).alias("system"),
+    )
+    found = studies.portability(rows, control="control", system="system", seed=7)
+    names = {**INTERVAL, **FOLDS, "control_mean": ("control_mean", "double"), "system_mean": ("system_mean", "double"), "model_seed_count": ("seeds", "long")}
+    return _report(spark, found, names)
+
+
+@query
+def study_matched_scoring(spark, sf):
+    """The event channel's part of the fused pool against the whole pool, under one score."""
+    pool = t.pool(spark, sf).select(
+        "query_id", "candidate_id", (F.col("score_context_rank_prior") + F.col("rank_inv")).alias("score"),
+        F.array_contains("source_membership", "event").alias("in_backend"),
+    )
+    truth = t.truth(spark, sf).select("query_id", "candidate_id")
+    found = studies.matched_scoring(pool, truth, full_size=t.POOL_LIMIT, relevant_size=t.TRUTH_K, seed=7)
+    names = {**INTERVAL, "backend_mean": ("backend_mean", "double"), "full_system_mean": ("full_mean", "double"),
+             "backend_relevant_at_20": ("backend_relevant", "double"), "full_system_relevant_at_20": ("full_relevant", "double")}
+    return _report(spark, found, names)
+
+
+@query
+def study_physical_ablation(spark, sf):
+    """Users as queries in three folds, each evaluated from its first event on."""
+    events = t.table(spark, sf, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    views = F.coalesce(F.avg(F.when(F.col("event_type") == "view", F.col("value"))), F.lit(0.0))
+    users = events.groupBy("user_id").agg(F.avg("value").alias("a"), views.alias("v"), F.max("at").alias("at"))
+    queries = users.select(
+        F.col("user_id").cast("string").alias("query_id"), F.col("at").cast("string").alias("timestamp"),
+        F.pmod("user_id", F.lit(3)).cast("string").alias("fold"), (F.col("a") / (F.col("a") + 100)).alias("baseline_ndcg10"),
+        (F.col("v") / (F.col("v") + 100)).alias("system_ndcg10"), (F.col("a") * 10).alias("baseline_top1_track_error_km"),
+        (F.col("v") * 5).alias("system_top1_track_error_km"),
+    )
+    folds = users.groupBy(F.pmod("user_id", F.lit(3)).cast("string").alias("fold")).agg(
+        F.min("at").alias("evaluation_start"), F.max("at").alias("evaluation_end")
+    ).withColumn("train_end", F.col("evaluation_start") - F.expr("INTERVAL 1 HOUR"))
+    found = studies.physical_ablation(queries, folds, seed=7)
+    names = {**INTERVAL, **FOLDS, "baseline_mean": ("baseline_mean", "double"), "system_mean": ("system_mean", "double"),
+             "top1_track_rmse_reduction_km": ("reduction_km", "double")}
+    return _report(spark, found, names)
+
+
 @query
 def study_json_explode(spark, sf):
     """Nested JSON built from the rows of a user, parsed under an explicit schema and exploded."""

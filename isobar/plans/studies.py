@@ -224,25 +224,46 @@ def evaluate_portability(
         },
     )
     per_seed = queries.select("query_id", "fold", "continuous_relevance", F.explode("seed_scores").alias("s"))
-    arms = []
-    for arm in (control, system):
-        rows = per_seed.select(
-            "query_id",
-            "fold",
-            F.col("s.seed").alias("seed"),
-            F.posexplode(F.arrays_zip(F.col(f"s.{arm}").alias("score"), F.col("continuous_relevance").alias("relevance"))).alias("position", "v"),
-        ).select("query_id", "fold", "seed", "position", "v.score", "v.relevance")
-        arms.append(
-            continuous_ndcg(rows, keys=["query_id", "fold", "seed"])
-            .groupBy("query_id", "fold")
-            .agg(F.avg("ndcg").alias(arm))
-        )
+    triples = F.arrays_zip(F.col(f"s.{control}").alias("c"), F.col(f"s.{system}").alias("y"), F.col("continuous_relevance").alias("r"))
+    rows = per_seed.select("query_id", "fold", F.col("s.seed").alias("seed"), F.posexplode(triples).alias("position", "v")).select(
+        "query_id", "fold", "seed", "position", F.col("v.r").alias("relevance"), F.col("v.c").alias(control), F.col("v.y").alias(system)
+    )
+    found = portability(rows, control=control, system=system, resamples=resamples, seed=seed)
+    return {"study_scope": "development", "object_count": head["object_count"], **found}
+
+
+def portability(rows: DataFrame, *, control: str, system: str, resamples: int = 10_000, seed: int = 308000) -> dict[str, Any]:
+    """The study on a table: one row per query, model seed and position, with relevance and both scores.
+
+    Contract: relevance is finite and not negative, scores are finite, every query has as many seeds as any other, and
+    positions are unique in each of them.
+    """
+    def finite(c: str) -> Column:
+        return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c)) != float("inf"))
+
+    require(
+        rows,
+        {
+            "relevance must be present, finite and not negative": finite("relevance") & (F.col("relevance") >= 0),
+            "scores must be finite and aligned with relevance": finite(control) & finite(system),
+        },
+    )
+    shapes = rows.groupBy("query_id", "fold", "seed").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("position").alias("d")
+    ).groupBy("query_id", "fold").agg(
+        F.count(F.lit(1)).alias("seeds"), F.min(F.col("n") == F.col("d")).alias("unique")
+    )
+    seeds = shapes.agg(F.max("seeds").alias("s")).first()["s"]
+    require(shapes, {"each query must bring every seed, with unique positions": (F.col("seeds") == seeds) & F.col("unique")})
+    arms = [
+        continuous_ndcg(rows.select("query_id", "fold", "seed", "position", "relevance", F.col(arm).alias("score")), keys=["query_id", "fold", "seed"])
+        .groupBy("query_id", "fold").agg(F.avg("ndcg").alias(arm))
+        for arm in (control, system)
+    ]
     pairs = materialize(arms[0].join(arms[1], ["query_id", "fold"]), "study")
     summary = _paired_summary(pairs, control, system, resamples=resamples, seed=seed)
     return {
-        "study_scope": "development",
         "metric": "continuous_nDCG@10",
-        "object_count": head["object_count"],
         "model_seed_count": seeds,
         "query_count": pairs.count(),
         "control_mean": summary["baseline_mean"],
@@ -294,21 +315,45 @@ def evaluate_matched_scoring(
     )
     relevant = queries.select("query_id", F.explode(F.array_distinct("ground_truth_ids")).alias("candidate_id"))
     scores = queries.select("query_id", F.explode("sealed_scores").alias("s")).select("query_id", "s.candidate_id", "s.score")
-    results = []
-    for arm, ids in ((backend, short), (full_system, full)):
-        pool = queries.select("query_id", F.explode(ids).alias("candidate_id")).join(scores, ["query_id", "candidate_id"])
-        results.append(
-            ranked_binary_metrics(pool, relevant)
-            .withColumnRenamed("ndcg", f"{arm}_ndcg")
-            .withColumnRenamed("relevant_at_k", f"{arm}_relevant")
-        )
-    pairs = materialize(results[0].join(results[1], "query_id"), "study")
-    summary = _paired_summary(
-        pairs, f"{backend}_ndcg", f"{full_system}_ndcg", resamples=resamples, seed=seed
+    members = queries.select("query_id", F.explode(full).alias("candidate_id"), short.alias("short"))
+    pool = members.select("query_id", "candidate_id", F.array_contains("short", F.col("candidate_id")).alias("in_backend")).join(
+        scores, ["query_id", "candidate_id"]
     )
+    found = matched_scoring(pool, relevant, backend=backend, full_system=full_system, resamples=resamples, seed=seed)
+    return {"study_scope": "development", **found}
+
+
+def matched_scoring(
+    pool: DataFrame, relevant: DataFrame, *, backend: str = "backend", full_system: str = "full", full_size: int = FULL_POOL,
+    relevant_size: int = RELEVANT, resamples: int = 10_000, seed: int = 20262202,
+) -> dict[str, Any]:
+    """The study on tables: the full pool (query_id, candidate_id, score, in_backend) and the relevant pairs.
+
+    Contract: candidates are unique and ``full_size`` per query, some of them of the backend, with finite scores, and every
+    query of the pool has ``relevant_size`` distinct relevant candidates.
+    """
+    sizes = pool.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("candidate_id").alias("d"), F.count_if("in_backend").alias("b"),
+        F.count_if(F.col("score").isNull() | F.isnan("score") | (F.abs("score") == float("inf"))).alias("bad"),
+    ).join(relevant.groupBy("query_id").agg(F.count_distinct("candidate_id").alias("r")), "query_id", "left")
+    require(
+        sizes,
+        {
+            f"each query needs {relevant_size} distinct relevant events": F.col("r") == relevant_size,
+            "pool ids must be present and unique": (F.col("n") == F.col("d")) & (F.col("b") > 0),
+            "sealed scores must be finite": F.col("bad") == 0,
+            f"the full pool must hold {full_size} candidates": F.col("n") == full_size,
+        },
+    )
+    results = [
+        ranked_binary_metrics(rows.select("query_id", "candidate_id", "score"), relevant)
+        .withColumnRenamed("ndcg", f"{arm}_ndcg").withColumnRenamed("relevant_at_k", f"{arm}_relevant")
+        for arm, rows in ((backend, pool.filter("in_backend")), (full_system, pool))
+    ]
+    pairs = materialize(results[0].join(results[1], "query_id"), "study")
+    summary = _paired_summary(pairs, f"{backend}_ndcg", f"{full_system}_ndcg", resamples=resamples, seed=seed)
     counts = pairs.agg(F.avg(f"{backend}_relevant").alias("b"), F.avg(f"{full_system}_relevant").alias("f")).first()
     return {
-        "study_scope": "development",
         "metric": "nDCG@10",
         "query_count": pairs.count(),
         "backend": backend,
@@ -332,8 +377,19 @@ def evaluate_physical_ablation(
     """Ranking and top-1 track error of two systems, over temporal folds."""
     require(payload, {"only development ablations are accepted": F.col("study_scope") == "development"})
     head = payload.select("expected_temporal_folds").first()
-    folds, queries = _fold_table(payload), _queries(payload)
-    _check_folds(queries, folds, head["expected_temporal_folds"] or 3)
+    found = physical_ablation(
+        _queries(payload), _fold_table(payload), expected_folds=head["expected_temporal_folds"] or 3, control=control, system=system,
+        resamples=resamples, seed=seed,
+    )
+    return {"study_scope": "development", **found}
+
+
+def physical_ablation(
+    queries: DataFrame, folds: DataFrame, *, expected_folds: int = 3, control: str = "baseline", system: str = "system",
+    resamples: int = 10_000, seed: int = 20262202,
+) -> dict[str, Any]:
+    """The study on tables: (query_id, timestamp, fold, ndcg and track error of both arms) and the temporal folds."""
+    _check_folds(queries, folds, expected_folds)
     ndcg = [f"{arm}_ndcg10" for arm in (control, system)]
     errors = [f"{arm}_top1_track_error_km" for arm in (control, system)]
 
@@ -350,7 +406,6 @@ def evaluate_physical_ablation(
     summary = _paired_summary(queries, *ndcg, resamples=resamples, seed=seed)
     means = queries.agg(F.avg(errors[0]).alias("b"), F.avg(errors[1]).alias("s")).first()
     return {
-        "study_scope": "development",
         "ranking_metric": "nDCG@10",
         "query_count": queries.count(),
         "baseline_mean": summary["baseline_mean"],
