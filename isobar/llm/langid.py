@@ -141,7 +141,9 @@ class Model:
         total[~allowed] = -1e9
         total -= total.max(axis=1, keepdims=True)
         np.maximum(total, -FLOOR, out=total)
-        total[~allowed.any(axis=1)] = 0
+        none = ~allowed.any(axis=1)
+        total[none] = 0
+        total[none, self.frequent] = 1e-3  # decides only where nothing else speaks
         return total
 
 
