@@ -4,33 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-FINGERPRINTS = T.StructType(
-    [
-        T.StructField("row_id", T.LongType(), False),
-        T.StructField("start_ts", T.TimestampType()),
-        T.StructField("end_ts", T.TimestampType()),
-        T.StructField("vector", T.ArrayType(T.FloatType())),
-    ]
-)
-
-# CSV columns are read as text and coerced by name, because unparsable numbers become NULL
-# instead of failing the read.
-CANDIDATE_IDS = ("query_id", "candidate_id")
-CANDIDATE_RANKS = ("rank", "source_event_rank", "source_sequence_rank", "source_min_rank")
-
-MAPPING = T.StructType([T.StructField("tracklet_id", T.StringType()), T.StructField("tc_id", T.StringType())])
-
-BEST_TRACK = T.StructType(
-    [
-        T.StructField("tc_id", T.StringType()),
-        T.StructField("time_utc", T.StringType()),
-        T.StructField("lat", T.StringType()),
-        T.StructField("lon", T.StringType()),
-        T.StructField("pres", T.StringType()),
-        T.StructField("wnd", T.StringType()),
-    ]
-)
-
 FOLD = T.StructType(
     [
         T.StructField("fold", T.StringType()),

@@ -41,8 +41,12 @@ def read_ranking(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """Tracklet mapping with the file order, since the first entry of a tracklet counts."""
-    return _raw(spark, path).select("tracklet_id", "tc_id").withColumn("row_order", F.monotonically_increasing_id())
+    """Tracklet mapping with the file order, since the first entry of a tracklet counts.
+
+    Files are in order of their paths and blocks in order of their place; inside a block, ids ascend with the rows.
+    """
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return _raw(spark, path).select("tracklet_id", "tc_id", place.alias("row_order"))
 
 
 def read_best_track(spark: SparkSession, path: str) -> DataFrame:
