@@ -57,6 +57,17 @@ GRID = (
 )
 
 
+#: Rows of a query's pool, and relevant ids, that a profile is ranked among in one row.
+POOL_ROWS = 2_000
+
+
+def check_width(rows: DataFrame, what: str, limit: int) -> None:
+    """Fail before a query with more rows than ``limit`` is gathered."""
+    widest = rows.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    if widest > limit:
+        raise ValueError(f"a query has {widest} {what}; at most {limit} are ranked together")
+
+
 def ledger(
     scored: DataFrame,
     anchors: DataFrame,
@@ -65,15 +76,18 @@ def ledger(
     models: Mapping[str, str],
     blends: Sequence[Blend] | None = None,
     keeps: Sequence[int] = ANCHOR_KEEPS,
+    pool_rows: int = POOL_ROWS,
 ) -> DataFrame:
     """Validation metrics of every model, blend and anchor count, as one plan.
 
     ``scored`` carries one score column per model (``models`` maps name to column). A query becomes one row
-    with its pool (bounded by the candidate limit), its first anchors and its relevant ids; profiles are
+    with its pool, its first anchors and its relevant ids, each checked to have at most ``pool_rows``; profiles are
     then expanded and ranked inside that row, so the grid adds no shuffle and no sort of the table.
     """
     blends = list(blends if blends is not None else profile_grid())
     names = list(models)
+    check_width(scored, "pool rows", pool_rows)
+    check_width(relevant, "relevant ids", pool_rows)
     terms = score_terms(scored, models[names[0]]).drop("z_model")
     terms = terms.withColumns({f"z_model_{i}": query_z(F.coalesce(F.col(models[n]).cast("double"), F.lit(0.0))) for i, n in enumerate(names)})
     pools = terms.groupBy("query_id").agg(

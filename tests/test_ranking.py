@@ -235,6 +235,13 @@ def test_ledger_equals_merging_each_profile(spark):
     assert offline.select_profile(table, floors={"recall_at_20": 0.0}).first()["passes_floors"]
 
 
+def test_wide_pools_are_refused_before_they_are_gathered(spark):
+    rows = spark.createDataFrame([("q", f"c{i}") for i in range(30)] + [("r", "c1")], "query_id string, candidate_id string")
+    offline.check_width(rows, "pool rows", 30)
+    with pytest.raises(ValueError, match="30 pool rows; at most 29"):
+        offline.check_width(rows, "pool rows", 29)
+
+
 def test_gates_never_pass_without_physical_errors(spark):
     row = {m: 1.0 for m in metrics.METRICS} | {"track_rmse_km": None, "landfall_dist_km": 1.0}
     df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} double" for c in row))
