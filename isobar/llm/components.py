@@ -1,6 +1,7 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Each round is two aggregations and joins; nothing is collected but one checksum. The number of rounds grows with the
+Each round is two aggregations and joins; nothing is collected but one checksum. Edges with a null end and loops count
+for nothing, repeated edges once; an empty table gives an empty result. The number of rounds grows with the
 logarithm of the longest chain. Every few steps the edges are written to the shared folder, which cuts the lineage.
 """
 
@@ -24,7 +25,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     while seen[0]:
         # Large star: neighbours above a node go to the smallest of its neighbourhood.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # Written, so that the join has plain shuffles on both sides and a hub's edges can be split.
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), f"{label}-least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: neighbours below a node, and the node, go to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
