@@ -10,17 +10,20 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from isobar.session import materialize
 
@@ -105,6 +108,50 @@ def gradient_table(pool: DataFrame, spec: RankerSpec) -> DataFrame:
     )
 
 
+@dataclass
+class FlatTree:
+    """Nodes of a regression tree; a leaf has feature -1."""
+
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+
+    def predict(self, matrix: np.ndarray) -> np.ndarray:
+        at, rows = np.zeros(len(matrix), dtype=np.int64), np.arange(len(matrix))
+        while True:
+            feature = self.feature[at]
+            inner = feature >= 0
+            if not inner.any():
+                return self.value[at]
+            below = matrix[rows, np.maximum(feature, 0)] <= self.threshold[at]
+            at = np.where(inner, np.where(below, self.left[at], self.right[at]), at)
+
+
+def flat_tree(text: str, columns: Sequence[int]) -> FlatTree:
+    """Nodes from the readable form of a tree, with features numbered as in the full list."""
+    lines = [line.strip() for line in text.splitlines() if line.strip()]
+    nodes: list[list] = []
+
+    def node(i: int) -> tuple[int, int]:
+        """Number of the node that starts at line i, and the first line after it."""
+        mine = len(nodes)
+        nodes.append([-1, 0.0, 0, 0, 0.0])
+        if lines[i].startswith("Predict:"):
+            nodes[mine][4] = float(lines[i].split(":")[1])
+            return mine, i + 1
+        found = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", lines[i])
+        nodes[mine][0], nodes[mine][1] = columns[int(found[1])], float(found[2])
+        nodes[mine][2], i = node(i + 1)
+        nodes[mine][3], i = node(i + 1)  # after the line of the other branch
+        return mine, i
+
+    node(0)
+    feature, threshold, left, right, value = zip(*nodes)
+    return FlatTree(np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(value))
+
+
 @dataclass
 class TreeRanker:
     """Fitted scorer: boosted regression trees or a boosted classifier."""
@@ -117,19 +164,25 @@ class TreeRanker:
 
     def score(self, df: DataFrame, features: str = "features", name: str = "model_score") -> DataFrame:
         """Add the model score; ``features`` is the ordered float array."""
-        ready = df.withColumn("_x", array_to_vector(F.col(features).cast("array<double>")))
         if self.classifier is not None:
+            ready = df.withColumn("_x", array_to_vector(F.col(features).cast("array<double>")))
             scored = self.classifier.transform(ready)
             return scored.withColumn(name, vector_to_array("probability")[1]).drop(
                 "_x", "rawPrediction", "probability", "prediction"
             )
-        total = F.lit(0.0)
-        for i, (tree, columns) in enumerate(zip(self.trees, self.slices, strict=True)):
-            ready = _sliced(ready, columns).withColumnRenamed("_part", f"_x{i}")
-            ready = tree.copy({tree.featuresCol: f"_x{i}", tree.predictionCol: f"_t{i}"}).transform(ready)
-            total = total + F.lit(self.spec.learning_rate) * F.col(f"_t{i}")
-        spare = [f"{p}{i}" for i in range(len(self.trees)) for p in ("_x", "_t")]
-        return ready.withColumn(name, total).drop("_x", *spare)
+        # All trees in one pass over flat node arrays, so the plan has one function whatever their number.
+        forest = [flat_tree(text, columns) for text, columns in zip(self.texts(), self.slices, strict=True)]
+        rate = self.spec.learning_rate
+
+        @F.arrow_udf(T.DoubleType())
+        def predict(rows: pa.Array) -> pa.Array:
+            matrix = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+            total = np.zeros(len(rows))
+            for tree in forest:
+                total += rate * tree.predict(matrix)
+            return pa.array(total)
+
+        return df.withColumn(name, predict(F.col(features).cast("array<double>")))
 
     def texts(self) -> list[str]:
         """Readable trees without the run-specific first line."""
