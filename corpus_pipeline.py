@@ -48,8 +48,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.remove_repeats(docs, F.col("doc_id"), F.col("text"))
-    text = F.when(F.col("n_removed") > 0, suffix_dedup.as_text("kept")).otherwise(F.col("row.text"))
+    cut = suffix_dedup.remove_repeats(docs, F.col("doc_id"), F.col("text"), as_text=True)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
     changed = cut.select("row", "n_removed", text.alias("text"))
     new = {
         "text": F.col("text"),

@@ -412,38 +412,34 @@ def frequent_cores(rows: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
 # --- operator ---------------------------------------------------------------------------------------------
 
-RESULT = T.StructType(
-    [T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())]
-)
-
-
-@F.arrow_udf(RESULT)
-def cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    """Number of bytes and runs in the spans, and the remaining bytes."""
-    data, offsets = buffers(texts)
-    out: list[tuple] = []
-    for i, found in enumerate(spans.to_pylist()):
-        own = data[offsets[i] : offsets[i + 1]]
-        if not found:
-            out.append((0, 0, own.tobytes()))
-            continue
-        ids = np.zeros(len(found), np.int64)
-        _, _, start, length = merged(ids, ids, np.array([s["start"] for s in found], np.int64), np.array([s["length"] for s in found], np.int64))
-        keep, at = [], 0
-        for s, n in zip(start.tolist(), length.tolist()):
-            keep.append(own[at:s])
-            at = s + n
-        kept = np.concatenate([*keep, own[at:]]).tobytes()
-        out.append((int(length.sum()), len(start), kept))
-    removed, number, kept = zip(*out) if out else ((), (), ())
-    release()
-    return pa.StructArray.from_arrays([pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(kept, pa.binary())], ["n_removed", "n_spans", "kept"])
-
+def cutter(as_text: bool):
+    """Arrow function from text and spans to the numbers of removed bytes and runs, and what remains: bytes, or text without
+    characters that were cut in two."""
+    kind = T.StringType() if as_text else T.BinaryType()
+    result = T.StructType([T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", kind)])
+
+    @F.arrow_udf(result)
+    def cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        data, offsets = buffers(texts)
+        out: list[tuple] = []
+        for i, found in enumerate(spans.to_pylist()):
+            own = data[offsets[i] : offsets[i + 1]]
+            if not found:
+                out.append((0, 0, own.tobytes()))
+                continue
+            ids = np.zeros(len(found), np.int64)
+            _, _, start, length = merged(ids, ids, np.array([s["start"] for s in found], np.int64), np.array([s["length"] for s in found], np.int64))
+            keep, at = [], 0
+            for s, n in zip(start.tolist(), length.tolist()):
+                keep.append(own[at:s])
+                at = s + n
+            out.append((int(length.sum()), len(start), np.concatenate([*keep, own[at:]]).tobytes()))
+        removed, number, kept = zip(*out) if out else ((), (), ())
+        left = pa.array([b.decode("utf-8", "ignore") for b in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+        release()
+        return pa.StructArray.from_arrays([pa.array(removed, pa.int64()), pa.array(number, pa.int64()), left], ["n_removed", "n_spans", "kept"])
 
-@F.arrow_udf(T.StringType())
-def as_text(kept: pa.Array) -> pa.Array:
-    """Text of the remaining bytes, without characters that were cut in two."""
-    return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in kept.to_pylist()], pa.string())
+    return cut_out
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
@@ -468,8 +464,9 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     )
 
 
-def remove_repeats(docs: DataFrame, doc_id: Column, text: Column, keep: list[str] | None = None) -> DataFrame:
-    """(row, n_bytes, n_removed, n_spans, kept); ``kept`` are the remaining bytes, ``row`` has the columns ``keep``."""
+def remove_repeats(docs: DataFrame, doc_id: Column, text: Column, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """(row, n_bytes, n_removed, n_spans, kept); ``kept`` are the remaining bytes, or the text of them, ``row`` has the
+    columns ``keep``."""
     body = F.coalesce(text, F.lit(""))
     rows = docs.select(doc_id.cast("long").alias("doc_id"), F.xxhash64(body).alias("text_key"), body.alias("text"))
     spans = repeated_spans(rows).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
@@ -478,5 +475,5 @@ def remove_repeats(docs: DataFrame, doc_id: Column, text: Column, keep: list[str
         row.alias("row"), F.coalesce(doc_id.cast("long"), F.lit(int(NULL_ID))).alias("doc_id"), F.xxhash64(body).alias("text_key"), body.alias("text")
     )
     joined = base.join(spans, ["doc_id", "text_key"], "left")
-    cut = joined.select("row", F.octet_length("text").cast("long").alias("n_bytes"), cut_out("text", "spans").alias("c"))
+    cut = joined.select("row", F.octet_length("text").cast("long").alias("n_bytes"), cutter(as_text)("text", "spans").alias("c"))
     return cut.select("row", "n_bytes", "c.n_removed", "c.n_spans", "c.kept")
