@@ -185,7 +185,7 @@ def _fingerprints(buckets: int, frequent: np.ndarray):
                 cut = slice(at, at + n)
                 docs, index = np.unique(parts.doc[cut], return_inverse=True)
                 columns = (ids[docs], keys[docs], index.astype(np.uint32 if len(docs) > 65535 else np.uint16), parts.start[cut].astype(np.int32),
-                           np.stack([parts.count[cut], parts.offset[cut]]).astype(np.uint8), parts.hash[cut], parts.core[cut].astype(np.uint32))
+                           np.stack([parts.count[cut], parts.offset[cut]]).astype(np.uint8), parts.hash[cut], parts.core[cut])
                 for column, value in zip(rows, (bucket[at], False, *(c.tobytes() for c in columns))):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, CHUNK)], schema=CHUNK)
@@ -216,7 +216,7 @@ def _compare_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             index = np.frombuffer(raw[2], np.uint16 if len(raw[2]) == 2 * len(start) else np.uint32)
             shape = np.frombuffer(raw[4], np.uint8).reshape(2, -1)
             values = (np.frombuffer(raw[0], np.int64)[index], np.frombuffer(raw[1], np.int64)[index], start, shape[0], shape[1],
-                      np.frombuffer(raw[5], U64), np.frombuffer(raw[6], np.uint32))
+                      np.frombuffer(raw[5], U64), np.frombuffer(raw[6], U64))
             for column, value in zip(columns, values):
                 column.append(value)
     if not columns[0]:
@@ -237,8 +237,8 @@ def _compare_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     only = only[np.argsort(core[only], kind="stable")]
     begin, size = runs(core[only])
     shared = only[np.repeat(size > 1, size)]
-    # Single starts have their whole string as core, so another part with it is a collision of the short core.
-    yield _rows(ids[shared], keys[shared], start[shared], count[shared], offset[shared], as_signed(mix(core[shared].astype(U64))))
+    # Single starts have their whole string as core; another part with it would be a collision, which sorting settles.
+    yield _rows(ids[shared], keys[shared], start[shared], count[shared], offset[shared], as_signed(core[shared]))
     del ids, keys, start, count, offset, whole, core, order, tied, some, lead, again, covered, spans, only, shared
     release()
 
@@ -331,7 +331,8 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = LENGTH + -LENGTH % 8
         right = padded[(at[:-1] + offset)[:, None] + np.arange(width)]
         right[np.arange(width) >= (size - offset)[:, None]] = 0
-        order = deep_shallow(core, np.ascontiguousarray(right), GRAM)
+        # The anchor is compared as well: should two cores ever share a hash, equal strings still stand side by side.
+        order = deep_shallow(core, np.ascontiguousarray(right), 0, GRAM // 8 + SHALLOW)
         ordered = right[order]
         differ = ordered[1:] != ordered[:-1]
         common = np.where(differ.any(axis=1), differ.argmax(axis=1), width)

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,35 @@ def test_long_texts_are_cut_into_overlapping_segments():
     assert len(spread(whole)) == (7000 - 99) + (1950 - 99)
 
 
+@pytest.mark.parametrize("kept", [0xFFFFFFFF << 32, 0])
+def test_cores_with_one_hash_do_not_part_equal_strings(monkeypatch, kept):
+    """Cores that agree in their low 32 bits, or in all, must not hide a repeat."""
+    rng = random.Random(12)
+    passages = ["".join(rng.choice("abcd") for _ in range(130)) for _ in range(60)]
+    texts = ["".join(rng.choice("abcd") for _ in range(60)) + p + "".join(rng.choice("abcd") for _ in range(60)) for p in passages * 2]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    original = suffix_dedup.parts_of
+
+    def colliding(*args):
+        parts = original(*args)
+        parts.core = parts.core & np.uint64(kept)
+        return parts
+
+    monkeypatch.setattr(suffix_dedup, "parts_of", colliding)
+    docs = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "text_key": [0] * len(rows), "text": texts})
+    chunks = suffix_dedup._fingerprints(1, np.zeros(0, np.uint64))(iter([docs]))
+    found = [r for b in suffix_dedup._compare_parts(chunks) for r in b.to_pylist()]
+    spans = [r for r in found if r["offset"] < 0]
+    asked = [[{"start": r["start"], "count": r["length"], "offset": r["offset"], "core": r["core"]} for r in found if r["offset"] >= 0 and r["doc_id"] == i] for i, _ in rows]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("count", pa.int32()), ("offset", pa.int32()), ("core", pa.int64())]))
+    parts = pa.Table.from_batches(suffix_dedup._cut_parts(iter([docs.append_column("asked", pa.array(asked, kind))]))).sort_by("core")
+    spans += [r for b in suffix_dedup._settle(iter(parts.combine_chunks().to_batches())) for r in b.to_pylist()]
+    covered = {i: set() for i, _ in rows}
+    for r in spans:
+        covered[r["doc_id"]].update(range(r["start"], r["start"] + r["length"]))
+    assert [(i, len(covered[i])) for i, _ in rows] == [(i, removed) for i, _, removed, _, _ in sorted(brute_cut(rows))]
+
+
 def test_deep_shallow_sorting_orders_like_bytes():
     rng = random.Random(5)
     base = bytes(rng.randrange(3) for _ in range(104))
