@@ -253,6 +253,27 @@ def test_model_sums_to_one_and_beats_unigrams(spark):
     assert len(colours) == 2
 
 
+def likelihood(counts, of):
+    table = brown.class_table(counts, of)
+    return brown.xlogx(table).sum() - brown.xlogx(table.sum(axis=0)).sum() - brown.xlogx(table.sum(axis=1)).sum()
+
+
+@pytest.mark.parametrize("seed", [0, 1, 4])
+def test_exchange_ends_where_no_word_gains_by_a_move(seed):
+    words, classes = 60, 7
+    size = words + brown.FORMS + 1
+    walk = np.random.default_rng(seed).integers(0, size, 3000)
+    counts = np.zeros((size, size))
+    np.add.at(counts, (walk, np.roll(walk, -1)), 1)
+    of = brown.exchange(counts, words, classes, brown.PASSES)
+    best = likelihood(counts, of)
+    for word in range(words):
+        for c in range(classes):
+            moved = of.copy()
+            moved[word] = c
+            assert likelihood(counts, moved) <= best + 1e-6
+
+
 def test_scores_without_training_texts(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = brown.score_texts(docs, F.col("doc_id"), F.col("text"), F.lit(False)).collect()
