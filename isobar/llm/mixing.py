@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from isobar.operators.ordering import ordinal
 from isobar.session import materialize
 
 INTERVALS = 4096
@@ -36,8 +37,9 @@ def text_quality(text: Column, words: Column) -> Column:
 
 def cyclic_weights(sources: DataFrame, cycle: tuple[float, ...] = (5.0, 2.0, 1.0)) -> DataFrame:
     """Weights dealt to the sources in code point order, null last. ``sources`` has one row per source."""
-    place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    return sources.select("source", F.element_at(F.array(*map(F.lit, cycle)), (place % len(cycle) + 1).cast("int")).alias("weight"))
+    placed = ordinal(sources.select("source"), [], [F.col("source").isNull(), F.col("source")], name="place")
+    place = F.col("place") - 1
+    return placed.select("source", F.element_at(F.array(*map(F.lit, cycle)), (place % len(cycle) + 1).cast("int")).alias("weight"))
 
 
 def fill_targets(sources: DataFrame, max_epochs: float, share: float = 1.0) -> DataFrame:

@@ -170,6 +170,14 @@ def test_mix_meets_its_targets(spark):
     assert sorted((str(r["row"]), r["taken"]) for r in got) == sorted((str(r["row"]), r["taken"]) for r in again)
 
 
+def test_weights_are_dealt_without_bringing_all_sources_to_one_task(spark):
+    names = [None, "", *(f"s{i * 7919 % 3000:05d}" for i in range(3000))]
+    weights = mixing.cyclic_weights(spark.createDataFrame([(n,) for n in names], "source string").repartition(4))
+    assert "row_number" not in weights._jdf.queryExecution().toString()
+    want = {n: (5.0, 2.0, 1.0)[i % 3] for i, n in enumerate(sorted(names, key=lambda n: (n is None, n or "")))}
+    assert {r["source"]: r["weight"] for r in weights.collect()} == want
+
+
 def test_capped_sources_pass_on_their_excess(spark):
     table = spark.createDataFrame([("a", 10, 5.0), ("b", 1000, 2.0), ("c", 30, 5.0), ("d", 0, 1.0)], "source string, source_size long, weight double")
     got = {r["source"]: r["target"] for r in mixing.fill_targets(table, 3.0).collect()}
