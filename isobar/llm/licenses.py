@@ -3,8 +3,8 @@
 Texts are cut into blocks of ``BLOCK`` words, one every ``STRIDE`` words. A template matches a block that contains at
 least ``containment`` of its distinct words. Words are ordered by their number in the whole corpus. With ``need``
 required words of ``n``, a matching block must hold one of the template's ``n - need + 1`` rarest (the prefix), so
-blocks are found by an equi-join on those words. The length filter drops blocks with fewer words than ``need``, the
-position filter the prefix words after which too few of the template are left; the overlap is then counted exactly.
+blocks are found by an equi-join on those words. The length filter drops blocks with fewer words than ``need``; no
+position filter prunes, and the overlap is then counted exactly.
 
 Fixed phrases are found at the same time: words that stand consecutively anywhere in the text.
 
@@ -57,9 +57,8 @@ def patterns(spark: SparkSession, documents: DataFrame, phrases, templates, cont
             continue
         tokens = sorted(set(seq), key=lambda w: (count[w], w))
         need = math.ceil(containment * len(tokens) - 1e-9)
-        for place, token in enumerate(tokens[: len(tokens) - need + 1]):
-            if len(tokens) - place >= need:  # position filter
-                rows += [(label, False, tokens, token, 0, need, shift) for shift in range(BLOCK // STRIDE)]
+        for token in tokens[: len(tokens) - need + 1]:
+            rows += [(label, False, tokens, token, 0, need, shift) for shift in range(BLOCK // STRIDE)]
     rows = [(i, *r) for i, r in enumerate(rows)]
     return spark.createDataFrame(
         rows, "pattern_id long, label string, phrase boolean, seq array<string>, anchor string, at int, need int, shift int"
