@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.llm import brown, chosen_path, decontaminate, langid, licenses, mixing, suffix_dedup, topk, urlfilter, warc
-from isobar.llm.common import table
+from isobar.llm import brown, chosen_path, decontaminate, langid, licenses, merkle, mixing, suffix_dedup, topk, urlfilter, warc
+from isobar.llm.common import lower_ascii, table
 from isobar.session import materialize, shared_dir
 
 
@@ -99,6 +99,16 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    changed = F.when(tampered, merkle.leaf_digest(*fields, lower_ascii(F.col("text"))))
+    proved = merkle.manifest(documents, F.col("doc_id"), F.col("source"), merkle.leaf_digest(*fields, F.col("text")), changed)
+    verified = F.col("folded_root") == F.col("root")
+    return proved.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", verified.alias("verified"))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
@@ -110,13 +120,71 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_brown_lm": op10_brown_lm,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: CRC-32 of an ASCII string, bit by bit.
+_CRC32 = """xor(4294967295::bigint, list_reduce(
+    list_concat([4294967295::bigint], list_transform(string_split({}, ''), lambda ch: ascii(ch)::bigint)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)),
+        lambda x, i: case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end)))"""
+
+
+def _merkle_sql(levels: int = 6) -> str:
+    """Levels and siblings of both trees, written out for up to ``levels`` levels each."""
+    fields = {"doc_id": "doc_id::varchar", "source": "source", "lang": "lang", "n_chars": "n_chars::varchar", "text": "{text}"}
+    encoded = " || ".join(f"coalesce(strlen({v})::varchar || ':' || {v}, '-')" for v in fields.values())
+    leaf, changed = encoded.format(text="text"), encoded.format(text=_LOWER.format("text"))
+
+    def tree(name: str, start: str) -> str:
+        """Nodes {name}0.. and siblings {name}s0.. of (tree, idx, width, digest); a finished tree goes up unchanged."""
+        parts = [f"{name}0 as ({start})"]
+        for n in range(levels):
+            parts.append(f"""{name}s{n} as (
+                select a.tree, a.idx, coalesce(string_agg(b.digest, '' order by b.idx) filter (b.idx < a.idx), '') as l,
+                       coalesce(string_agg(b.digest, '' order by b.idx) filter (b.idx > a.idx), '') as r, any_value(a.width) as width
+                from {name}{n} a join {name}{n} b on a.tree = b.tree and a.idx // 16 = b.idx // 16 group by a.tree, a.idx)""")
+            parts.append(f"""{name}{n + 1} as (
+                select tree, idx // 16 as idx, max(case when width = 1 then 1 else (width + 15) // 16 end) as width,
+                       case when max(width) = 1 then max(digest) else sha256(string_agg(digest, '' order by idx)) end as digest
+                from {name}{n} group by tree, idx // 16)""")
+        return ", ".join(parts)
+
+    sides = [f"{name}s{n}" for name in "nr" for n in range(levels)]
+    joins = " ".join(f"join ns{n} on ns{n}.tree = leaves.tree and ns{n}.idx = leaves.idx // {16**n}" for n in range(levels))
+    joins += " join r0 on r0.of = leaves.tree "
+    joins += " ".join(f"join rs{n} on rs{n}.idx = r0.idx // {16**n}" for n in range(levels))
+    steps, last = [], "coalesce(changed, leaf)"
+    for k, side in enumerate(sides):
+        steps.append((k, side, last))
+        last = f"h{k}"
+    columns = ", ".join(f"{s}.l as l{k}, {s}.r as r{k}, {s}.width as w{k}" for k, s in enumerate(sides))
+    folds = ", ".join(
+        f"f{k} as (select *, case when w{k} = 1 then {before} else sha256(l{k} || {before} || r{k}) end as h{k} from {'ways' if k == 0 else f'f{k - 1}'})"
+        for k, _, before in steps
+    )
+    proof = " || ".join(f"l{k} || r{k}" for k in range(len(sides)))
+    return f"""
+        with leaves as (
+            select doc_id, coalesce('+' || source, '') as tree, sha256({leaf}) as leaf,
+                   case when {_CRC32.format("doc_id::varchar")} % 5 = 0 then sha256({changed}) end as changed,
+                   row_number() over (partition by source order by doc_id nulls first, sha256({leaf})) - 1 as idx,
+                   count(*) over (partition by source) as width from documents),
+        {tree("n", "select tree, idx, width, leaf as digest from leaves")},
+        {tree("r", f"select '' as tree, row_number() over (order by tree) - 1 as idx, count(*) over () as width, digest, tree as of from n{levels}")},
+        ways as (select leaves.*, r0.digest as subroot, r{levels}.digest as root, {columns} from leaves {joins} cross join r{levels}),
+        {folds}
+        select doc_id, leaf, subroot, root, sha256({proof}) as proof_sha256, h{len(sides) - 1} as folded_root,
+               h{len(sides) - 1} = root as verified from f{len(sides) - 1}
+    """
+
+
 ORACLE = {
+    "op13_merkle_manifest": _merkle_sql(),
     "op1_warc": """
         with p as (select page_id, coalesce(html, '') as body from pages),
         d as (select page_id, cast(strlen(body) as bigint) as payload_bytes, sha256(body) as payload_digest from p),
