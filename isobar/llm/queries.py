@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.llm import brown, chosen_path, decontaminate, langid, licenses, merkle, mixing, suffix_dedup, topk, urlfilter, warc
+from isobar.llm import brown, chosen_path, decontaminate, langid, licenses, merkle, mixing, suffix_dedup, topk, trie, urlfilter, warc
 from isobar.llm.common import lower_ascii, table
 from isobar.session import materialize, shared_dir
 
@@ -99,6 +99,13 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = trie.turns_in_order(rows, F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text"))
+    head = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(9))
+    return trie.prefix_trie(trie.with_shared_heads(turns, head, F.col("conv_id") - F.col("conv_id") % 5))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
@@ -120,6 +127,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_brown_lm": op10_brown_lm,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -184,6 +192,33 @@ def _merkle_sql(levels: int = 6) -> str:
 
 
 ORACLE = {
+    "op12_prefix_trie": f"""
+        with o as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+                          row_number() over (partition by conv_id order by turn nulls first, role, text) as pos,
+                          {_CRC32.format("conv_id::varchar")} % 9 as h, conv_id - conv_id % 5 as base
+                   from conversations where conv_id is not null),
+        c as (select conv_id, any_value(h) as h, any_value(base) as base, count(*) as n from o group by 1),
+        k as (select c.*, least(c.h, coalesce(b.n, 0)) as k from c left join c b on b.conv_id = c.base),
+        r as (select k.conv_id, o.pos as depth, o.role, o.text from k join o on o.conv_id = k.base and o.pos <= k.k
+              union all select k.conv_id, o.pos - k.h + k.k, o.role, o.text from k join o on o.conv_id = k.conv_id and o.pos > k.h),
+        l as (select k.conv_id, count(r.conv_id) as len from k left join r on r.conv_id = k.conv_id group by 1),
+        p as (select conv_id, depth, strlen(text) as bytes,
+                     list(strlen(role) || ':' || role || text) over (partition by conv_id order by depth) as path from r
+              union all select conv_id, 0, 0, [] from k),
+        w as (select *, min(conv_id) over (partition by path) as node, count(*) over (partition by path) as n_convs from p),
+        s as (select w.conv_id, w.depth, w.node, u.node as up, w.n_convs, w.bytes from w left join w u on u.conv_id = w.conv_id and u.depth = w.depth - 1),
+        nodes as (select * from s where conv_id = node),
+        ch as (select up as node, depth - 1 as depth, count(*) as n_children from nodes where up is not null group by 1, 2),
+        sub as (select s.node, s.depth, count(*) filter (coalesce(ch.n_children, 0) = 0) as n_leaves, sum((x.n_convs - 1) * x.bytes) as saved_tokens
+                from s join nodes x on x.node = s.conv_id and x.depth >= s.depth
+                left join ch on ch.node = x.node and ch.depth = x.depth group by 1, 2),
+        e as (select s.node, s.depth, string_agg(s.conv_id::varchar, ',' order by s.conv_id) as ids
+              from s join l on l.conv_id = s.conv_id and l.len = s.depth group by 1, 2)
+        select n.node as conv_id, n.depth, n.up as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children,
+               n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+        from nodes n join sub on sub.node = n.node and sub.depth = n.depth
+        left join ch on ch.node = n.node and ch.depth = n.depth left join e on e.node = n.node and e.depth = n.depth
+    """,
     "op13_merkle_manifest": _merkle_sql(),
     "op1_warc": """
         with p as (select page_id, coalesce(html, '') as body from pages),
