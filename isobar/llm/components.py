@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
 Each round is two aggregations and joins; nothing is collected but one checksum. Edges with a null end and loops count
-for nothing, repeated edges once; an empty table gives an empty result. The number of rounds grows with the
+for nothing, repeated edges once; an empty table gives an empty result. The root of a large component is a hot key and is
+looked up by salted keys. The number of rounds grows with the
 logarithm of the longest chain. Every few steps the edges are written to the shared folder, which cuts the lineage.
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from isobar.llm.spread import spread_join
 from isobar.session import materialize
 
 
@@ -26,10 +28,10 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         # Large star: neighbours above a node go to the smallest of its neighbourhood.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = spread_join(both.where("b > a"), least, ["a"], ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # Small star: neighbours below a node, and the node, go to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = spread_join(large, least, ["a"], ["b"])
         small = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         now = materialize(small.distinct(), label)
         after = _checksum(now)

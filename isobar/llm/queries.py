@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isobar.llm import brown, chosen_path, decontaminate, langid, licenses, merkle, mixing, suffix_dedup, topk, trie, urlfilter, warc
+from isobar.llm import brown, chosen_path, decontaminate, langid, licenses, merkle, mixing, setsketch, suffix_dedup, topk, trie, urlfilter, warc
 from isobar.llm.common import lower_ascii, table
 from isobar.session import materialize, shared_dir
 
@@ -99,6 +99,12 @@ def op10_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = setsketch.near_duplicates(documents, F.col("doc_id"), F.col("text"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     turns = trie.turns_in_order(rows, F.col("conv_id"), F.col("turn"), F.col("role"), F.col("text"))
@@ -127,6 +133,7 @@ QUERIES = {
     "op8_licenses": op8_licenses,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_brown_lm": op10_brown_lm,
+    "op11_setsketch": op11_setsketch,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
@@ -192,6 +199,17 @@ def _merkle_sql(levels: int = 6) -> str:
 
 
 ORACLE = {
+    "op11_setsketch": f"""
+        with recursive d as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as w from documents),
+        s as (select distinct doc_id, w[i + 1 : i + 3] as g from (select doc_id, w, unnest(range(0, greatest(len(w) - 2, 1))) as i from d where len(w) > 0)),
+        n as (select doc_id, count(*) as n from s group by 1),
+        c as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+        l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+        r(a, b) as (select doc_id, doc_id from d union select r.a, l.b from r join l on l.a = r.b),
+        m as (select a, min(b) as component_id from r group by 1)
+        select d.doc_id, coalesce(n.n, 0) as n_shingles, component_id, d.doc_id = component_id as kept
+        from d left join n on n.doc_id = d.doc_id join m on m.a = d.doc_id
+    """,
     "op12_prefix_trie": f"""
         with o as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
                           row_number() over (partition by conv_id order by turn nulls first, role, text) as pos,
