@@ -7,12 +7,13 @@ A text is the set of its shingles of three words (fewer words: one shingle of al
    with a probability close to their Jaccard similarity.
 2. Bands of ``ROWS`` registers name buckets. A pair at the threshold misses all bands with a probability of
    (1 - 0.85^8)^32, less than 5 in 100,000.
-3. In every bucket all members of other classes meet one member, the pivot; so work is linear in the bucket. Pairs pass a
-   test of likelihood ratios: sizes are known, and the counts of greater, smaller and equal registers give the joint
-   likelihood of every similarity; only pairs whose best similarity is far more likely than the threshold are put aside.
-   The others are verified on their full sets, and the classes grow together. Buckets with one class are finished.
-4. After ``ROUNDS`` pivots what is left are buckets of several classes. All pairs of different classes in them are compared
-   by registers, in blocks, and those that pass the test are verified; no pair of a bucket is left out, whatever its size.
+3. In every bucket all members of other classes meet one member, the pivot; so work is linear in the bucket. In all rounds
+   but the last a member meets only the pivot with which it shares the most buckets. Pairs pass a test of likelihood
+   ratios: sizes are known, and the counts of greater, smaller and equal registers give the joint likelihood of every
+   similarity; only pairs whose best similarity is far more likely than the threshold are put aside. The others are
+   verified on their full sets, and the classes grow together. Buckets with one class are finished.
+4. After ``ROUNDS`` pivots what is left are buckets of several classes. All pairs of different classes in them are tested
+   and verified in blocks; no pair of a bucket is left out, whatever its size.
 
 Nulls: a null text, or one without words, is linked with nothing. A class without ids has a null ``component_id``, and a
 row with a null id is kept if its class has none. Rows equal in id and text are copies as any others. Extra columns play
@@ -37,7 +38,7 @@ from isobar.session import materialize
 
 WORDS, THRESHOLD = 3, 0.85
 REGISTERS, ROWS, BASE, RATE, BITS = 256, 8, 1.02, 20.0, 16
-ROUNDS, BLOCK = 3, 512
+ROUNDS, BLOCK, BLOCK_BYTES, BROADCAST_KEYS = 3, 512, 16 << 20, 300_000
 #: Log-likelihood that a pair may fall short by; a true pair does with less than 1 in 100,000.
 MARGIN = 10.0
 _U32 = np.uint32
@@ -251,19 +252,23 @@ def likely(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     return meet(pairs, members.select("set_id", F.col("sketch").alias("payload")), pairs.count() * 4.0 * REGISTERS, judge)
 
 
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets, both not empty, have at least so many per cent of their union in common."""
+    place = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    common = int((a[place] == b).sum())
+    return 100 * common >= percent * (len(a) + len(b) - common)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs whose full sets have at least the threshold of Jaccard similarity."""
-    least = round(100 * threshold)
+    percent = round(100 * threshold)
 
     def judge(batch, raw, at, head, carried):
         out, now, top = np.zeros(len(at), bool), None, None
         for k, (row, t) in enumerate(zip(at.tolist(), head.tolist())):
             if now is None or t != top:
                 now, top = np.frombuffer(carried if t < 0 else raw[t].as_py(), U64), t
-            other = np.frombuffer(raw[row].as_py(), U64)
-            place = np.minimum(np.searchsorted(now, other), len(now) - 1)
-            common = int((now[place] == other).sum())
-            out[k] = 100 * common >= least * (len(now) + len(other) - common)
+            out[k] = linked(now, np.frombuffer(raw[row].as_py(), U64), percent)
         return out
 
     volume = pairs.agg(F.coalesce(F.sum(F.col("size_a") + F.col("size_b")), F.lit(0))).first()[0] * 8.0
@@ -274,25 +279,45 @@ def fitting(threshold: float) -> Column:
     return F.least("size_a", "size_b") >= F.lit(threshold) * F.greatest("size_a", "size_b") - 1e-9
 
 
-def pivot_pairs(rows: DataFrame, turn: int, threshold: float) -> DataFrame:
-    """Every member of an open bucket with the pivot of the bucket, where their classes differ."""
+def pivot_pairs(rows: DataFrame, turn: int, threshold: float, every: bool) -> DataFrame:
+    """Members of open buckets with the pivots of their buckets, where their classes differ.
+
+    ``every`` gives all pivots of a member; otherwise a member meets one pivot, with which it shares the most buckets.
+    """
     me = F.struct("set_id", "size", "class_id")
     pivots = rows.groupBy("bucket").agg(F.min_by(me, F.struct(F.xxhash64("set_id", F.lit(turn)), F.col("set_id"))).alias("p"))
     met = spread_join(rows, pivots, ["bucket"], ["set_id"]).where("class_id <> p.class_id")
     pairs = met.select(F.col("p.set_id").alias("a"), F.col("set_id").alias("b"), F.col("p.size").alias("size_a"), F.col("size").alias("size_b"))
-    return pairs.where(fitting(threshold)).distinct()
+    pairs = pairs.where(fitting(threshold))
+    if every:
+        return pairs.distinct()
+    shared = pairs.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("n"))
+    return shared.groupBy("b").agg(F.max_by(F.struct("a", "size_a", "size_b"), F.struct("n", "a")).alias("p")).select("p.a", "b", "p.size_a", "p.size_b")
 
 
-def remaining_pairs(rows: DataFrame, members: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """All pairs of different classes in the open buckets that pass the test, each class pair in blocks.
+def remaining_links(rows: DataFrame, members: DataFrame, sets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that connect the classes of open buckets as all their links would.
 
-    The largest class of a bucket does not meet itself: its blocks are met by the blocks of all others.
+    Members that open buckets connect meet in blocks, once, whatever the number of buckets they share; blocks are bounded in
+    members and in bytes. The largest class does not meet itself: its blocks are met by the blocks of all others. A task
+    tests the registers of pairs of different classes that share a band, verifies the likely ones on their sets, and gives
+    a spanning forest of the links.
     """
-    classes = rows.groupBy("bucket", "class_id").agg(F.count(F.lit(1)).alias("n"))
-    main = classes.groupBy("bucket").agg(F.max_by("class_id", F.struct("n", "class_id")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n_all"))
-    placed = spread_join(rows, main, ["bucket"], ["set_id"])
-    mains = F.ceil(F.col("n_main") / block).cast("int")
-    others = F.ceil((F.col("n_all") - F.col("n_main")) / block).cast("int")
+    spark = rows.sparkSession
+    least = rows.groupBy("bucket").agg(F.min("set_id").alias("a"))
+    edges = spread_join(rows, least, ["bucket"], ["set_id"]).select("a", F.col("set_id").alias("b"))
+    parts = materialize(components(edges, "sketch-parts"), "sketch-parts").select(F.col("node").alias("set_id"), F.col("root").alias("part"))
+    nodes = materialize(rows.select("set_id", "size", "class_id").distinct().join(parts, "set_id"), "sketch-nodes")
+    classes = nodes.groupBy("part", "class_id").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"))
+    top = F.max(F.struct("n", "weight", "class_id")).alias("top")
+    main = classes.groupBy("part").agg(top, F.sum("n").alias("n_all"), F.sum("weight").alias("all")).select("part", "top.*", "n_all", "all")
+    main = main.select("part", F.col("class_id").alias("main"), "n", "weight", "n_all", "all")
+
+    def blocks(n: Column, weight: Column) -> Column:
+        return F.greatest(F.ceil(n / block), F.ceil(weight * 8 / BLOCK_BYTES)).cast("int")
+
+    placed = spread_join(nodes, main, ["part"], ["set_id"]).where("n < n_all")
+    mains, others = blocks(F.col("n"), F.col("weight")), blocks(F.col("n_all") - F.col("n"), F.col("all") - F.col("weight"))
     is_main = F.col("class_id") == F.col("main")
     own = F.pmod(F.xxhash64("set_id"), F.when(is_main, mains).otherwise(others)).cast("int")
     # Cells (i, j): block i of the others with block j of the others (j >= i) or with block j of the main class.
@@ -306,29 +331,40 @@ def remaining_pairs(rows: DataFrame, members: DataFrame, threshold: float, block
             )
         ),
     )
-    cells = dealt.select("bucket", "set_id", "size", "class_id", F.explode("cells").alias("c")).select(
-        F.xxhash64("bucket", "c.i", "c.j").alias("cell"), "set_id", "size", "class_id"
+    cells = dealt.select("part", "set_id", "size", "class_id", F.explode("cells").alias("c")).select(
+        F.xxhash64("part", "c.i", "c.j").alias("cell"), "set_id", "size", "class_id"
     )
-    with_sketch = cells.join(members.select("set_id", "sketch"), "set_id")
+    cells = materialize(cells, "sketch-cells")
+    payload = cells.join(members.select("set_id", "sketch"), "set_id").join(sets.select("set_id", "shingles"), "set_id")
+    volume = cells.agg(F.coalesce(F.sum(F.col("size") * 8 + 600), F.lit(0))).first()[0]
+    floor = REGISTERS * threshold - 6 * math.sqrt(REGISTERS * threshold * (1 - threshold))
+    percent = round(100 * threshold)
 
     def compare(rows: pa.Table) -> pa.Table:
         ids, size, classes = (rows.column(c).to_numpy() for c in ("set_id", "size", "class_id"))
         data, _ = buffers(rows.column("sketch"))
         registers = np.ascontiguousarray(data).view(np.uint16).reshape(len(ids), REGISTERS)
-        found: list[list[np.ndarray]] = [[], []]
-        floor = REGISTERS * threshold - 6 * math.sqrt(REGISTERS * threshold * (1 - threshold))
+        keys = registers.view(np.dtype((np.void, ROWS * 2))).reshape(len(ids), REGISTERS // ROWS)
+        data, offsets = buffers(rows.column("shingles"))
+        values, at = np.ascontiguousarray(data).view(U64), offsets // 8
+        group = np.unique(classes, return_inverse=True)[1]  # classes as this cell knows them
+        found: list[list[int]] = [[], []]
         for i in range(len(ids)):
-            later = np.flatnonzero(classes[i + 1 :] != classes[i]) + i + 1
+            later = np.flatnonzero(group[i + 1 :] != group[i]) + i + 1
             later = later[np.minimum(size[later], size[i]) >= threshold * np.maximum(size[later], size[i]) - 1e-9]
             later = later[(registers[later] == registers[i]).sum(axis=1) >= floor]
+            later = later[(keys[later] == keys[i]).any(axis=1)]
             later = later[may_link(np.broadcast_to(registers[i], (len(later), REGISTERS)), registers[later], np.full(len(later), size[i]), size[later], threshold)]
-            found[0].append(np.full(len(later), i))
-            found[1].append(later)
-        a, b = (np.concatenate(f) if f else np.zeros(0, int) for f in found)
-        a, b = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
-        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64()), "size_a": pa.array(size[a], pa.int64()), "size_b": pa.array(size[b], pa.int64())})
+            mine = values[at[i] : at[i + 1]]
+            for j in later.tolist():
+                if group[i] != group[j] and linked(mine, values[at[j] : at[j + 1]], percent):
+                    group[group == group[j]] = group[i]
+                    found[0].append(i), found[1].append(j)
+        release()
+        return pa.table({"a": pa.array(ids[found[0]], pa.int64()), "b": pa.array(ids[found[1]], pa.int64())})
 
-    return with_sketch.groupBy("cell").applyInArrow(compare, PAIR).distinct()
+    by_cell = payload.select("cell", "set_id", "size", "class_id", "sketch", "shingles").repartition(partitions_for(spark, volume, 32e6), "cell")
+    return by_cell.groupBy("cell").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: Column, text: Column, threshold: float = THRESHOLD, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
@@ -345,10 +381,12 @@ def near_duplicates(docs: DataFrame, doc_id: Column, text: Column, threshold: fl
     banded = materialize(bands(members), "sketch-bands")
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = materialize(spread_join(banded, shared, ["bucket"], ["set_id"]), "sketch-buckets")
-    texts = materialize(
+    firsts = materialize(
         buckets.select("set_id").distinct().join(members, "set_id").select("set_id", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("first_key")),
         "sketch-texts",
     )
+    # Few documents have partners: up to so many keys, a bound of 8 MB, go to the texts instead of the texts to them.
+    texts = F.broadcast(firsts) if firsts.count() <= BROADCAST_KEYS else firsts
     same = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_key") == F.col("first_key"))
     sets = materialize(rows.join(texts, same).select("set_id", set_of(F.coalesce("text", F.lit(""))).alias("shingles")), "sketch-sets").dropDuplicates(["set_id"])
 
@@ -359,17 +397,17 @@ def near_duplicates(docs: DataFrame, doc_id: Column, text: Column, threshold: fl
         if classes is not None:
             now = spread_join(buckets, classes.select(F.col("node").alias("set_id"), "root"), ["set_id"], ["bucket"], "left")
             now = now.withColumn("class_id", F.coalesce("root", "set_id")).drop("root")
-            # One class: nothing to link. Two members have met as pivot and partner.
+            # One class: nothing to link. Two members have met as pivot and partner, where all pivots were met.
             several = now.groupBy("bucket").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo <> hi").select("bucket")
-            now = materialize(spread_join(now.where("n > 2"), several, ["bucket"], ["set_id"]), "sketch-open")
+            now = materialize(spread_join(now.where(F.col("n") > (2 if turn == rounds else 1)), several, ["bucket"], ["set_id"]), "sketch-open")
             if now.isEmpty():
                 break
         if turn < rounds:
-            pairs = likely(materialize(pivot_pairs(now, turn, threshold), "sketch-pairs"), members, threshold)
+            pairs = materialize(pivot_pairs(now, turn, threshold, turn == rounds - 1), "sketch-pairs")
+            new = verified(materialize(likely(pairs, members, threshold), "sketch-likely"), sets, threshold).select("a", "b")
         else:
-            pairs = remaining_pairs(now, members, threshold, block)
-        pairs = materialize(pairs, "sketch-likely")
-        new = materialize(verified(pairs, sets, threshold).select("a", "b"), "sketch-links")
+            new = remaining_links(now, members, sets, threshold, block)
+        new = materialize(new, "sketch-links")
         links = new if links is None else links.unionByName(new)
         classes = materialize(components(links, "sketch-classes"), "sketch-roots")
     least = members.select("set_id", "least_id").join(classes.select(F.col("node").alias("set_id"), "root"), "set_id", "left")
