@@ -160,6 +160,43 @@ DERIVED = {
 FEATURES = f"{POOL}, {EDGES}, {graph_ctes()}"
 
 
+def growth(leaves: int, min_child: int, bins: int) -> str:
+    """Best-first growth of the balanced classifier's first tree on the rank columns, written out split by split."""
+    columns = {"pool_rank": "pr", "source_min_rank": "mn", "source_rank_gap": "gap", "source_event_rank": "fe", "source_context_rank": "fx", "source_metadata_rank": "fm"}
+    long = " union all ".join(f"select q, a, {i} f, coalesce({c}, 0)::double v from y" for i, c in enumerate(columns.values()))
+    source = "case f " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(columns)) + " end"
+    parts = [f"""{POOL}, c as (select count(*) filter (rel) yes, count(*) filter (not rel) no from pool),
+      y as (select q, a, pr, mn, fe, fx, fm, gap,
+        case when rel then (yes + no) / (2.0::double * yes) else (yes + no) / (2.0::double * no) end w, rel::bigint r from pool, c),
+      u as materialized (select q, a, round(w * (r - 0.5::double) * 16777216)::bigint g, round(w * 0.25::double * 16777216)::bigint h from y),
+      l as materialized ({long}),
+      o as (select f, v, row_number() over (partition by f order by v) k, count(*) over (partition by f) n from l),
+      e as materialized (select distinct f, v from o where k in (select ceil(i * n / {bins}) from range(1, {bins}) t(i))),
+      d as (select f, v from l group by f, v),
+      b as materialized (select d.f, d.v, count(e.v) bin from d left join e on e.f = d.f and e.v < d.v group by d.f, d.v),
+      x as materialized (select l.q, l.a, l.f, b.bin, u.g, u.h from l join b on b.f = l.f and b.v = l.v join u on u.q = l.q and u.a = l.a),
+      n0 as materialized (select q, a, '' node from u)"""]
+    one = "16777216.0::double"
+
+    def score(g: str, h: str) -> str:
+        return f"(({g}) / {one}) * (({g}) / {one}) / (({h}) / {one})"
+
+    for s in range(leaves - 1):
+        parts.append(f"""t{s} as (select n.node, f, bin, sum(g)::bigint g, sum(h)::bigint h, count(*) n from x join n{s} n on n.q = x.q and n.a = x.a group by n.node, f, bin),
+      a{s} as (select node, f, bin, sum(g) over w gl, sum(h) over w hl, sum(n) over w nl, sum(g) over p g, sum(h) over p h, sum(n) over p n from t{s}
+        window w as (partition by node, f order by bin), p as (partition by node, f)),
+      s{s} as materialized (select node, f, bin, {score('gl', 'hl')} + {score('g - gl', 'h - hl')} - {score('g', 'h')} gain from a{s}
+        where nl >= {min_child} and n - nl >= {min_child} and hl >= 0.001 * {one} and h - hl >= 0.001 * {one}
+        order by gain desc, f, bin limit 1),
+      n{s + 1} as materialized (select n.q, n.a, case when n.node <> s.node then n.node when x.bin <= s.bin then n.node || 'L' else n.node || 'R' end node
+        from n{s} n cross join s{s} s join x on x.q = n.q and x.a = n.a and x.f = s.f)""")
+    splits = " union all ".join(f"select node, f, bin, gain from s{s}" for s in range(leaves - 1))
+    return f"""with {', '.join(parts)}, splits as ({splits}),
+      ends as (select *, row_number() over (partition by f order by v) - 1 bin from e)
+      select node, {source} feature, v threshold, round(gain, 3) gain, null::double as value from splits join ends using (f, bin)
+      union all select node, null, null, null, round(sum(g)::double / sum(h)::double, 5) from u join n{leaves - 1} using (q, a) group by node"""
+
+
 def feature(name: str) -> str:
     return DERIVED.get(name, f"cast({name} as double)")
 
@@ -471,6 +508,11 @@ def oracle_queries() -> dict[str, str]:
           z as (select q, sum(abs(step)) total from t group by q)
           select p.q query_id, p.a candidate_id, {signless('coalesce(t.step * log2(1 + total) / total, 0)', 5)} step,
           {signless('coalesce(t.curve * log2(1 + total) / total, 0)', 5)} curve from p left join t on t.q = p.q and t.a = p.a left join z on z.q = p.q"""
+    out["classifier_first_step"] = f"""with {POOL}, c as (select count(*) filter (rel) yes, count(*) filter (not rel) no from pool),
+      w as (select split, rel::bigint label, case when rel then (yes + no) / (2.0::double * yes) else (yes + no) / (2.0::double * no) end weight from pool, c)
+      select split, label, round(max(weight), 6) weight, {signless('sum(weight * (label - 0.5::double))', 4)} step,
+      round(sum(weight * 0.25::double), 4) curve, count(*) n from w group by split, label"""
+    out["leafwise_first_tree"] = growth(16, 40, 511)
     out["label_graph_edges"] = f"with {POOL}, {EDGES} select tq train_query, c candidate_id, round(max(w), 6) weight, round(sum(w), 6) seed_weight from edges group by tq, c"
     out["label_graph_counts"] = f"""with {POOL}, {EDGES} select count(distinct c) train_positive_seed_count, count(distinct tq) train_positive_query_count from edges"""
     out["label_graph_scores"] = f"""with {FEATURES} select q query_id, a candidate_id,

@@ -12,6 +12,7 @@ from isobar.catalog import tables as t
 from isobar.functions import scalars as s
 from isobar.functions.vectors import block, l2_norm, squared_l2
 from isobar.operators import (
+    boosting,
     anchor,
     blend,
     bootstrap,
@@ -946,6 +947,39 @@ def lambdarank_gradients_graded(spark, sf):
     return _gradients(spark, sf, 1, "graded")
 
 
+RANKS = ("pool_rank", "source_min_rank", "source_rank_gap", "source_event_rank", "source_context_rank", "source_metadata_rank")
+
+
+@query
+def classifier_first_step(spark, sf):
+    """Class weights of the balanced classifier, and its first residuals, summed per split and class."""
+    rows = t.pool(spark, sf)
+    labelled = rows.select("split", features.labels(rows, "binary").alias("label"))
+    weights = boosting.class_weights(labelled)
+    weight = F.when(F.col("label") > 0, weights[1]).otherwise(weights[0])
+    first = labelled.select("split", "label", weight.alias("weight"), (weight * (F.col("label") - 0.5)).alias("step"), (weight * 0.25).alias("curve"))
+    return first.groupBy("split", "label").agg(
+        r6(F.max("weight")).alias("weight"), r6(F.sum("step"), 4).alias("step"), r6(F.sum("curve"), 4).alias("curve"), big(F.count(F.lit(1))).alias("n")
+    ).withColumn("label", big("label"))
+
+
+@query
+def leafwise_first_tree(spark, sf):
+    """The first tree of the balanced classifier over all pools: splits with their gains, leaves with their values."""
+    rows = t.pool(spark, sf)
+    ranks = F.array(*[F.coalesce(F.col(c), F.lit(0)).cast("double") for c in RANKS])
+    train = rows.select("query_id", "candidate_id", ranks.alias("features"), features.labels(rows, "binary").alias("label"))
+    spec = ranker.MODEL_SPECS[2]
+    edges = boosting.feature_edges(train, RANKS)
+    state = boosting.advance(boosting.pack(train, edges), len(RANKS), boosting.objective_of(spec, train), None, 0.0)
+    tree = boosting.grow(materialize(state, "boost-state"), len(RANKS), range(len(RANKS)), edges, 16, spec.min_child)
+    nodes = [
+        (path, RANKS[f] if f >= 0 else None, float(x) if f >= 0 else None, round(float(g), 3) if f >= 0 else None, round(float(v), 5) if f < 0 else None)
+        for path, f, x, g, v in zip(tree.paths(), tree.feature, tree.threshold, tree.gain, tree.value)
+    ]
+    return spark.createDataFrame(nodes, "node string, feature string, threshold double, gain double, value double")
+
+
 def _retrieval(spark, sf):
     return t.once(spark, sf, "retrieval", lambda: _run_retrieval(spark, sf))
 

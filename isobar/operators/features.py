@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isobar.functions.scalars import number, reciprocal_rank, safe_reciprocal
-from isobar.operators.ordering import ordinal
+from isobar.operators.quantiles import long_values, medians
 
 DEVIATION_FLOOR = 1e-9
 
@@ -90,13 +90,9 @@ def labels(df: DataFrame, mode: str = "binary", *, positive: str = "is_gt_top20"
 def train_medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Exact median per column over the training rows, 0 where a column is empty.
 
-    Values are numbered per column by ranges, so no task merges or sorts a whole column.
+    Histograms are refined until a bin has one value, so no column is sorted and a value that fills one is one count.
     """
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), number(c).cast("double").alias("value")) for c in columns])
-    long = train.select(F.explode(pairs).alias("p")).select("p.*").filter("value IS NOT NULL")
-    placed = ordinal(long, ["feature"], ["value"], name="place", total="n")
-    middle = placed.filter(F.col("place").isin(F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)))
-    found = {r["feature"]: r["m"] for r in middle.groupBy("feature").agg(F.avg("value").alias("m")).collect()}
+    found = {r["feature"]: r["median"] for r in medians(long_values(train, {c: number(c) for c in columns})).collect()}
     return {c: float(found.get(c, 0.0)) for c in columns}
 
 

@@ -1,31 +1,13 @@
-"""Learned rankers on MLlib trees: LambdaRank boosting and the balanced binary classifier.
-
-MLlib has no LambdaRank objective and grows trees by level, so a leaf budget becomes a depth. The
-objective is rebuilt here: gradients are computed per query (a pool of bounded size), and a
-weighted regression tree on ``gradient / hessian`` has Newton steps as its leaf means.
-"""
+"""The searched rankers and the LambdaRank objective; ``boosting`` grows their trees."""
 
 from __future__ import annotations
 
-import hashlib
 import math
-import random
-import re
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorSlicer
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from isobar.session import materialize
 
 
 @dataclass(frozen=True)
@@ -41,10 +23,6 @@ class RankerSpec:
     label_gain: tuple[float, ...] | None = None
     truncation: int = 30
 
-    @property
-    def depth(self) -> int:
-        return max(1, math.ceil(math.log2(self.leaves + 1)))
-
 
 # The three searched models.
 MODEL_SPECS = (
@@ -106,179 +84,3 @@ def gradient_table(pool: DataFrame, spec: RankerSpec) -> DataFrame:
     return pool.select("query_id", "candidate_id", "label", "score").groupBy("query_id").applyInPandas(
         gradients, "query_id string, candidate_id string, step double, curve double"
     )
-
-
-@dataclass
-class FlatTree:
-    """Nodes of a regression tree; a leaf has feature -1."""
-
-    feature: np.ndarray
-    threshold: np.ndarray
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-
-    def predict(self, matrix: np.ndarray) -> np.ndarray:
-        at, rows = np.zeros(len(matrix), dtype=np.int64), np.arange(len(matrix))
-        while True:
-            feature = self.feature[at]
-            inner = feature >= 0
-            if not inner.any():
-                return self.value[at]
-            below = matrix[rows, np.maximum(feature, 0)] <= self.threshold[at]
-            at = np.where(inner, np.where(below, self.left[at], self.right[at]), at)
-
-
-def flat_tree(text: str, columns: Sequence[int]) -> FlatTree:
-    """Nodes from the readable form of a tree, with features numbered as in the full list."""
-    lines = [line.strip() for line in text.splitlines() if line.strip()]
-    nodes: list[list] = []
-
-    def node(i: int) -> tuple[int, int]:
-        """Number of the node that starts at line i, and the first line after it."""
-        mine = len(nodes)
-        nodes.append([-1, 0.0, 0, 0, 0.0])
-        if lines[i].startswith("Predict:"):
-            nodes[mine][4] = float(lines[i].split(":")[1])
-            return mine, i + 1
-        found = re.fullmatch(r"If \(feature (\d+) <= (\S+)\)", lines[i])
-        nodes[mine][0], nodes[mine][1] = columns[int(found[1])], float(found[2])
-        nodes[mine][2], i = node(i + 1)
-        nodes[mine][3], i = node(i + 1)  # after the line of the other branch
-        return mine, i
-
-    node(0)
-    feature, threshold, left, right, value = zip(*nodes)
-    return FlatTree(np.array(feature), np.array(threshold), np.array(left), np.array(right), np.array(value))
-
-
-@dataclass
-class TreeRanker:
-    """Fitted scorer: boosted regression trees or a boosted classifier."""
-
-    spec: RankerSpec
-    feature_names: tuple[str, ...]
-    trees: list = field(default_factory=list)
-    slices: list = field(default_factory=list)
-    classifier: object | None = None
-
-    def score(self, df: DataFrame, features: str = "features", name: str = "model_score") -> DataFrame:
-        """Add the model score; ``features`` is the ordered float array."""
-        if self.classifier is not None:
-            ready = df.withColumn("_x", array_to_vector(F.col(features).cast("array<double>")))
-            scored = self.classifier.transform(ready)
-            return scored.withColumn(name, vector_to_array("probability")[1]).drop(
-                "_x", "rawPrediction", "probability", "prediction"
-            )
-        # All trees in one pass over flat node arrays, so the plan has one function whatever their number.
-        forest = [flat_tree(text, columns) for text, columns in zip(self.texts(), self.slices, strict=True)]
-        rate = self.spec.learning_rate
-
-        @F.arrow_udf(T.DoubleType())
-        def predict(rows: pa.Array) -> pa.Array:
-            matrix = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-            total = np.zeros(len(rows))
-            for tree in forest:
-                total += rate * tree.predict(matrix)
-            return pa.array(total)
-
-        return df.withColumn(name, predict(F.col(features).cast("array<double>")))
-
-    def texts(self) -> list[str]:
-        """Readable trees without the run-specific first line."""
-        models = self.classifier.trees if self.classifier is not None else self.trees
-        return [m.toDebugString.split("\n", 1)[1] for m in models]
-
-    def sha256(self) -> str:
-        parts = [",".join(self.feature_names), *(str(s) for s in self.slices), *self.texts()]
-        return hashlib.sha256("\n".join(parts).encode()).hexdigest()
-
-    @property
-    def input_dimension(self) -> int:
-        return len(self.feature_names)
-
-    def importance(self, feature: str) -> tuple[int, float]:
-        """Number of splits on a feature and its summed importance."""
-        position = self.feature_names.index(feature)
-        models = self.classifier.trees if self.classifier is not None else self.trees
-        splits, gain = 0, 0.0
-        for i, model in enumerate(models):
-            columns = self.slices[i] if self.slices else range(len(self.feature_names))
-            if position not in columns:
-                continue
-            local = list(columns).index(position)
-            splits += model.toDebugString.count(f"If (feature {local} ")
-            gain += float(model.featureImportances[local])
-        return splits, gain
-
-
-def _sliced(df: DataFrame, columns: Sequence[int]) -> DataFrame:
-    return VectorSlicer(inputCol="_x", outputCol="_part", indices=list(columns)).transform(df)
-
-
-def fit_ranker(
-    train: DataFrame,
-    feature_names: Sequence[str],
-    spec: RankerSpec,
-    *,
-    features: str = "features",
-    label: str = "label",
-    trees: int | None = None,
-    save_every: int = 5,
-) -> TreeRanker:
-    """Fit one of the searched models on rows with ``query_id``, ``candidate_id``, features and label."""
-    rounds = spec.trees if trees is None else trees
-    names = tuple(feature_names)
-    rows = train.select(
-        "query_id",
-        "candidate_id",
-        F.col(label).cast("int").alias("label"),
-        array_to_vector(F.col(features).cast("array<double>")).alias("_x"),
-    )
-    if spec.label_mode == "binary_classifier":
-        return _fit_classifier(rows, names, spec, rounds)
-    model = TreeRanker(spec, names)
-    state = materialize(rows.withColumn("score", F.lit(0.0)), "ranker")
-    pick = random.Random(spec.seed)
-    for done in range(rounds):
-        pushed = gradient_table(state, spec)
-        target = (
-            state.join(pushed, ["query_id", "candidate_id"])
-            .filter("curve > 1e-12")
-            .withColumn("target", F.col("step") / F.col("curve"))
-        )
-        width = max(1, round(spec.feature_fraction * len(names)))
-        columns = sorted(pick.sample(range(len(names)), width))
-        target = materialize(_sliced(target.select("_x", "target", "curve"), columns).drop("_x"), "ranker")
-        if target.isEmpty():
-            break
-        tree = DecisionTreeRegressor(
-            featuresCol="_part", labelCol="target", weightCol="curve", predictionCol="_t",
-            maxDepth=spec.depth, minInstancesPerNode=spec.min_child, seed=spec.seed + done,
-        ).fit(target)
-        model.trees.append(tree)
-        model.slices.append(columns)
-        state = (
-            tree.transform(_sliced(state, columns))
-            .withColumn("score", F.col("score") + F.lit(spec.learning_rate) * F.col("_t"))
-            .drop("_part", "_t")
-        )
-        if (done + 1) % save_every == 0:
-            state = materialize(state, "ranker")
-    return model
-
-
-def _fit_classifier(rows: DataFrame, names: tuple[str, ...], spec: RankerSpec, rounds: int) -> TreeRanker:
-    binary = rows.withColumn("label", (F.col("label") > 0).cast("double"))
-    counts = {r["label"]: r["count"] for r in binary.groupBy("label").count().collect()}  # two classes
-    total = sum(counts.values())
-    weight = F.lit(1.0)
-    for value, count in counts.items():
-        weight = F.when(F.col("label") == value, F.lit(total / (len(counts) * count))).otherwise(weight)
-    ready = materialize(binary.withColumn("weight", weight), "ranker")
-    fitted = GBTClassifier(
-        featuresCol="_x", labelCol="label", weightCol="weight", maxIter=rounds, stepSize=spec.learning_rate,
-        maxDepth=spec.depth, minInstancesPerNode=spec.min_child,
-        featureSubsetStrategy=str(spec.feature_fraction), seed=spec.seed,
-    ).fit(ready)
-    return TreeRanker(spec, names, classifier=fitted)

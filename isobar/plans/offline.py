@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from isobar.operators.boosting import fit_ranker
 from isobar.operators.anchor import anchor_merge
 from isobar.operators.blend import ANCHOR_KEEPS, Blend, blend_score, profile_grid, rank_proposals, score_terms
 from isobar.operators.features import (
@@ -33,7 +34,7 @@ from isobar.operators.metrics import (
     relevance_pairs,
 )
 from isobar.operators.physical import event_track_points, mean_errors, pair_errors, top_one
-from isobar.operators.ranker import MODEL_SPECS, RankerSpec, fit_ranker
+from isobar.operators.ranker import MODEL_SPECS, RankerSpec
 from isobar.plans.contract import (
     FEATURE_NAMES,
     build_manifest,
