@@ -2,7 +2,7 @@
 
 A round counts rows per bin; the bin that holds a wanted rank becomes the interval of the next round, as narrow as its own
 least and greatest value, and only rows inside such bins go on. Bins are even on the values in one round and on their
-inverse hyperbolic sine in the next, so neither far outliers nor wide ranges of magnitude need many rounds. A bin of one
+logarithms, with the sign, in the next, so neither far outliers nor wide ranges of magnitude need many rounds. A bin of one
 value is done: equal values, however many, are one count, and nothing is sorted.
 """
 
@@ -22,7 +22,9 @@ def _bin(value: Column, lo: Column, hi: Column, bins: int, bent: bool) -> Column
 
     def scaled(x: Column) -> Column:
         x = F.greatest(F.least(x, F.lit(_LARGEST)), F.lit(-_LARGEST))
-        return F.asinh(x / 4) if bent else x / 4
+        if not bent:
+            return x / 4
+        return F.when(x == 0, F.lit(0.0)).otherwise(F.signum(x) * (F.log2(F.abs(x)) + 1075))  # 2^-1074 is the least number
 
     width = scaled(hi) - scaled(lo)
     inside = F.least(F.floor((scaled(value) - scaled(lo)) / F.when(width > 0, width) * bins), F.lit(bins - 1))

@@ -130,7 +130,7 @@ def test_medians_and_edges(spark):
 
 
 def test_a_common_value_is_one_count(spark):
-    """99 in 100 rows have one value: after the first round none of them is read again."""
+    """99 in 100 rows have one value: once a round has told it from its neighbours, none of them is read again."""
     seen = []
     rows = spark.range(20_000).select(F.lit("x").alias("feature"), F.when(F.col("id") % 100 == 0, F.col("id")).otherwise(F.lit(5)).cast("double").alias("value"))
     original = quantiles.materialize
@@ -147,4 +147,4 @@ def test_a_common_value_is_one_count(spark):
         got = {r["rank"]: r["value"] for r in quantiles.order_statistics(rows, wanted).collect()}
     finally:
         quantiles.materialize = original
-    assert got == {10_000: 5.0, 19_990: 18_900.0} and all(n < 100 for n in seen)
+    assert got == {10_000: 5.0, 19_990: 18_900.0} and len(seen) <= 3 and all(n < 100 for n in seen[1:])
