@@ -38,7 +38,7 @@ from isobar.session import materialize
 
 WORDS, THRESHOLD = 3, 0.85
 REGISTERS, ROWS, BASE, RATE, BITS = 256, 8, 1.02, 20.0, 16
-ROUNDS, BLOCK, BLOCK_BYTES, BROADCAST_KEYS = 3, 512, 16 << 20, 300_000
+ROUNDS, BLOCK, BLOCK_BYTES, BROADCAST_KEYS = 2, 512, 16 << 20, 300_000
 #: Log-likelihood that a pair may fall short by; a true pair does with less than 1 in 100,000.
 MARGIN = 10.0
 _U32 = np.uint32
