@@ -105,20 +105,18 @@ def list_metrics(
     )
 
 
-def array_metrics(ids: Column, relevant: Column) -> dict[str, Column]:
-    """The same metrics for a ranked array of at most 20 ids and the array of relevant ids."""
-    count = F.size(relevant)
-    first = F.slice(ids, 1, 10)
+def hit_metrics(hits: Column, count: Column) -> dict[str, Column]:
+    """The same metrics for a ranked array of hit flags of distinct ids and the number of relevant ids."""
     places = F.filter(
-        F.transform(first, lambda x, i: F.when(F.array_contains(relevant, x), i + 1)), lambda p: p.isNotNull()
+        F.transform(F.slice(hits, 1, 10), lambda hit, i: F.when(hit, i + 1)), lambda p: p.isNotNull()
     )
 
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0.0), lambda t, x: t + x)
 
     return {
-        "recall_at_10": F.size(F.array_intersect(first, relevant)) / count,
-        "recall_at_20": F.size(F.array_intersect(F.slice(ids, 1, 20), relevant)) / count,
+        "recall_at_10": F.size(places) / count,
+        "recall_at_20": F.size(F.filter(F.slice(hits, 1, 20), lambda hit: hit)) / count,
         "ndcg_at_10": total(F.transform(places, lambda p: F.lit(1.0) / F.log2(p + 1.0))) / ideal_dcg(count, 10),
         "map_at_10": total(F.transform(places, lambda p, i: (i + 1) / p)) / F.least(F.lit(10), count),
     }

@@ -26,8 +26,8 @@ from isobar.operators.graph import add_graph_features, label_graph_edges
 from isobar.operators.metrics import (
     METRICS,
     RETAINED_BASELINE,
-    array_metrics,
     composite,
+    hit_metrics,
     macro_metrics,
     promotion_gates,
     query_metrics,
@@ -58,15 +58,12 @@ GRID = (
 )
 
 
-#: Rows of a query's pool, and relevant ids, that a profile is ranked among in one row.
-POOL_ROWS = 2_000
-
-
-def check_width(rows: DataFrame, what: str, limit: int) -> None:
-    """Fail before a query with more rows than ``limit`` is gathered."""
-    widest = rows.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
-    if widest > limit:
-        raise ValueError(f"a query has {widest} {what}; at most {limit} are ranked together")
+#: Pool rows that are ranked inside one row; a wider pool is several such rows, whose best are merged.
+CHUNK_ROWS = 1_000
+#: Partial rankings of a profile that one merge takes.
+FAN_IN = 50
+#: Places of a ranking.
+DEPTH = 20
 
 
 def ledger(
@@ -77,36 +74,50 @@ def ledger(
     models: Mapping[str, str],
     blends: Sequence[Blend] | None = None,
     keeps: Sequence[int] = ANCHOR_KEEPS,
-    pool_rows: int = POOL_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Validation metrics of every model, blend and anchor count, as one plan.
 
-    ``scored`` carries one score column per model (``models`` maps name to column). A query becomes one row
-    with its pool, its first anchors and its relevant ids, each checked to have at most ``pool_rows``; profiles are
-    then expanded and ranked inside that row, so the grid adds no shuffle and no sort of the table.
+    ``scored`` carries one score column per model (``models`` maps name to column). A pool becomes one row for each
+    ``chunk_rows`` of its rows; profiles are expanded and ranked inside such a row, and what travels on is the best 20 of
+    each profile. These partial rankings merge in steps of ``FAN_IN``, as many as the widest pool needs (none for pools
+    of one chunk), so a pool of any width is ranked exactly. Relevance is a flag on pool rows and anchors, and a count
+    per query, so the relevant ids of a query are never gathered either.
     """
     blends = list(blends if blends is not None else profile_grid())
     names = list(models)
-    check_width(scored, "pool rows", pool_rows)
-    check_width(relevant, "relevant ids", pool_rows)
-    terms = score_terms(scored, models[names[0]]).drop("z_model")
+    widest = scored.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0
+    parts = -(-widest // chunk_rows)
+    pairs = relevant.where("candidate_id IS NOT NULL").select("query_id", "candidate_id").distinct()
+    hits = pairs.withColumn("hit", F.lit(True))
+    flagged = scored.join(hits, ["query_id", "candidate_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    terms = score_terms(flagged, models[names[0]]).drop("z_model")
     terms = terms.withColumns({f"z_model_{i}": query_z(F.coalesce(F.col(models[n]).cast("double"), F.lit(0.0))) for i, n in enumerate(names)})
-    pools = terms.groupBy("query_id").agg(
+    width = F.count(F.lit(1)).over(Window.partitionBy("query_id"))
+    terms = terms.withColumn("chunk", F.pmod(F.xxhash64("candidate_id"), F.ceil(width / F.lit(chunk_rows))))
+    if parts > 1:
+        terms = terms.select(
+            "query_id", "chunk", "candidate_id", "hit", "z_base", "z_graph", "z_calibrated", "z_source",
+            *[f"z_model_{i}" for i in range(len(names))],
+        ).repartition("query_id", "chunk")
+    pools = terms.groupBy("query_id", "chunk").agg(
         F.collect_list(
             F.struct(
-                "candidate_id", "z_base", "z_graph", "z_calibrated", "z_source",
+                "candidate_id", "hit", "z_base", "z_graph", "z_calibrated", "z_source",
                 F.array(*[F.col(f"z_model_{i}") for i in range(len(names))]).alias("z_models"),
             )
         ).alias("pool")
     )
     heads = (
-        anchors.select("query_id", F.col("candidate_id").cast("string").alias("id"), F.col("rank").cast("int").alias("rank"))
-        .withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "id")))
+        anchors.select("query_id", F.col("candidate_id").cast("string").alias("candidate_id"), F.col("rank").cast("int").alias("rank"))
+        .withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "candidate_id")))
         .filter(F.col("place") <= max(keeps))
+        .join(hits, ["query_id", "candidate_id"], "left")
         .groupBy("query_id")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "id"))).getField("id").alias("heads"))
+        .agg(F.array_sort(F.collect_list(F.struct("place", "candidate_id", F.coalesce("hit", F.lit(False)).alias("hit")))).alias("heads"))
+        .withColumn("heads", F.transform("heads", _item))
     )
-    wanted = relevant.groupBy("query_id").agg(F.collect_set("candidate_id").alias("relevant"))
+    wanted = pairs.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_relevant"))
     rows = [
         {
             "model_name": n, "model": i, "blend_name": b.name,
@@ -116,12 +127,7 @@ def ledger(
         for b in blends
     ]
     grid = F.from_json(F.lit(json.dumps(rows)), GRID)  # one constant, folded by the optimizer
-    profiles = (
-        pools.join(wanted, "query_id")
-        .join(heads, "query_id", "left")
-        .withColumn("heads", F.coalesce("heads", F.array().cast("array<string>")))
-        .withColumn("g", F.explode(grid))
-    )
+    profiles = pools.join(wanted.select("query_id"), "query_id", "left_semi").withColumn("g", F.explode(grid))
 
     def blended(r: Column) -> Column:
         """Sort key of a pool row: descending score, then candidate id."""
@@ -132,17 +138,33 @@ def ledger(
             + F.col("g.wc") * r["z_calibrated"]
             + F.col("g.ws") * r["z_source"]
         )
-        return F.struct((-score).alias("s"), r["candidate_id"].alias("id"))
+        return F.struct((-score).alias("s"), r["candidate_id"].alias("candidate_id"), r["hit"].alias("hit"))
 
-    ranked = profiles.select(
-        "query_id", "relevant", "heads", "g.model_name", "g.blend_name",
-        F.slice(F.array_sort(F.transform("pool", blended)), 1, 20).getField("id").alias("ids"),
-    ).withColumn("keep_top", F.explode(F.array(*[F.lit(k) for k in keeps])))
+    best = profiles.select(
+        "query_id", "chunk", "g.model_name", "g.blend_name",
+        F.slice(F.array_sort(F.transform("pool", blended)), 1, DEPTH).alias("best"),
+    )
+    while parts > 1:
+        parts = -(-parts // FAN_IN)
+        best = (
+            best.withColumn("chunk", F.floor(F.col("chunk") / F.lit(FAN_IN)))
+            .groupBy("query_id", "chunk", "model_name", "blend_name")
+            .agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, DEPTH).alias("best"))
+        )
+    ranked = (
+        best.join(wanted, "query_id")
+        .join(heads, "query_id", "left")
+        .select(
+            "query_id", "n_relevant", "model_name", "blend_name", F.transform("best", _item).alias("items"),
+            F.coalesce("heads", F.array().cast("array<struct<candidate_id:string,hit:boolean>>")).alias("heads"),
+        )
+        .withColumn("keep_top", F.explode(F.array(*[F.lit(k) for k in keeps])))
+    )
     kept = F.array_distinct(F.slice("heads", F.lit(1), F.col("keep_top")))
-    merged = ranked.withColumn("ids", F.slice(F.concat(kept, F.array_except("ids", kept)), 1, 20))
+    merged = ranked.withColumn("items", F.slice(F.concat(kept, F.array_except("items", kept)), 1, DEPTH))
     per_query = merged.select(
         "query_id", "model_name", "blend_name", "keep_top",
-        *[m.alias(n) for n, m in array_metrics(F.col("ids"), F.col("relevant")).items()],
+        *[m.alias(n) for n, m in hit_metrics(F.col("items")["hit"], F.col("n_relevant")).items()],
     )
     return (
         macro_metrics(per_query, ["model_name", "blend_name", "keep_top"])
@@ -154,6 +176,10 @@ def ledger(
     )
 
 
+def _item(r: Column) -> Column:
+    return F.struct(r["candidate_id"].alias("candidate_id"), r["hit"].alias("hit"))
+
+
 def ledger_order() -> list[Column]:
     return [F.desc("composite"), F.desc("recall_at_20"), F.col("profile")]
 

@@ -182,7 +182,8 @@ def test_metrics_both_forms(spark):
     got = {r["query_id"]: r for r in metrics.query_metrics(ranked, relevant).collect()}
     assert set(got) == set(lists)
     arrays = spark.createDataFrame([(q, cs, sorted(rel)) for q, (cs, rel) in lists.items()], "q string, ids array<string>, rel array<string>")
-    other = arrays.select("q", *[c.alias(n) for n, c in metrics.array_metrics(F.col("ids"), F.col("rel")).items()])
+    hits = F.transform("ids", lambda c: F.array_contains("rel", c))
+    other = arrays.select("q", *[c.alias(n) for n, c in metrics.hit_metrics(hits, F.size("rel")).items()])
     other = {r["q"]: r for r in other.collect()}
     for q, (cs, rel) in lists.items():
         for name, value in zip(metrics.METRICS, reference_metrics(cs, rel), strict=True):
@@ -235,11 +236,31 @@ def test_ledger_equals_merging_each_profile(spark):
     assert offline.select_profile(table, floors={"recall_at_20": 0.0}).first()["passes_floors"]
 
 
-def test_wide_pools_are_refused_before_they_are_gathered(spark):
-    rows = spark.createDataFrame([("q", f"c{i}") for i in range(30)] + [("r", "c1")], "query_id string, candidate_id string")
-    offline.check_width(rows, "pool rows", 30)
-    with pytest.raises(ValueError, match="30 pool rows; at most 29"):
-        offline.check_width(rows, "pool rows", 29)
+def test_ledger_of_wide_pools_is_exact(spark):
+    """50,000 rows in one pool, ties included, and a narrow pool beside it; chunks of any size agree."""
+    wide = spark.range(50_000).select(
+        F.lit("wide").alias("query_id"), F.format_string("c%05d", "id").alias("candidate_id"),
+        # 977 is prime to 5,000: every score occurs ten times.
+        (F.pmod(F.col("id") * 977, F.lit(5_000)) / 5_000).alias("m1"), (F.pmod("id", F.lit(3)) == 0).alias("is_gt_top20"),
+    )
+    narrow = wide.filter("candidate_id < 'c00030'").withColumn("query_id", F.lit("narrow"))
+    df = wide.unionByName(narrow).withColumns(
+        {n: F.lit(0.0) for n in ("score_final", "score_calibrated", "graph_max_z", "source_min_rank_inv_safe")}
+    )
+    anchors = spark.createDataFrame([("wide", "c00003", 1), ("wide", "c00004", 2)], "query_id string, candidate_id string, rank int")
+    relevant = metrics.relevance_pairs(df)
+    blends = blend.profile_grid()[:2]
+    table = offline.ledger(df, anchors, relevant, models={"x": "m1"}, blends=blends, keeps=(0, 1))
+    small = offline.ledger(df, anchors, relevant, models={"x": "m1"}, blends=blends, keeps=(0, 1), chunk_rows=17)
+    got = {r["profile"]: r for r in table.collect()}
+    assert len(got) == 4 and got == {r["profile"]: r for r in small.collect()}
+    per_query = []
+    for size in (50_000, 30):
+        order = sorted(range(size), key=lambda i: (-(i * 977 % 5_000), i))[:20]
+        per_query.append(reference_metrics(order, {i for i in range(size) if i % 3 == 0}))
+    row = got[f"x|{blends[0].name}|anchor_keep0"]
+    for name, values in zip(metrics.METRICS, zip(*per_query, strict=True), strict=True):
+        assert row[name] == pytest.approx(sum(values) / 2)
 
 
 def test_gates_never_pass_without_physical_errors(spark):
