@@ -605,33 +605,61 @@ def oracle_queries() -> dict[str, str]:
       select count(*) fold_count, count(distinct fold) fold_names, count(case when not tb < a then 1 end) train_overlaps, count(case when not a <= b then 1 end) empty_folds from p"""
     out["seed_sd"] = """with u as (select event_type, user_id, avg(value) v from events group by 1, 2), m as (select event_type, avg(v) m from u group by 1)
       select count(*) seeds, round(avg(m), 6) seed_mean, round(stddev_pop(m), 6) seed_sd from m"""
-    # Poisson(1) by inversion: cumulative probabilities times 2^32, rounded down.
-    edges = (1580030168, 3160060337, 3950075421, 4213413783, 4279248373, 4292415291, 4294609777, 4294923276, 4294962463, 4294966817, 4294967252, 4294967292)
-    weight = " + ".join(f"(u >= {e})::int" for e in edges)
-
-    def interval(pairs: str) -> str:
-        """CTEs ``g`` (k, d) to ``boot`` (estimate, lower, upper, query_count, resamples), 10,000 resamples, seed 7."""
-        return f"""g as ({pairs}), h as (select d, blk, md5('7:' || blk || ':' || k) m from g, range(2500) r(blk)),
-      bits as (select d, blk * 4 + j as b, cast('0x' || substr(m, j * 8 + 1, 8) as bigint) u from h, (select unnest([0, 1, 2, 3])::int j)),
-      drawn as (select b, d, {weight} w from bits), means as (select b, sum(w * d) / sum(w) m from drawn group by b having sum(w) > 0),
+    # Multipliers of the draws' hash and seed 7.
+    by_seed, by_resample, by_first, by_second, one, two = (
+        4354685564936845355, 2270897969802886507, 2685821657736338717, 2177342782468422677, 4564476756301768121, 1499779743744070123
+    )
+    mask = 2**64 - 1
+
+    def mixed(first: str, second: str) -> str:
+        """Columns h0 to h5, of which h5 holds 64 hashed bits of (7, b, first, second)."""
+        return f"""(7::hugeint * {by_seed} + b::hugeint * {by_resample} + ({first})::hugeint * {by_first} + ({second})::hugeint * {by_second}) & {mask}::hugeint h0,
+          (xor(h0, h0 >> 32) * {one}::hugeint) & {mask}::hugeint h1, (xor(h1, h1 >> 29) * {two}::hugeint) & {mask}::hugeint h2, xor(h2, h2 >> 32) h5"""
+
+    def resampled(pairs: str, resamples: int = 10_000, block: int = 1024) -> str:
+        """CTEs ``g`` (k, d) to ``means`` (b, draws, m): n draws are split over blocks of rows, then pick rows of their block."""
+        return f"""g as ({pairs}), placed as (select d, row_number() over (order by k) - 1 pos from g),
+      size as (select count(*) n, (count(*) + {block - 1}) // {block} blocks from g),
+      node as (select 0::bigint lo, blocks hi from size union all
+        select unnest([lo, lo + (hi - lo) // 2]), unnest([lo + (hi - lo) // 2, hi]) from node where hi - lo > 1),
+      inner_ as (select lo, hi, lo + (hi - lo) // 2 mid, ((hi - lo) // 2 * {block})::double / (least(hi * {block}, n) - lo * {block}) p, n from node, size where hi - lo > 1),
+      mass as (select lo, hi, mid, k, i, exp(lgamma(k + 1.0) - coalesce(lgamma(i + 1.0), 0) - lgamma(k - i + 1.0) + i * ln(p) + (k - i) * ln(1 - p)) w
+        from (select *, unnest(range(k + 1)) i from (select *, unnest(range(n + 1)) k from inner_))),
+      steps as (select *, sum(w) over (partition by lo, hi, k order by i) upto from mass),
+      cdf as (select lo, hi, mid, k, i, case when i = 0 then 0 else lag(upto) over (partition by lo, hi, k order by i) end above,
+        case when i = k then 2 else upto end below from steps),
+      tree as (select b, 0::bigint lo, blocks hi, n k from size, range({resamples}) r(b) union all
+        select b, unnest([t.lo, c.mid]), unnest([c.mid, t.hi]), unnest([c.i, t.k - c.i])
+        from (select *, (h5 >> 11)::double / 9007199254740992 u from (select *, {mixed('lo', '4294967296 + hi')} from tree where hi - lo > 1)) t
+        join cdf c on c.lo = t.lo and c.hi = t.hi and c.k = t.k and t.u >= c.above and t.u < c.below),
+      leaf as (select b, lo, unnest(range(k)) i from tree where hi - lo = 1),
+      pick as (select b, lo * {block} + (((h5 >> 32) * least({block}, n - lo * {block})) >> 32)::bigint pos from (select b, lo, n, {mixed('lo', 'i')} from leaf, size)),
+      means as (select b, count(*) draws, avg(d) m from pick join placed using (pos) group by b)"""
+
+    def interval(pairs: str, block: int = 1024) -> str:
+        """CTEs to ``boot`` (estimate, lower, upper, query_count, resamples), 10,000 resamples, seed 7."""
+        return f"""{resampled(pairs, block=block)},
       boot as (select round((select avg(d) from g), 6) estimate, round(quantile_cont(m, 0.025), 6) lower, round(quantile_cont(m, 0.975), 6) upper,
         (select count(*) from g) query_count, 10000::bigint resamples from means)"""
 
-    out["paired_bootstrap_hash"] = f"""with {PAIRED}, {interval("select cast(user_id as varchar) k, proposed - baseline d from paired")}
+    user_pairs = "select cast(user_id as varchar) k, proposed - baseline d from paired"
+    out["bootstrap_resamples"] = f"""with recursive {PAIRED}, {resampled(user_pairs, 400, 16)}
+      select b resample, draws, round(m, 6) mean_difference from means"""
+    out["paired_bootstrap_hash"] = f"""with recursive {PAIRED}, {interval(user_pairs, 32)}
       select estimate, lower, upper, 0.95::double confidence, query_count, resamples from boot"""
     folded = "f as (select count(*) folds, min((d > 0)::int)::bigint folds_positive from (select fold, avg(s - c) d from u group by fold))"
-    out["study_portability"] = f"""with {scores},
+    out["study_portability"] = f"""with recursive {scores},
       {dcg('src', 'user_id, seed', 'control', 'rel3', 'nc')}, {dcg('src', 'user_id, seed', 'system', 'rel3', 'ns_')},
       ca as (select user_id, avg(ndcg) v from nc group by 1), sa as (select user_id, avg(ndcg) v from ns_ group by 1),
       u as (select ca.user_id, ca.user_id % 3 fold, ca.v c, sa.v s from ca join sa on sa.user_id = ca.user_id), {folded},
       {interval("select cast(user_id as varchar) k, s - c d from u")}
       select boot.*, folds, folds_positive, round((select avg(c) from u), 6) control_mean, round((select avg(s) from u), 6) system_mean, 5::bigint seeds from boot, f"""
     matched = ", ".join(arms).replace("full as (select q, coalesce", "full_ as (select q, coalesce")
-    out["study_matched_scoring"] = f"""with {POOL}, {matched},
+    out["study_matched_scoring"] = f"""with recursive {POOL}, {matched},
       u as (select b.q, b.ndcg c, f.ndcg s, b.rel20 cr, f.rel20 sr from backend b join full_ f on f.q = b.q), {interval("select q k, s - c d from u")}
       select boot.*, round((select avg(c) from u), 6) backend_mean, round((select avg(s) from u), 6) full_mean,
       round((select avg(cr) from u), 6) backend_relevant, round((select avg(sr) from u), 6) full_relevant from boot"""
-    out["study_physical_ablation"] = f"""with x as (select user_id, avg(value) a, coalesce(avg(case when event_type = 'view' then value end), 0) v from events group by 1),
+    out["study_physical_ablation"] = f"""with recursive x as (select user_id, avg(value) a, coalesce(avg(case when event_type = 'view' then value end), 0) v from events group by 1),
       u as (select user_id, user_id % 3 fold, a / (a + 100) c, v / (v + 100) s, a * 10 ce, v * 5 se from x), {folded},
       {interval("select cast(user_id as varchar) k, s - c d from u")}
       select boot.*, folds, folds_positive, round((select avg(c) from u), 6) baseline_mean, round((select avg(s) from u), 6) system_mean,

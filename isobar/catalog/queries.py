@@ -825,11 +825,19 @@ def _interval(frame: DataFrame) -> DataFrame:
 def paired_bootstrap_hash(spark, sf):
     return _interval(
         bootstrap.paired_bootstrap(
-            _paired(spark, sf), baseline="baseline", proposed="proposed", order="user_id", seed=7
+            _paired(spark, sf), baseline="baseline", proposed="proposed", order="user_id", seed=7, block_rows=32
         )
     )
 
 
+@query
+def bootstrap_resamples(spark, sf):
+    """Every resample draws as many rows as there are, over blocks of sixteen."""
+    gaps = _paired(spark, sf).select(F.col("user_id").alias("k"), (F.col("proposed") - F.col("baseline")).alias("d"))
+    means = bootstrap.resample_means(gaps, 400, 7, block_rows=16)
+    return means.select("resample", "draws", r6("mean").alias("mean_difference"))
+
+
 def _report(spark, found: dict, names: dict[str, str]) -> DataFrame:
     """A study result as one row; interval ends and means are rounded, counts are integers."""
     values = {**found, **found["paired_bootstrap"], "folds_positive": int(found.get("all_temporal_folds_positive", 0))}

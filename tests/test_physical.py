@@ -103,10 +103,30 @@ def test_bootstrap_intervals(spark):
         bootstrap.paired_bootstrap(df.withColumn("b", F.lit(None).cast("double")), **options)
 
 
-def test_bootstrap_weights_are_poisson_and_resamples_differ(spark):
-    weights = spark.range(30000).select(bootstrap.resample_weight(F.md5(F.col("id").cast("string").cast("binary")), F.lit(1)).alias("w"))
-    row = weights.agg(F.avg("w").alias("m"), F.var_pop("w").alias("v"), F.max("w").alias("x")).first()
-    assert row["m"] == pytest.approx(1, abs=0.03) and row["v"] == pytest.approx(1, abs=0.05) and row["x"] >= 5
-    far = spark.range(40).select((F.col("id") + 2**40).alias("k"), F.sqrt(F.col("id") + 2).alias("d"))
-    means = bootstrap.resample_means(far, 10_001, 3)
-    assert means.count() == 10_001 and means.select("mean").distinct().count() > 9_900
+def test_every_resample_takes_as_many_rows_as_there_are(spark):
+    df = spark.range(300).select(F.col("id").alias("k"), F.sqrt(F.col("id") + 2).alias("d"))
+    values = np.sqrt(np.arange(300) + 2)
+    for block_rows in (7, 64, 1024):
+        got = bootstrap.resample_means(df, 2_001, 3, block_rows=block_rows).toPandas()
+        assert len(got) == 2_001 and (got["draws"] == 300).all() and got["mean"].nunique() > 1_990
+        # Means of 300 draws: their mean and spread over 2,001 resamples, within five standard errors.
+        error = values.std() / np.sqrt(300)
+        assert got["mean"].mean() == pytest.approx(values.mean(), abs=5 * error / np.sqrt(2_001))
+        assert got["mean"].std() == pytest.approx(error, rel=0.08)
+
+
+def test_blocks_and_rows_are_drawn_in_proportion():
+    counts = np.zeros(5)
+    for resample in range(3_000):
+        for block, draws in bootstrap.block_draws(resample, 90, 20, 11):  # the last block has ten rows
+            counts[block] += draws
+    expected = 3_000 * np.array([20, 20, 20, 20, 10])
+    assert counts.sum() == 3_000 * 90 and ((counts - expected) ** 2 / expected).sum() < 20
+    # The quantile of a binomial against sums of exact probabilities.
+    from math import comb
+
+    for u in (0.0, 0.01, 0.3, 0.5, 0.99, 1 - 1e-9):
+        cdf = np.cumsum([comb(40, i) * 0.3**i * 0.7 ** (40 - i) for i in range(41)])
+        assert bootstrap.binomial(40, 0.3, u) == min(int((cdf <= u).sum()), 40)
+    wide = [bootstrap.binomial(10**9, 0.5, u) for u in (0.1, 0.5, 0.9)]
+    assert wide[1] == pytest.approx(5 * 10**8, abs=2) and wide[2] - wide[1] == pytest.approx(1.28155 * 15811.4, rel=1e-3)
