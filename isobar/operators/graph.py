@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from isobar.functions.scalars import number
 from isobar.operators.features import column_z, query_z
+from isobar.session import materialize
 
 # Fixed values: (feature name, seeds per query, activated train queries kept).
 GRAPH_CONFIGS = (
@@ -20,6 +21,8 @@ GRAPH_CONFIGS = (
 # Weights of the two z-scores that order the seeds, and the normaliser offset.
 SEED_FINAL_WEIGHT, SEED_SOURCE_WEIGHT = 0.70, 0.30
 NORM_OFFSET = 1e-6
+#: A key is heavy if it makes more joined rows than this, and more than this part of all.
+HEAVY_ROWS, HEAVY_PARTS = 1 << 17, 4096
 
 
 def label_graph_edges(train: DataFrame) -> DataFrame:
@@ -51,18 +54,43 @@ def graph_counts(edges: DataFrame) -> DataFrame:
     )
 
 
+def heavy_keys(left: DataFrame, right: DataFrame, key: str, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """(key, salts) of the keys that make too many rows of the join; fewer than ``HEAVY_PARTS``, whatever the input."""
+    count = F.count(F.lit(1))
+    load = left.groupBy(key).agg(count.alias("_l")).join(right.groupBy(key).agg(count.alias("_r")), key)
+    made = F.col("_l") * F.col("_r")
+    total = load.agg(F.sum(made)).first()[0] or 0
+    size = max(heavy_rows, -(-total // HEAVY_PARTS))
+    return load.filter(made > size).select(key, F.least(F.ceil(made / size), F.col("_l")).cast("int").alias("salts"))
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, *, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Inner join on ``key`` in which no key goes to one task with more than its part of the result.
+
+    Degrees come first. Left rows of a heavy key are dealt over its salts by ``by``, right rows are copied to each of them;
+    light keys have one salt. The table of heavy keys is broadcast: it has at most 4,096 rows by construction.
+    """
+    heavy = F.broadcast(heavy_keys(left, right, key, heavy_rows))
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = left.join(heavy, key, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("salts")
+    copied = right.join(heavy, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
+
+
 def add_graph_scores(
     pool: DataFrame,
     edges: DataFrame,
     *,
     configs: Sequence[tuple[str, int, int]] = GRAPH_CONFIGS,
     source_feature: str = "source_min_rank_inv_safe",
+    heavy_rows: int = HEAVY_ROWS,
 ) -> DataFrame:
     """Add one propagated score per configuration to every pool row.
 
     All configurations share one pass: seeds up to the deepest ``seed_k`` are joined to the edges
     once, and the activation of each depth is a conditional sum of the same aggregation. The row
-    number under the cap is applied before the shuffle by the planner.
+    number under the cap is applied before the shuffle by the planner. Both products with the edges split their heavy
+    keys, and what reaches a candidate outside the pool of its query is dropped before it is added up.
     """
     depths = sorted({k for _, k, _ in configs})
     seed_score = (
@@ -74,8 +102,9 @@ def add_graph_scores(
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("s"), "candidate_id")
     seeds = scored.withColumn("seed_rank", F.row_number().over(order)).filter(F.col("seed_rank") <= depths[-1])
+    seeds = materialize(seeds, "seeds")
     activated = (
-        seeds.join(edges, "candidate_id")
+        spread_join(seeds, edges, "candidate_id", "query_id", heavy_rows=heavy_rows)
         .groupBy("query_id", "train_query")
         .agg(
             *[
@@ -112,8 +141,10 @@ def add_graph_scores(
             for n, _, _ in configs
         ],
     )
+    targets = edges.select("train_query", "candidate_id", "weight")
     spread = (
-        shares.join(edges.select("train_query", "candidate_id", "weight"), "train_query")
+        spread_join(materialize(shares, "graph-shares"), targets, "train_query", "query_id", heavy_rows=heavy_rows)
+        .join(scored.select("query_id", "candidate_id"), ["query_id", "candidate_id"], "left_semi")
         .groupBy("query_id", "candidate_id")
         .agg(*[F.sum(F.col(f"w_{n}") * F.col("weight")).alias(f"p_{n}") for n, _, _ in configs])
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from isobar.operators import blend, features, metrics
 from isobar.operators.anchor import anchor_merge
 from isobar.operators.fusion import enrich, excluded, fuse_candidate_channels
-from isobar.operators.graph import add_graph_scores, label_graph_edges
+from isobar.operators.graph import add_graph_scores, heavy_keys, label_graph_edges, spread_join
 from isobar.operators.ordering import ordinal
 from isobar.plans import offline
 
@@ -126,6 +126,27 @@ def test_graph_scores_equal_a_plain_walk(spark):
                 assert got[(query, r[1])][name] == pytest.approx(expected, rel=1e-5, abs=1e-7)
 
 
+def test_one_candidate_that_is_a_seed_of_all_queries_is_split(spark):
+    """Candidate c0 tops every pool and is relevant to every train query; c1 to c9 have one edge each."""
+    pool = spark.range(400).select(F.format_string("q%d", "id").alias("query_id"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("c")).select(
+        "query_id", F.format_string("c%d", "c").alias("candidate_id"), (1.0 / (1 + F.col("c"))).alias("score_final"),
+        F.lit(0.0).alias("source_min_rank_inv_safe"),
+    )
+    train = spark.range(60).select(F.format_string("t%d", "id").alias("query_id"), F.explode(F.array(F.lit("c0"), F.format_string("c%d", F.col("id") % 10))).alias("candidate_id"), F.lit(True).alias("is_gt_top20"))
+    edges = label_graph_edges(train)
+    heavy = {r["candidate_id"]: r["salts"] for r in heavy_keys(pool, edges, "candidate_id", 5_000).collect()}
+    assert heavy == {"c0": 5}  # 400 pool rows times 60 edges, in parts of 5,000
+    joined = spread_join(pool, edges, "candidate_id", "query_id", heavy_rows=5_000)
+    assert joined.count() == pool.join(edges, "candidate_id").count()
+    dealt = pool.filter("candidate_id = 'c0'").groupBy(F.pmod(F.xxhash64("query_id"), F.lit(5))).count().collect()
+    assert len(dealt) == 5 and max(r["count"] for r in dealt) * 60 < 2 * 5_000
+    configs = (("g", 4, 30),)
+    plain = {(r["query_id"], r["candidate_id"]): r["g"] for r in add_graph_scores(pool, edges, configs=configs).collect()}
+    split = {(r["query_id"], r["candidate_id"]): r["g"] for r in add_graph_scores(pool, edges, configs=configs, heavy_rows=500).collect()}
+    assert len(plain) == 2_400 and set(plain) == set(split)
+    assert all(split[k] == pytest.approx(v, rel=1e-6) for k, v in plain.items())
+
+
 def test_profile_grid_counts():
     assert len(blend.profile_grid()) == 54 and len(blend.profile_grid(exact=True)) == 59
     assert blend.FROZEN_BLEND.name in {b.name for b in blend.profile_grid()}
