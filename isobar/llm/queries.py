@@ -140,6 +140,8 @@ QUERIES = {
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_TEMPLATES = ", ".join(f"('{text}', '{label}')" for text, label in licenses.TEMPLATES)
+
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 #: CRC-32 of an ASCII string, bit by bit.
@@ -288,23 +290,15 @@ ORACLE = {
     "op8_licenses": f"""
         with phrases(phrase, label) as (
             values (['mit', 'license'], 'mit'), (['apache', 'license'], 'apache'), (['general', 'public', 'license'], 'gpl')),
-        templates as (select list_distinct(string_split(t, ' ')) as t, label from (values
-            ('under the mit license', 'mit'), ('subject to the terms of the mit license', 'mit'),
-            ('permission is hereby granted free of charge to any person obtaining a copy of this software', 'mit'),
-            ('under the apache license', 'apache'),
-            ('this work is licensed under the gnu general public license version 3', 'gpl'),
-            ('gnu lesser general public', 'lgpl'),
-            ('redistribution and use in source and binary forms with or without modification are permitted', 'bsd'),
-            ('mozilla public license version', 'mpl'),
-            ('cc by nc', 'cc-by-nc'), ('cc by sa', 'cc-by-sa'),
-            ('creative commons attribution license', 'cc-by'),
-            ('all rights reserved no part may be reproduced without permission', 'proprietary')) v(t, label)),
+        given as (select {_WORDS.format(_LOWER.format("t"))} as w, label from (values {_TEMPLATES}) v(t, label)),
+        templates as (select list_distinct(w) as t, label, (len(w) + 15) // 16 * 16 as step from given),
         d as (select doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} as w from documents),
         wp as (select doc_id, w, unnest(range(0, len(w))) as i from d),
         base as (select doc_id, i, label from wp join phrases on w[i + 1 : i + len(phrase)] = phrase),
-        blocks as (select doc_id, list_distinct(w[i + 1 : i + 32]) as words from wp where i % 16 = 0),
-        more as (select doc_id, label, len(list_intersect(words, t)) / len(t) as share
-                 from blocks join templates on len(list_intersect(words, t)) >= ceil(0.8 * len(t) - 1e-9)),
+        steps as (select distinct step from templates),
+        blocks as (select doc_id, step, list_distinct(w[i + 1 : i + 2 * step]) as words from wp join steps on i % step = 0),
+        more as (select doc_id, label, len(list_intersect(words, t)) / len(t) as share from blocks join templates
+                 on blocks.step = templates.step and len(list_intersect(words, t)) >= ceil(0.8 * len(t) - 1e-9)),
         b as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word,
                      array_to_string(list_sort(list(distinct label)), ',') as base_labels from base group by 1),
         a as (select doc_id, array_to_string(list_sort(list(distinct label)), ',') as labels

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -114,3 +115,43 @@ def test_native_plans_have_no_python(spark):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_long_licenses_are_found_at_every_offset(spark):
+    long = " ".join(f"clause{i % 190} w{i}" for i in range(150))  # 300 words
+    filler = [f"filler{i}" for i in range(700)]
+    rows = [(i, " ".join([*filler[:i], long, *filler[i:]]), "x") for i in (*range(0, 40), 303, 304, 305, 699)]
+    rows += [(1000 + i, " ".join(long.split()[: 300 - i]), "x") for i in (0, 55, 65)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = licenses.scan_licenses(docs, F.col("doc_id"), F.col("text"), templates=((long, "long"),))
+    found = {r["row"]["doc_id"]: {b["label"] for b in r["blocks"]} for r in got.collect()}
+    assert {i for i, labels in found.items() if labels == {"long"}} == {r[0] for r in rows} - {1065}
+
+
+def test_whole_licenses_are_labelled(spark):
+    rows = [(i, f"{'prose ' * (37 * i)} {text.upper()} {'more ' * 20}", label) for i, (text, label) in enumerate(licenses.PARAGRAPHS)]
+    got = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, want string"), F.col("doc_id"), F.col("text")).collect()
+    assert len(got) == len(rows) and all(r["row"]["want"] in {b["label"] for b in r["blocks"] if b["share"] == 1.0} for r in got)
+
+
+def test_license_paragraphs_match_brute_force(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(80):
+        words = licenses.words_of(licenses.PARAGRAPHS[i % len(licenses.PARAGRAPHS)][0])
+        kept = [w for w in words if rng.random() < 0.86]  # some sink below the threshold
+        rows.append((i, " ".join([*(f"f{rng.randrange(50)}" for _ in range(rng.randrange(400))), *kept, "tail"]), "x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row string")
+    got = licenses.scan_licenses(docs, F.col("doc_id"), F.col("text"))
+    want = {}
+    for i, text, _ in rows:
+        words, best = text.split(), {}
+        for template, label in licenses.TEMPLATES:
+            tokens, step = set(licenses.words_of(template)), licenses.step_of(licenses.words_of(template))
+            for b in range(0, len(words), step):
+                share = len(tokens & set(words[b : b + 2 * step])) / len(tokens)
+                if share >= licenses.CONTAINMENT - 1e-9:
+                    best[b, label] = max(best.get((b, label), 0), round(share, 9))
+        want[i] = sorted((b, label, share) for (b, label), share in best.items())
+    assert {r["row"]["doc_id"]: [(b["start"], b["label"], round(b["share"], 9)) for b in r["blocks"]] for r in got.collect()} == want
+    assert any(want.values()) and not all(want.values())
