@@ -21,6 +21,7 @@ templates are arguments, so their vocabulary, which the tasks hold, does not gro
 
 from __future__ import annotations
 
+import json
 import math
 import re
 
@@ -146,33 +147,41 @@ def step_of(words: list[str]) -> int:
     return max(1, -(-len(words) // STRIDE)) * STRIDE
 
 
-def ranked_words(documents: DataFrame, words: set[str]) -> tuple[dict[str, int], Column]:
-    """Ranks from 1 of the words, the rarest in the corpus first, and the column of a text's ranks (0: another word).
+def number_column(spark: SparkSession, numbers: dict[str, int]) -> Column:
+    """The numbers of the words in the column ``words``, 0 for words without one.
 
-    The column looks a word up in a constant table of slots by its hash, so its cost does not depend on the vocabulary.
+    A word is looked up in a constant table of slots by its hash, so the cost does not depend on the vocabulary.
     """
-    slots = max(1, SLOTS * len(words))
-    slot = F.pmod(F.xxhash64("word"), F.lit(slots)).cast("int")
-    vocabulary = documents.sparkSession.createDataFrame(sorted((w,) for w in words), "word string")
-    found = sequences.corpus_frequency(documents, vocabulary).select("word", "n", slot.alias("slot")).collect()
-    rank = {r["word"]: i + 1 for i, r in enumerate(sorted(found, key=lambda r: (r["n"], r["word"])))}
+    slots = max(1, SLOTS * len(numbers))
     held: list[list[str]] = [[] for _ in range(slots)]
-    for r in found:
+    slot = F.pmod(F.xxhash64("word"), F.lit(slots))
+    for r in spark.createDataFrame([(w,) for w in numbers], "word string").select("word", slot.alias("slot")).collect():
         held[r["slot"]].append(r["word"])
-    # A word is never empty, so an empty string marks a free slot.
-    table_words = F.array(*[F.array(*map(F.lit, own or [""])) for own in held])
-    table_ranks = F.array(*[F.array(*map(F.lit, [rank[w] for w in own] or [0])) for own in held])
+    # As JSON the tables are one constant each in the plan.
+    table_words = F.from_json(F.lit(json.dumps(held)), "array<array<string>>")
+    table_numbers = F.from_json(F.lit(json.dumps([[numbers[w] for w in own] for own in held])), "array<array<int>>")
 
     def of(word: Column) -> Column:
         at = F.pmod(F.xxhash64(word), F.lit(slots)).cast("int")
         inner = F.array_position(table_words[at], word).cast("int")
-        return F.when(inner > 0, table_ranks[at][inner - 1]).otherwise(0)
+        return F.when(inner > 0, table_numbers[at][inner - 1]).otherwise(0)
 
-    return rank, F.transform("words", of)
+    return F.transform("words", of)
 
 
-def patterns(spark: SparkSession, rank: dict[str, int], phrases, templates, containment: float) -> DataFrame:
-    """(pattern_id, label, phrase, seq, anchor, at, need, step, shift): one row per anchor word of a phrase or template.
+def word_ranks(documents: DataFrame, words: set[str]) -> dict[str, int]:
+    """Ranks from 1 of the words, the rarest in the whole corpus first."""
+    ordered = sorted(words)
+    numbers = number_column(documents.sparkSession, {w: i + 1 for i, w in enumerate(ordered)})
+    known = documents.select(F.filter(numbers, lambda x: x > 0).alias("numbers")).select(F.explode("numbers").alias("number"))
+    count = {r["number"]: r["count"] for r in known.groupBy("number").count().collect()}  # one row a word of the vocabulary
+    rarest = sorted(range(len(ordered)), key=lambda i: (count.get(i + 1, 0), ordered[i]))
+    return {ordered[i]: place + 1 for place, i in enumerate(rarest)}
+
+
+def patterns(spark: SparkSession, rank: dict[str, int], phrases, templates, containment: float) -> tuple[DataFrame, set[int]]:
+    """(pattern_id, label, phrase, seq, anchor, at, need, step, shift): one row per anchor word of a phrase or template; and
+    all anchors.
 
     Sequences are ranks: of a phrase in its own order, ``at`` the place of its rarest word; of a template ascending, ``at``
     the place of the anchor.
@@ -189,10 +198,11 @@ def patterns(spark: SparkSession, rank: dict[str, int], phrases, templates, cont
         need = math.ceil(containment * len(seq) - 1e-9)
         for at in range(len(seq) - need + 1 if seq else 0):
             rows += [(label, False, seq, seq[at], at, need, step_of(words), shift) for shift in (0, 1)]
-    return spark.createDataFrame(
+    table = spark.createDataFrame(
         [(i, *r) for i, r in enumerate(rows)],
         "pattern_id long, label string, phrase boolean, seq array<int>, anchor int, at int, need int, step int, shift int",
     )
+    return table, {r[3] for r in rows}
 
 
 def scan_licenses(
@@ -205,9 +215,13 @@ def scan_licenses(
     label. Both are empty lists for texts without any.
     """
     documents = sequences.word_arrays(docs, doc_id, text)
-    rank, ranks = ranked_words(documents, {w for t, _ in (*phrases, *templates) for w in words_of(t)})
-    table = patterns(docs.sparkSession, rank, phrases, templates, containment)
-    ranked = documents.select(*sequences.KEY, ranks.alias("words"))
+    spark = docs.sparkSession
+    rank = word_ranks(documents, {w for t, _ in (*phrases, *templates) for w in words_of(t)})
+    table, anchors = patterns(spark, rank, phrases, templates, containment)
+    is_anchor = F.from_json(F.lit(json.dumps([r in anchors for r in range(len(rank) + 1)])), "array<boolean>")
+    ranked = documents.select(*sequences.KEY, number_column(spark, rank).alias("words"))
+    places = F.transform("words", lambda r, i: F.when(is_anchor[r], F.struct(i.alias("pos"), r.alias("word"))))
+    ranked = ranked.withColumn("places", F.filter(places, lambda x: x.isNotNull()))
 
     begin = F.col("pos") - F.col("at")
     stands = (F.col("pos") >= F.col("at")) & (sequences.slice_at(F.col("words"), begin, F.size("seq")) == F.col("seq"))
@@ -218,7 +232,7 @@ def scan_licenses(
     later = F.size(F.array_distinct(F.filter(piece, lambda r: r >= F.col("anchor"))))
     overlap = F.size(F.array_intersect(piece, F.col("seq")))
     holds = (block >= 0) & (length >= F.col("need")) & first & (later >= F.col("need")) & (overlap >= F.col("need"))
-    met = sequences.match_anchors(ranked, table, F.when(F.col("phrase"), stands).otherwise(holds), other=0)
+    met = sequences.match_anchors(ranked, table, F.when(F.col("phrase"), stands).otherwise(holds), places="places")
     hits = met.select(
         *sequences.KEY, "phrase", "label", F.when(F.col("phrase"), begin).otherwise(block).cast("long").alias("start"),
         F.when(F.col("phrase"), F.lit(1.0)).otherwise(overlap / F.size("seq")).alias("share"),

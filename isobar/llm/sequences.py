@@ -57,15 +57,18 @@ def slice_at(words: Column, start: Column, length: Column) -> Column:
     return F.slice(words, F.greatest(start, F.lit(0)).cast("int") + 1, length.cast("int"))
 
 
-def match_anchors(documents: DataFrame, patterns: DataFrame, condition: Column, pattern_id: str = "pattern_id", other: int | None = None) -> DataFrame:
+def match_anchors(
+    documents: DataFrame, patterns: DataFrame, condition: Column, pattern_id: str = "pattern_id", places: str | None = None
+) -> DataFrame:
     """Rows of ``documents`` words (doc_id, text_key, words, pos, word) that meet a pattern's anchor and the condition.
 
-    ``patterns`` has ``pattern_id``, ``anchor`` and what the condition uses. Words may be numbers; those equal to ``other``
-    are no anchor and never leave their task.
+    ``patterns`` has ``pattern_id``, ``anchor`` and what the condition uses. Words may be numbers. ``places`` names a column
+    with the (pos, word) to look at; without it these are all words.
     """
-    spread = documents.select(*KEY, "words", F.posexplode("words").alias("pos", "word"))
-    if other is not None:
-        spread = spread.where(F.col("word") != other)
+    if places is None:
+        spread = documents.select(*KEY, "words", F.posexplode("words").alias("pos", "word"))
+    else:
+        spread = documents.select(*KEY, "words", F.explode(places).alias("place")).select(*KEY, "words", "place.pos", "place.word")
     anchors, small = measured(patterns, F.col("anchor").cast("string"), F.array_join(F.col("seq").cast("array<string>"), " "))
     if small:
         return spread.join(anchors, (F.col("word") == F.col("anchor")) & condition)
