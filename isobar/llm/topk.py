@@ -11,13 +11,19 @@ segments are done; those vectors are scored exactly from the stored integers. So
 A batch of queries meets every index block (the stated query set against all rows, in blocks); each meeting returns at
 most k rows a query.
 
+Vectors so large that a sum of products could leave 53 bits stay out of the postings; they are scored with integers of any
+length against every query, and so is everything against a query as large. Ranks are exact for them too.
+
 Nulls: rows with a null id, a null vector, or a null or non-finite component take no part. Shorter vectors are filled
 up with zeros. A query's own id is no candidate for it. Ties go to the smaller id; equal rows are separate candidates.
-Scores must fit in 53 bits, else the job fails. Empty tables give an empty result.
+A score that a long cannot hold is null, its rank is right nevertheless. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import heapq
+import math
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,17 +40,51 @@ QUERY_ROWS = 512
 STEP = 32
 TIERS = 12
 RESCORE = 256
+MOST = (1 << 63) - 1
+#: Two doubles of any scale in 53 bits multiply to less than 2^2154; this leaves room for their sums.
+SCORE_BITS = 2304
 
 
 def integer_vectors(rows: DataFrame, vec_id: Column, vector: Column, scale: int = 1024) -> DataFrame:
-    """(vec_id, v): only whole, finite vectors."""
+    """(vec_id, v, scale): only whole, finite vectors; an integer vector is floor(scale * v), see :func:`integers`."""
     whole = F.forall(vector, lambda x: F.coalesce(x.cast("double") * 0 == 0, F.lit(False)))
     return (
         rows.where(vec_id.isNotNull() & vector.isNotNull() & whole)
-        .select(vec_id.cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+        .select(vec_id.cast("long").alias("vec_id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.lit(scale).alias("scale"))
     )
 
 
+def integers(values: list[float], scale: int) -> list[int]:
+    """floor(scale * x) without overflow: a double from 2^53 on is an integer itself."""
+    return [int(x) * scale if abs(x) >= 1 << 53 else math.floor(x * scale) for x in values]
+
+
+def split_by_size(rows: list, width: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, list[int]]]]:
+    """Ids and matrix of the rows whose products with one another add up to less than 2^53, and (id, integers) of the rest."""
+    limit = math.isqrt((1 << 53) // max(width, 1)) - 1
+    ids, small, large = [], [], []
+    for r in rows:
+        if max((abs(float(x)) for x in r["v"]), default=0.0) * r["scale"] < limit:
+            ids.append(r["vec_id"])
+            small.append(np.floor(np.asarray(r["v"], np.float64) * r["scale"]).astype(np.int64))
+        else:
+            large.append((r["vec_id"], integers(r["v"], r["scale"])))
+    return np.array(ids, np.int64), matrix(pd.Series(small, dtype=object), width), large
+
+
+def exact_best(query: list[int], own: int, rows: list[tuple[int, list[int]]], k: int) -> list[tuple[int, int]]:
+    """(id, score) of the k best of the rows, by integers of any length."""
+    scored = ((sum(map(operator.mul, query, v)), i) for i, v in rows if i != own)
+    return [(i, s) for s, i in heapq.nsmallest(k, scored, key=lambda x: (-x[0], x[1]))]
+
+
+def score_columns(scores: list[int]) -> dict:
+    """The score as a long or null, which side of the longs it is on, and there bytes that sort like it."""
+    side = [(s > MOST) - (s < -MOST - 1) for s in scores]
+    return {"score": pd.array([None if d else s for s, d in zip(scores, side)], dtype="Int64"), "side": side,
+            "beyond": [(s + (1 << SCORE_BITS)).to_bytes(SCORE_BITS // 8 + 1, "big") if d else b"" for s, d in zip(scores, side)]}
+
+
 def matrix(vectors: pd.Series, width: int) -> np.ndarray:
     """Integer matrix, short vectors filled up with zeros."""
     lengths = vectors.map(len).to_numpy()
@@ -110,7 +150,7 @@ class Index:
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, index_label: str = "impact-index") -> DataFrame:
-    """(query_id, rank, vec_id, score) of two tables (vec_id, v) from :func:`integer_vectors`.
+    """(query_id, rank, vec_id, score) of two tables (vec_id, v, scale) from :func:`integer_vectors`.
 
     The index is a table of blocks in the shared folder; the number of blocks follows the number of rows.
     """
@@ -124,32 +164,35 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, index_label: s
     def packed(rows: DataFrame, n: int, name: str) -> DataFrame:
         # Hashing the content spreads rows evenly over blocks; equal rows are few enough to share one.
         salted = rows.withColumn(name, F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
-        return salted.groupBy(name).agg(F.collect_list(F.struct("vec_id", "v")).alias(f"{name}_rows"))
+        return salted.groupBy(name).agg(F.collect_list(F.struct("vec_id", "v", "scale")).alias(f"{name}_rows"))
 
     index = materialize(packed(candidates, blocks, "block"), index_label)
     query_blocks = packed(queries, groups, "batch").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: tuple[int, Index] | None = None
+        kept = None
         for frame in frames:
             for block, rows, asked in zip(frame["block"], frame["block_rows"], frame["batch_rows"]):
                 if kept is None or kept[0] != block:
-                    ids = np.array([r["vec_id"] for r in rows], np.int64)
-                    vectors = matrix(pd.Series([r["v"] for r in rows]), width)
-                    kept = block, Index(ids, vectors)
-                out = []
-                for r in asked:
-                    query = matrix(pd.Series([r["v"]]), width)[0]
-                    biggest = max(1, int(np.abs(kept[1].vectors).max(initial=0))) * max(1, int(np.abs(query).max(initial=0)))
-                    if biggest * max(width, 1) >= 1 << 53:
-                        raise OverflowError("scores need more than 53 bits")
-                    place, scores = kept[1].search(query, r["vec_id"], k)
-                    out.append(pd.DataFrame({"query_id": r["vec_id"], "vec_id": kept[1].ids[place], "score": scores}))
-                yield pd.concat(out).astype("int64")
+                    ids, vectors, large = split_by_size(rows, width)
+                    kept = block, Index(ids, vectors), large
+                _, index, large = kept
+                ids, queries, huge = split_by_size(asked, width)
+                found: list[tuple[int, int, int]] = []
+                for own, query in zip(ids.tolist(), queries):
+                    place, scores = index.search(query, own, k)
+                    found += zip([own] * len(place), index.ids[place].tolist(), scores.tolist())
+                    if large:
+                        found += [(own, i, s) for i, s in exact_best(query.tolist(), own, large, k)]
+                if huge:
+                    everything = [*zip(index.ids.tolist(), index.vectors.tolist()), *large]
+                    found += [(own, i, s) for own, query in huge for i, s in exact_best(query, own, everything, k)]
+                out = pd.DataFrame({"query_id": [f[0] for f in found], "vec_id": [f[1] for f in found], **score_columns([f[2] for f in found])})
+                yield out.astype({"query_id": "int64", "vec_id": "int64", "side": "int32"})
 
     # A fixed number of partitions, because adaptive execution would put several blocks into one task by their bytes.
     met = query_blocks.join(index.repartition(partitions_for(spark, blocks, 1), "block"), "block")
-    best = met.select("block", "block_rows", "batch_rows").mapInPandas(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = met.select("block", "block_rows", "batch_rows").mapInPandas(search, "query_id long, vec_id long, score long, side int, beyond binary")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("side"), F.desc("score"), F.desc("beyond"), "vec_id"))
     ranked = best.withColumn("rank", rank).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

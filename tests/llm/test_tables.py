@@ -4,6 +4,7 @@ import math
 import os
 import random
 import zipfile
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,7 +212,7 @@ def test_top_k_matches_brute_force(spark, monkeypatch, block, rescore, step):
     rows += [(400, None), (401, [None] * 16), (402, [float("nan")] * 16), (403, [float("inf")] + [0.0] * 15), (500, rows[3][1][:5]), (600, []), (None, rows[1][1]), (100, rows[7][1])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     vectors = topk.integer_vectors(frame, F.col("vec_id"), F.col("embedding"))
-    ints = [(r["vec_id"], r["v"]) for r in vectors.collect()]
+    ints = [(r["vec_id"], topk.integers(r["v"], 1024)) for r in vectors.collect()]
     assert {i for i, _ in ints} & {400, 401, 402, 403, None} == set()
     got = topk.top_k(vectors, vectors.where("vec_id % 50 = 0 and vec_id <> 100"), 10).collect()
     want = []
@@ -230,6 +231,24 @@ def test_top_k_of_few_rows(spark):
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).collect() == []
 
 
+def test_top_k_with_components_of_any_size(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.gauss(0, 0.1) for _ in range(4)]) for i in range(60)]
+    rows += [(100 + i, [rng.choice((-1, 1)) * 10.0**e, rng.gauss(0, 1), 2.0**-30, 0.0]) for i, e in enumerate((5, 8, 14, 15, 100, 300, 307, 308, 308))]
+    rows += [(200, [1.7976931348623157e308] * 4), (201, [-1e300, 1e300, 1e-300, 5.0]), (202, [float(2**53 + 2), 0.5, 0.25, -0.1])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    vectors = topk.integer_vectors(frame, F.col("vec_id"), F.col("embedding"))
+    got = topk.top_k(vectors, vectors.where("vec_id % 20 = 0 or vec_id > 99"), 7).collect()
+    ints = {i: [math.floor(Fraction(x) * 1024) for x in v] for i, v in rows}
+    want = []
+    for q in ints:
+        if q % 20 and q <= 99:
+            continue
+        best = sorted((-sum(a * b for a, b in zip(ints[q], v)), i) for i, v in ints.items() if i != q)[:7]
+        want += [(q, n + 1, i, -s if -(1 << 63) <= -s < 1 << 63 else None) for n, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 # --- pipeline ---------------------------------------------------------------------------------------------
 
 
