@@ -5,8 +5,9 @@ script in the learned texts. Each of them scores the word by the log probabiliti
 edges included. The Viterbi path over all words of the text pays ``SWITCH`` for every change of language, and its runs
 are the labelled spans.
 
-The classifier is fitted on at most about ``sample`` texts per language, chosen by a hash of the id, and keeps at most
-``features`` trigrams; every text is labelled as a whole.
+The classifier is fitted on at most about ``sample`` texts per language, chosen by a hash of the id, and keeps all their
+trigrams; every text is labelled as a whole. A word in a script belongs to a language of this script, so a single foreign
+word in another script is a span of its own.
 
 Nulls: texts without letters or null have no spans. Rows with a null language or a null text are not learned from.
 Words in a script that no language uses score nothing and take the label of their neighbours; a text of such words only
@@ -28,6 +29,8 @@ from isobar.llm.common import buffers, pieces, release
 SWITCH = 14.0
 #: A word cannot speak against a language by more than this.
 FLOOR = 10.0
+#: Score of a language for a word in a script that it does not use: worse than any number of switches.
+EXCLUDED = -1e9
 #: Least share of a language's letters in a script for the language to be a candidate for its words.
 SCRIPT_SHARE = 0.01
 GROUP_BYTES = 4 << 20
@@ -130,7 +133,7 @@ class Model:
     frequent: int
 
     def score(self, words: Words) -> np.ndarray:
-        """Per word and language, 0 for the best and not below -FLOOR."""
+        """Per word and language, 0 for the best; not below -FLOOR for candidates, EXCLUDED for all others."""
         n, k = len(words.doc), len(self.languages)
         if not n:
             return np.zeros((0, k), np.float32)
@@ -138,9 +141,10 @@ class Model:
         at[self.keys[at] != words.grams] = len(self.keys)
         total = np.add.reduceat(self.scores[at], words.first_char, axis=0)
         allowed = self.candidates[words.script]
-        total[~allowed] = -1e9
+        total[~allowed] = EXCLUDED
         total -= total.max(axis=1, keepdims=True)
         np.maximum(total, -FLOOR, out=total)
+        total[~allowed] = EXCLUDED  # no path of a text goes through these
         none = ~allowed.any(axis=1)
         total[none] = 0
         total[none, self.frequent] = 1e-3  # decides only where nothing else speaks
@@ -226,8 +230,8 @@ def spans_udf(model: Model, switch: float = SWITCH):
     return label
 
 
-def train(texts: DataFrame, doc_id: Column, text: Column, lang: Column, sample: int = 3000, features: int = 200_000, seed: int = 5) -> Model:
-    """Fit on labelled rows; ``sample`` bounds the expected number of texts per language, ``features`` the trigrams."""
+def train(texts: DataFrame, doc_id: Column, text: Column, lang: Column, sample: int = 3000, seed: int = 5) -> Model:
+    """Fit on labelled rows; ``sample`` bounds the expected number of texts per language, all of whose trigrams are kept."""
     known = texts.select(doc_id.alias("doc_id"), text.alias("text"), lang.alias("lang")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     languages = sorted(sizes)
@@ -254,7 +258,7 @@ def train(texts: DataFrame, doc_id: Column, text: Column, lang: Column, sample:
                     )
 
     grams = chosen.select("text", "lang").mapInArrow(count, "lang int, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rows = grams.orderBy(F.desc("n"), "gram", "lang").limit(features).toPandas()
+    rows = grams.toPandas()  # the trigrams of a sample of bounded size
     keys = np.unique(rows["gram"].to_numpy(np.int64).view(np.uint64))
     counts = np.zeros((len(keys) + 1, len(languages)))
     counts[np.searchsorted(keys, rows["gram"].to_numpy(np.int64).view(np.uint64)), rows["lang"]] = rows["n"]

@@ -203,6 +203,18 @@ def test_spans_of_mixed_text(spark):
     assert got[6]["lang_pred"] == "bb" and got[6]["spans"][-1]["end"] == 20000
 
 
+def test_words_of_another_script_are_spans_of_their_own(spark):
+    docs = spark.createDataFrame(labelled(), "doc_id long, text string, lang string")
+    model = langid.train(docs, F.col("doc_id"), F.col("text"), F.col("lang"))
+    rows = [(1, "the and привет that with"), (2, "привет the как дела"), (3, "the and that with привет как this the and"), (4, "the 漢字 and")]
+    got = langid.label_spans(spark.createDataFrame(rows, "doc_id long, text string"), F.col("text"), model).collect()
+    spans = {r["doc_id"]: [(s["start"], s["end"], s["lang"]) for s in r["spans"]] for r in got}
+    assert spans[1] == [(0, 2, "aa"), (2, 3, "cc"), (3, 5, "aa")]
+    assert spans[2] == [(0, 1, "cc"), (1, 2, "aa"), (2, 4, "cc")]
+    assert spans[3] == [(0, 4, "aa"), (4, 6, "cc"), (6, 9, "aa")]
+    assert spans[4] == [(0, 3, "aa")]  # a script that no language uses follows its neighbours
+
+
 def test_viterbi_matches_enumeration():
     rng = np.random.default_rng(4)
     scores = rng.normal(size=(9, 3)).astype(np.float32)
