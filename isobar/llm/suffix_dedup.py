@@ -203,10 +203,17 @@ def _rows(ids, keys, start, length, offset, core) -> pa.RecordBatch:
 
 
 def _compare_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans (offset -1) of parts with an earlier equal one, and the parts (length: starts) whose core occurs in others."""
+    """Spans (offset -1) of parts with an earlier equal one, and the parts (length: starts) whose core occurs in others.
+
+    Chunks come in the order of their buckets; a core lies in one bucket, so one bucket at a time is held.
+    """
     columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+    current = None
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(1, 9))):
+        for bucket, *row in zip(*(batch.column(i).to_pylist() for i in range(9))):
+            if bucket != current:
+                yield from _compare_bucket(columns)
+                columns, current = [[] for _ in range(7)], bucket
             raw = row[1:]
             if row[0]:
                 ids, keys, start, length = (np.frombuffer(x, t) for x, t in zip(raw, (np.int64, np.int64, np.int32, np.int32)))
@@ -219,10 +226,16 @@ def _compare_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                       np.frombuffer(raw[5], U64), np.frombuffer(raw[6], U64))
             for column, value in zip(columns, values):
                 column.append(value)
+    yield from _compare_bucket(columns)
+    release()
+
+
+def _compare_bucket(columns: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
     if not columns[0]:
         return
     ids, keys, start, count, offset, whole, core = (np.concatenate(c) for c in columns)
-    del columns
+    for column in columns:
+        column.clear()
     order = np.argsort(whole, kind="stable")
     first, size = runs(whole[order])
     tied = np.repeat(size > 1, size)
@@ -239,8 +252,6 @@ def _compare_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     shared = only[np.repeat(size > 1, size)]
     # Single starts have their whole string as core; another part with it would be a collision, which sorting settles.
     yield _rows(ids[shared], keys[shared], start[shared], count[shared], offset[shared], as_signed(core[shared]))
-    del ids, keys, start, count, offset, whole, core, order, tied, some, lead, again, covered, spans, only, shared
-    release()
 
 
 # --- deep-shallow sorting ---------------------------------------------------------------------------------
@@ -449,7 +460,7 @@ def repeated_spans(rows: DataFrame) -> DataFrame:
     size = input_bytes(rows, "text")
     n = partitions_for(spark, size, 32e6)
     frequent = frequent_cores(rows)
-    chunks = rows.mapInArrow(_fingerprints(8 * n, frequent), CHUNK_DDL).repartition(n, "bucket")
+    chunks = rows.mapInArrow(_fingerprints(8 * n, frequent), CHUNK_DDL).repartition(n, "bucket").sortWithinPartitions("bucket")
     compared = materialize(chunks.mapInArrow(_compare_parts, ROW_DDL), "suffix-parts")
     asked = compared.where("offset >= 0").groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("start", F.col("length").alias("count"), "offset", "core")).alias("asked")
