@@ -109,3 +109,46 @@ def test_copies_are_cut_inside_the_task(spark):
     assert emitted(copies, far) == [["i000", "i001", "i002", "i003"], []]  # the task knows four nearer rows
     assert emitted(block(["a", "b"], [1.0] * 3 + [3.0] * 3, q_bounds=[2.0])) == [["a"]]
     assert emitted(block(["a"], [1.0] * 3, q_visits=[[2, 3]])) == [[]] and emitted(block(["a"], [1.0] * 3, q_visits=[[1]])) == [["a"]]
+
+
+def test_only_the_best_rows_leave_a_part(spark):
+    """However many blocks a query meets, k rows leave, and the number of parts does not follow the queries."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    queries, archive = rng.normal(size=(7, 3)).astype(np.float32), rng.normal(size=(2000, 3)).astype(np.float32)
+    archive = archive[np.argsort(-(archive**2).sum(axis=1))]  # the far ones first, so that every block has better rows
+    schema = pa.schema(
+        [("part", pa.int32()), ("met", pa.int32()), ("ids", pa.list_(pa.string())), ("grps", pa.list_(pa.string())), ("vecs", pa.list_(pa.float32())),
+         ("bounds", pa.list_(pa.float64())), ("visits", pa.list_(pa.list_(pa.int32()))), ("cells", pa.list_(pa.int32()))]
+    )
+
+    def row(met, name, values):
+        ids = [f"{name}{i:04d}" for i in range(len(values))]
+        return {"part": 3, "met": met, "ids": ids, "grps": [None] * len(ids), "vecs": values.ravel().tolist(),
+                "bounds": None if met else [float("inf")] * len(ids), "visits": None, "cells": [0]}
+
+    rows = [row(0, "q", queries)]
+    rows += [row(1, f"b{i:02d}-", archive[100 * i : 100 * i + 100]) for i in range(20)]
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 4], schema=schema) for i in range(0, len(rows), 4)]
+    out = pa.Table.from_batches(list(knn._meet(3, np.float32, 5, True, np.zeros(3))(iter(batches)))).to_pylist()
+    assert len(out) == 7 * 5
+    for i, q in enumerate(queries):
+        best = np.sort(((archive - q).astype(np.float64) ** 2).sum(axis=1))[:5]
+        assert np.allclose(sorted(r["distance"] for r in out if r["query_id"] == f"q{i:04d}"), best)
+    assert knn._parts(100_000, 12) == knn._parts(600_000, 12) == 36 and knn._parts(10, 12) == 1
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_near_rows_far_from_the_origin(spark, kind):
+    """Single precision would lose these distances; the error margin has to notice."""
+    rng = np.random.default_rng(6)
+    vectors = np.concatenate([1000 + rng.integers(0, 9, (150, 4)) / 64, rng.normal(size=(150, 4)) * 1000, np.full((9, 4), 1000.0)])
+    vectors = vectors.astype(np.float32 if kind == "float" else np.float64)
+    ids, groups = [f"i{i:03d}" for i in range(len(vectors))], [f"g{i % 4}" for i in range(len(vectors))]
+    rows = [(i, v.tolist(), g) for i, v, g in zip(ids, vectors, groups)]
+    df = spark.createDataFrame(rows, f"candidate_id string, vector array<{kind}>, group_id string")
+    got = {}
+    for r in VectorIndex.fit(df, cells=5, block_rows=40).search(df, 6, id_col="candidate_id", broadcast_bytes=0).orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["candidate_id"])
+    assert got == brute(ids, vectors, groups, 6)
