@@ -12,6 +12,10 @@ query skip a cell: every member of the cell lies at least ``d(query, pivot) - ra
 the k-th nearest eligible sample vector bounds the true k-th distance from above. A cell that
 cannot beat the bound is skipped, all others are visited, so results are complete.
 
+A cell is packed from its pivot outwards, so a block is a shell: the same inequality holds for its own
+two distances. Blocks arrive nearest cells first, and a query passes by every shell that cannot beat the
+k-th distance it has met by then.
+
 Parts are ranges over (home cell, hash), so the queries of a hot cell are spread over several. Blocks
 stream through a part; no task ever holds a whole cell.
 """
@@ -171,7 +175,7 @@ class VectorIndex:
         )
         if chosen.cells > SORTED_PACKING_CELLS:
             # Range partitioning on (cell, hash) keeps cells together yet splits a hot cell.
-            located = located.repartitionByRange("cell", F.xxhash64("id")).sortWithinPartitions("cell")
+            located = located.repartitionByRange("cell", F.xxhash64("id")).sortWithinPartitions("cell", "gap")
         packed = located.mapInArrow(
             _pack_archive(width, dtype, block_rows),
             f"cell int, n int, a_ids array<string>, a_grps array<string>, a_vecs array<{element}>, "
@@ -225,6 +229,7 @@ class VectorIndex:
             "ids": self.probes.ids,
             "groups": self.probes.groups,
             "vectors": self.probes.vectors,
+            "cells": self.probes.cells,
             "radii": self.radii,
             "k": k,
             "exclude_self": exclude_self,
@@ -241,14 +246,14 @@ class VectorIndex:
             routed.repartitionByRange(parts, "home", F.xxhash64("id"))
             .sortWithinPartitions("home")
             .mapInArrow(
-                _pack_queries(self.dimension, dtype, self.block_rows, self.backend == "ivf"),
+                _pack_queries(self.dimension, dtype, self.block_rows, self.backend == "ivf", shared),
                 f"part int, ids array<string>, grps array<string>, vecs array<{self.element}>, bounds array<double>, "
                 "visits array<array<int>>, cells array<int>",
             )
         )
         packed = materialize(packed, "query-blocks")
         # At most parts x cells rows.
-        wanted = packed.select("part", F.explode("cells").alias("cell")).distinct()
+        wanted = packed.select("part", F.posexplode("cells").alias("step", "cell")).groupBy("part", "cell").agg(F.min("step").alias("step"))
         size = self.row_count * self.dimension * np.dtype(dtype).itemsize
         if size <= broadcast_bytes:
             visits = wanted.repartition(spark.sparkContext.defaultParallelism).join(F.broadcast(self.blocks), "cell")
@@ -257,21 +262,24 @@ class VectorIndex:
         nothing = F.lit(None)
         copies = visits.select(
             "part",
-            F.lit(1).alias("met"),
+            (F.col("step") + 1).alias("met"),
             F.col("a_ids").alias("ids"),
             F.col("a_grps").alias("grps"),
             F.col("a_vecs").alias("vecs"),
             nothing.cast("array<double>").alias("bounds"),
             nothing.cast("array<array<int>>").alias("visits"),
             F.array("cell").alias("cells"),
+            F.array("near", "far").alias("shell"),
+        )
+        asked = packed.select(
+            "part", F.lit(0).alias("met"), "ids", "grps", "vecs", "bounds", "visits", "cells", nothing.cast("array<double>").alias("shell")
         )
-        asked = packed.select("part", F.lit(0).alias("met"), "ids", "grps", "vecs", "bounds", "visits", "cells")
         pairs = (
             asked.unionByName(copies)
             .repartitionById(parts, F.col("part"))
             .sortWithinPartitions("part", "met")
             .mapInArrow(
-                _meet(self.dimension, dtype, k, exclude_self, self.probes.vectors.mean(axis=0, dtype=np.float64)),
+                _meet(self.dimension, dtype, k, exclude_self, self.probes.vectors.mean(axis=0, dtype=np.float64), shared),
                 "query_id string, candidate_id string, group_id string, distance double",
             )
         )
@@ -349,7 +357,8 @@ def _pack_archive(dimension: int, dtype, block_rows: int):
             matrix = _matrix(_column(batch, "vec"), dimension, dtype)
             ids, groups = _labels(_column(batch, "id")), _labels(_column(batch, "grp"))
             gaps = _column(batch, "gap").to_numpy()
-            pieces = list(_runs(_column(batch, "cell").to_numpy(), block_rows))
+            outwards = np.argsort(gaps, kind="stable")
+            pieces = [(c, outwards[p]) for c, p in _runs(_column(batch, "cell").to_numpy()[outwards], block_rows)]
             order = np.concatenate([p for _, p in pieces])
             sizes = np.array([len(p) for _, p in pieces])
             yield pa.RecordBatch.from_arrays(
@@ -417,8 +426,9 @@ def _route(shared, dimension: int, dtype):
     return run
 
 
-def _pack_queries(dimension: int, dtype, block_rows: int, own_cells: bool):
-    """Blocks of queries with the cells that any of them visits; ``own_cells`` keeps the list of each query.
+def _pack_queries(dimension: int, dtype, block_rows: int, own_cells: bool, shared):
+    """Blocks of queries with the cells that any of them visits, those near the home cell first; ``own_cells`` keeps the
+    list of each query.
 
     The task is the part.
     """
@@ -426,6 +436,7 @@ def _pack_queries(dimension: int, dtype, block_rows: int, own_cells: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
+        pivots = shared.value["vectors"][: shared.value["cells"]].astype(np.float64)
         for batch in batches:
             if batch.num_rows == 0:
                 continue
@@ -434,10 +445,11 @@ def _pack_queries(dimension: int, dtype, block_rows: int, own_cells: bool):
             bounds = _column(batch, "bound").to_numpy()
             cells = _column(batch, "cells")
             flat, offsets = cells.flatten().to_numpy(), cells.offsets.to_numpy() - cells.offsets[0].as_py()
-            pieces = [p for _, p in _runs(_column(batch, "home").to_numpy(), block_rows)]
+            homes, pieces = zip(*_runs(_column(batch, "home").to_numpy(), block_rows))
             order = np.concatenate(pieces)
             sizes = np.array([len(p) for p in pieces])
             wanted = [np.unique(np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in p])) for p in pieces]
+            wanted = [w[np.argsort(((pivots[w] - pivots[h]) ** 2).sum(axis=1), kind="stable")] for h, w in zip(homes, wanted)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.full(len(sizes), part, np.int32)),
@@ -481,6 +493,7 @@ class _Side:
         self.order, self.group = order, group[order]
         self.ids, self.grps = _labels(row["ids"])[order], _labels(row["grps"])[order]
         self.raw = row["vecs"].to_numpy(zero_copy_only=False).reshape(-1, dimension)[order]
+        self.centre = centre
         moved = self.raw.astype(np.float64) - centre
         self.squares = np.einsum("ij,ij->i", moved, moved)
         self.norms = np.sqrt(self.squares)
@@ -512,54 +525,86 @@ class _Asked(_Side):
         if self.visits is not None:
             self.visits = [self.visits[i] for i in self.order]
         self.cells = set(row["cells"].to_pylist())
+        self.away: tuple = (None, None, None)
         self.left = np.zeros(0, np.int64)
         self.distance = np.zeros(0)
         self.found = np.zeros((2, 0), object)
         self.fresh: list = []
         self.waiting = 0
 
-    def meet(self, cell: int, other: _Side) -> None:
-        """The matrix product only preselects: everything within its error margin of the k-th value is measured again
-        by subtracting in the element type and summing squares in double."""
+    def reached(self, cell: int, pivot: np.ndarray | None, shell: pa.Array | None) -> np.ndarray:
+        """Places of the queries for which a block of ``cell`` may hold a row within their k-th distance.
+
+        All rows of the block lie between the two distances of ``shell`` from the pivot. What rounding can do to the
+        distances from the pivot is given away.
+        """
         if cell not in self.cells:
+            return np.zeros(0, np.int64)
+        if shell is None:
+            return np.arange(len(self.ids))
+        near, far = shell.to_pylist()
+        if self.away[0] != cell:
+            moved = pivot - self.centre
+            squared = self.squares + moved @ moved - 2.0 * (self._moved @ moved)
+            lost = math.sqrt((len(pivot) + 8) * 2.0**-52)
+            slack = lost * (self.norms + math.sqrt(moved @ moved) + 2.0 * math.sqrt(pivot @ pivot))
+            self.away = cell, np.sqrt(np.maximum(squared, 0.0)), slack
+        _, gap, slack = self.away
+        slack = slack + math.sqrt((self.raw.shape[1] + 8) * 2.0**-52) * far
+        limit = np.sqrt(np.minimum(self.bound, self.kth)) * (1.0 + 1e-5)
+        return np.flatnonzero(~(np.maximum(gap - far, near - gap) - slack > limit))
+
+    def meet(self, cell: int, other: _Side, who: np.ndarray | None = None) -> None:
+        """The matrix product only preselects: everything within its error margin of the k-th value is measured again
+        by subtracting in the element type and summing squares in double. ``who`` names the queries that take part."""
+        if who is None:
+            who = self.reached(cell, None, None)
+        if not len(who):
             return
-        limit = np.minimum(self.bound, self.kth)
-        reach = (self.norms + other.norms.max()) ** 2
-        width = self.raw.shape[1] + 8
+        some = len(who) < len(self.ids)
+        asked = (lambda values: values[who]) if some else (lambda values: values)
+        raw, squares, norms, named = asked(self.raw), asked(self.squares), asked(self.norms), asked(self.named)
+        group, ids = asked(self.group), asked(self.ids)
+        limit = np.minimum(asked(self.bound), asked(self.kth))
+        reach = (norms + other.norms.max()) ** 2
+        width = raw.shape[1] + 8
         error, dtype = width * 2.0**-23 * reach, np.float32
         if reach.max() > 1e30 or error.max() > 0.01 * np.median(limit):
             error, dtype = width * 2.0**-52 * reach, np.float64
 
         def near(limit: np.ndarray) -> np.ndarray:
-            return np.flatnonzero(product <= (limit * (1.0 + 1e-5) + error - self.squares).astype(dtype)[:, None])
+            return np.flatnonzero(product <= (limit * (1.0 + 1e-5) + error - squares).astype(dtype)[:, None])
 
-        product = self.factor(dtype, True) @ other.factor(dtype, False).T
+        product = asked(self.factor(dtype, True)) @ other.factor(dtype, False).T
         area = product.size // 64
-        for group in self.runs.keys() & other.runs.keys():
-            (a, b), (c, d) = self.runs[group], other.runs[group]
+        for code in self.runs.keys() & other.runs.keys():
+            (a, b), (c, d) = self.runs[code], other.runs[code]
+            if some:
+                a, b = np.searchsorted(who, (a, b))
             if (b - a) * (d - c) >= area:
                 product[a:b, c:d] = np.inf
         if self.visits is not None:
-            product[[cell not in own for own in self.visits]] = np.inf
+            product[[cell not in self.visits[i] for i in who]] = np.inf
         hits = near(limit)
         left, right = np.divmod(hits, product.shape[1])
-        out = (self.group[left] == other.group[right]) & (self.group[left] >= 0)
+        out = (group[left] == other.group[right]) & (group[left] >= 0)
         if self.exclude_self:
-            out |= (self.ids[left] == other.ids[right]) & self.named[left]
+            out |= (ids[left] == other.ids[right]) & named[left]
         out |= np.isinf(product.ravel()[hits])
-        if len(hits) - out.sum() > 2 * self.k * len(self.ids) and product.shape[1] > self.k:
+        if len(hits) - out.sum() > 2 * self.k * len(ids) and product.shape[1] > self.k:
             product.ravel()[hits[out]] = np.inf
-            kth = np.partition(product, self.k - 1, axis=1)[:, self.k - 1] + self.squares + error
+            kth = np.partition(product, self.k - 1, axis=1)[:, self.k - 1] + squares + error
             hits = near(np.minimum(limit, kth))
             left, right = np.divmod(hits, product.shape[1])
             out = np.isinf(product.ravel()[hits])
         left, right = left[~out], right[~out]
         distance = np.empty(len(left))
-        step = max(1, 8_000_000 // self.raw.shape[1])
+        step = max(1, 8_000_000 // raw.shape[1])
         for start in range(0, len(left), step):
             piece = slice(start, start + step)
-            gap = other.raw[right[piece]] - self.raw[left[piece]]
+            gap = other.raw[right[piece]] - raw[left[piece]]
             distance[piece] = np.einsum("ij,ij->i", gap, gap, dtype=np.float64)
+        left = who[left]
         keep = distance <= self.kth[left]
         left, right, distance = left[keep], right[keep], distance[keep]
         self.fresh.append((left, distance, np.stack([other.ids[right], other.grps[right]])))
@@ -627,11 +672,15 @@ def _score(dimension: int, dtype, k: int, exclude_self: bool):
     return run
 
 
-def _meet(dimension: int, dtype, k: int, exclude_self: bool, centre: np.ndarray):
-    """Best rows of every query. The query blocks of a part come first, then the archive blocks they visit."""
+def _meet(dimension: int, dtype, k: int, exclude_self: bool, centre: np.ndarray, shared=None):
+    """Best rows of every query. The query blocks of a part come first, then the archive blocks they visit.
+
+    Blocks with a shell need the pivots of ``shared``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, asked, codes = None, [], {}
+        pivots = None if shared is None else shared.value["vectors"][: shared.value["cells"]].astype(np.float64)
         for batch in batches:
             for i in range(batch.num_rows):
                 here = _column(batch, "part")[i].as_py()
@@ -643,9 +692,13 @@ def _meet(dimension: int, dtype, k: int, exclude_self: bool, centre: np.ndarray)
                 if not _column(batch, "met")[i].as_py():
                     asked.append(_Asked(row, dimension, centre, codes, k, exclude_self))
                     continue
-                other = _Side(row, dimension, centre, codes)
+                cell, other = row["cells"][0].as_py(), None
+                pivot, shell = (None, None) if pivots is None else (pivots[cell], _column(batch, "shell")[i].values)
                 for block in asked:
-                    block.meet(row["cells"][0].as_py(), other)
+                    who = block.reached(cell, pivot, shell)
+                    if len(who):
+                        other = other or _Side(row, dimension, centre, codes)
+                        block.meet(cell, other, who)
         for block in asked:
             yield block.best()
 

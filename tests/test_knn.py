@@ -152,3 +152,37 @@ def test_near_rows_far_from_the_origin(spark, kind):
     for r in VectorIndex.fit(df, cells=5, block_rows=40).search(df, 6, id_col="candidate_id", broadcast_bytes=0).orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append(r["candidate_id"])
     assert got == brute(ids, vectors, groups, 6)
+
+
+def test_shells_beyond_the_kth_distance_are_passed_by(spark, monkeypatch):
+    """Once a query has met k near rows, blocks that cannot hold nearer ones are not compared with it."""
+    rng = np.random.default_rng(8)
+    vectors = np.concatenate([rng.normal(size=(400, 3)) * 0.1 + 10.0 * i for i in range(6)]).astype(np.float32)
+    ids, groups = [f"i{i:04d}" for i in range(len(vectors))], [f"g{i % 3}" for i in range(len(vectors))]
+    df = frame(spark, ids, vectors, groups).repartition(1)
+    index = VectorIndex.fit(df, cells=12, probes=12, block_rows=20)  # too few probes for a bound that skips a cell
+    got, seen, plain = {}, [], VectorIndex.search
+    for r in plain(index, df, 15, id_col="candidate_id").orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["candidate_id"])
+    assert got == brute(ids, vectors, groups, 15)
+
+    near, far = (np.full((30, 3), x, np.float32) for x in (0.0, 9.0))
+    names = {"part": 0, "visits": None, "grps": [None] * 30}
+    rows = [{**names, "met": 0, "ids": [f"q{i}" for i in range(30)], "vecs": near.ravel(), "bounds": [np.inf] * 30, "cells": [0, 1], "shell": None}]
+    rows += [{**names, "met": 1, "ids": [f"a{i}" for i in range(30)], "vecs": near.ravel(), "bounds": None, "cells": [0], "shell": [0.0, 0.0]}]
+    rows += [{**names, "met": 2, "ids": [f"b{i}" for i in range(30)], "vecs": far.ravel(), "bounds": None, "cells": [1], "shell": [0.0, 0.0]}]
+    import pyarrow as pa
+
+    schema = pa.schema(
+        [("part", pa.int32()), ("met", pa.int32()), ("ids", pa.list_(pa.string())), ("grps", pa.list_(pa.string())), ("vecs", pa.list_(pa.float32())),
+         ("bounds", pa.list_(pa.float64())), ("visits", pa.list_(pa.list_(pa.int32()))), ("cells", pa.list_(pa.int32())), ("shell", pa.list_(pa.float64()))]
+    )
+
+    class Shared:
+        value = {"vectors": np.stack([near[0], far[0]]), "cells": 2}
+
+    meet = knn._Asked.meet
+    monkeypatch.setattr(knn._Asked, "meet", lambda self, cell, *rest: (seen.append(cell), meet(self, cell, *rest))[1])
+    run = knn._meet(3, np.float32, 5, True, np.zeros(3), Shared)
+    out = pa.Table.from_batches(list(run(iter([pa.RecordBatch.from_pylist(rows, schema=schema)])))).to_pylist()
+    assert seen == [0] and len(out) == 150 and {r["distance"] for r in out} == {0.0}
