@@ -39,6 +39,8 @@ from isobar.session import materialize
 MAX_PROBES = 4096
 MAX_CELLS = 4096
 ROWS_PER_CELL = 4096
+# The bound comes from one row in so many, so asking it stays a small part of the comparisons.
+ROWS_PER_PROBE = 64
 # Blocks are copied to the parts by a join in which an index up to this many bytes is broadcast; with a larger one the
 # list of visits is.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -47,6 +49,8 @@ SORTED_PACKING_CELLS = 64
 LEAST_PER_PART = 256
 MOST_PER_PART = 65536
 PARTS_PER_CORE = 3
+# Queries whose distances from all probes a task holds at once.
+ROUTED_ROWS = 1024
 
 
 def _matrix(values: pa.ListArray, dimension: int, dtype) -> np.ndarray:
@@ -154,7 +158,7 @@ class VectorIndex:
         if row_count == 0:
             raise ValueError("cannot index an empty archive")
         cells = cells or max(1, min(MAX_CELLS, math.ceil(row_count / ROWS_PER_CELL)))
-        probes = min(MAX_PROBES, max(probes, cells))
+        probes = min(MAX_PROBES, max(probes, cells, math.ceil(row_count / ROWS_PER_PROBE)))
         # A bounded sample (at most MAX_PROBES rows): it steers pruning and never limits results.
         sample = rows.orderBy(F.md5(F.col("id").cast("binary")), "id").limit(probes).collect()
         dtype = np.float32 if element == "float" else np.float64
@@ -380,6 +384,41 @@ def _pack_archive(dimension: int, dtype, block_rows: int):
 def _route(shared, dimension: int, dtype):
     """Home cell and every cell that may hold one of the k nearest, per query."""
 
+    def route(batch: pa.RecordBatch, plan: dict, radii: np.ndarray, k: int, filled: np.ndarray) -> pa.RecordBatch:
+        matrix = _matrix(_column(batch, "vec"), dimension, dtype)
+        squared = _gram_distance(matrix, plan["vectors"])
+        to_pivot = np.sqrt(squared[:, filled])
+        blocked = _same(_labels(_column(batch, "grp")), plan["groups"])
+        if plan["exclude_self"]:
+            blocked |= _same(_labels(_column(batch, "id")), plan["ids"])
+        squared[blocked] = np.inf
+        if squared.shape[1] >= k:
+            bound = np.sqrt(np.partition(squared, k - 1, axis=1)[:, k - 1])
+        else:
+            bound = np.full(len(matrix), np.inf)
+        bound = bound * (1.0 + 1e-5) + 1e-5
+        if plan["nprobe"] is None:
+            closest = np.maximum(to_pivot - radii[filled, 1], radii[filled, 0] - to_pivot)
+            visit = closest <= bound[:, None]
+        else:
+            # The best of the visited cells only, so rows elsewhere do not bound it.
+            bound[:] = np.inf
+            visit = np.zeros(to_pivot.shape, dtype=bool)
+            nearest = np.argsort(to_pivot, axis=1, kind="stable")[:, : plan["nprobe"]]
+            np.put_along_axis(visit, nearest, True, axis=1)
+        picked = [filled[row] for row in visit]
+        return pa.RecordBatch.from_arrays(
+            [
+                _column(batch, "id"),
+                _column(batch, "grp"),
+                _column(batch, "vec"),
+                pa.array(filled[to_pivot.argmin(axis=1)].astype(np.int32)),
+                pa.array(bound),
+                _list_array(np.concatenate(picked).astype(np.int32), [len(p) for p in picked], pa.int32()),
+            ],
+            names=["id", "grp", "vec", "home", "bound", "cells"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = shared.value
         radii, k = plan["radii"], plan["k"]
@@ -387,41 +426,8 @@ def _route(shared, dimension: int, dtype):
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            matrix = _matrix(_column(batch, "vec"), dimension, dtype)
-            squared = _gram_distance(matrix, plan["vectors"])
-            to_pivot = np.sqrt(squared[:, filled])
-            blocked = _same(_labels(_column(batch, "grp")), plan["groups"])
-            if plan["exclude_self"]:
-                blocked |= _same(_labels(_column(batch, "id")), plan["ids"])
-            squared[blocked] = np.inf
-            if squared.shape[1] >= k:
-                bound = np.sqrt(np.partition(squared, k - 1, axis=1)[:, k - 1])
-            else:
-                bound = np.full(len(matrix), np.inf)
-            bound = bound * (1.0 + 1e-5) + 1e-5
-            if plan["nprobe"] is None:
-                closest = np.maximum(to_pivot - radii[filled, 1], radii[filled, 0] - to_pivot)
-                visit = closest <= bound[:, None]
-            else:
-                # The best of the visited cells only, so rows elsewhere do not bound it.
-                bound[:] = np.inf
-                visit = np.zeros(to_pivot.shape, dtype=bool)
-                nearest = np.argsort(to_pivot, axis=1, kind="stable")[:, : plan["nprobe"]]
-                np.put_along_axis(visit, nearest, True, axis=1)
-            picked = [filled[row] for row in visit]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    _column(batch, "id"),
-                    _column(batch, "grp"),
-                    _column(batch, "vec"),
-                    pa.array(filled[to_pivot.argmin(axis=1)].astype(np.int32)),
-                    pa.array(bound),
-                    _list_array(
-                        np.concatenate(picked).astype(np.int32), [len(p) for p in picked], pa.int32()
-                    ),
-                ],
-                names=["id", "grp", "vec", "home", "bound", "cells"],
-            )
+            for start in range(0, batch.num_rows, ROUTED_ROWS):
+                yield route(batch.slice(start, ROUTED_ROWS), plan, radii, k, filled)
 
     return run
 
@@ -573,10 +579,17 @@ class _Asked(_Side):
             error, dtype = width * 2.0**-52 * reach, np.float64
 
         def near(limit: np.ndarray) -> np.ndarray:
-            return np.flatnonzero(product <= (limit * (1.0 + 1e-5) + error - squares).astype(dtype)[:, None])
+            # The least value of a query settles most of them in one reading.
+            limit = (limit * (1.0 + 1e-5) + error - squares).astype(dtype)
+            rows = np.flatnonzero(~(product.min(axis=1) > limit))
+            if 2 * len(rows) > len(product):
+                return np.flatnonzero(product <= limit[:, None])
+            hits = np.flatnonzero(product[rows] <= limit[rows, None])
+            return rows[hits // product.shape[1]] * product.shape[1] + hits % product.shape[1]
 
         product = asked(self.factor(dtype, True)) @ other.factor(dtype, False).T
-        area = product.size // 64
+        # At most 32 runs of one group can be as large as this.
+        area = product.size // 1024
         for code in self.runs.keys() & other.runs.keys():
             (a, b), (c, d) = self.runs[code], other.runs[code]
             if some:
@@ -619,7 +632,9 @@ class _Asked(_Side):
         left = np.concatenate([self.left, *[x[0] for x in self.fresh]])
         distance = np.concatenate([self.distance, *[x[1] for x in self.fresh]])
         found = np.concatenate([self.found, *[x[2] for x in self.fresh]], axis=1)
-        order = np.lexsort((distance, left))
+        order = np.argsort(distance)
+        # Sixteen bits are sorted by their digits.
+        order = order[np.argsort(left[order].astype(np.uint16 if len(self.ids) <= 1 << 16 else np.int64), kind="stable")]
         place = np.arange(len(order)) - np.searchsorted(left[order], left[order], side="left")
         over = np.flatnonzero(place == self.k)
         if (distance[order[over]] == distance[order[over - 1]]).any():

@@ -186,3 +186,51 @@ def test_shells_beyond_the_kth_distance_are_passed_by(spark, monkeypatch):
     run = knn._meet(3, np.float32, 5, True, np.zeros(3), Shared)
     out = pa.Table.from_batches(list(run(iter([pa.RecordBatch.from_pylist(rows, schema=schema)])))).to_pylist()
     assert seen == [0] and len(out) == 150 and {r["distance"] for r in out} == {0.0}
+
+
+def test_routing_holds_few_queries_and_its_sample_grows(spark, monkeypatch):
+    """A task holds distances from the probes for few queries at a time, so the probes may grow with the archive."""
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(400, 6)).astype(np.float32)
+    ids, groups = [f"i{i:03d}" for i in range(400)], [f"g{i % 5}" for i in range(400)]
+    df = frame(spark, ids, vectors, groups).repartition(1)
+    monkeypatch.setattr(knn, "ROWS_PER_PROBE", 2)
+    index = VectorIndex.fit(df, cells=3, probes=10, block_rows=64)
+    assert len(index.probes.ids) == 200
+    got = {}
+    for r in index.search(df, 9, id_col="candidate_id").orderBy("rank").collect():
+        got.setdefault(r["query_id"], []).append(r["candidate_id"])
+    assert got == brute(ids, vectors, groups, 9)
+
+    import pyarrow as pa
+
+    class Shared:
+        value = {"ids": index.probes.ids, "groups": index.probes.groups, "vectors": index.probes.vectors, "cells": 3, "radii": index.radii,
+                 "k": 9, "exclude_self": True, "nprobe": None}
+
+    monkeypatch.setattr(knn, "ROUTED_ROWS", 90)
+    held, gram = [], knn._gram_distance
+    monkeypatch.setattr(knn, "_gram_distance", lambda left, right: (held.append(len(left)), gram(left, right))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(groups), pa.array(vectors.tolist(), pa.list_(pa.float32()))], names=["id", "grp", "vec"])
+    routed = pa.Table.from_batches(list(knn._route(Shared, 6, np.float32)(iter([batch])))).to_pylist()
+    assert held == [90, 90, 90, 90, 40] and [r["id"] for r in routed] == ids
+    kth = [np.sort(((vectors - v).astype(np.float64) ** 2).sum(axis=1)[[g != h for h in groups]])[8] for v, g in zip(vectors, groups)]
+    assert all(r["bound"] ** 2 >= d for r, d in zip(routed, kth))
+
+
+def test_few_queries_of_a_block_have_hits():
+    """Queries whose least value is beyond their limit are not looked at again; the others lose nothing."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(10)
+    queries, archive = rng.normal(size=(50, 4)), rng.normal(size=(300, 4))
+    archive[7], archive[11] = queries[3] + 1e-3, queries[41] - 1e-3
+
+    def row(name, values, groups):
+        return {"ids": pa.array([f"{name}{i:03d}" for i in range(len(values))]), "grps": pa.array(groups), "vecs": pa.array(values.ravel()),
+                "bounds": pa.array(np.full(len(values), 0.01)), "visits": None, "cells": pa.array([0], pa.int32())}
+
+    codes: dict = {}
+    asked = knn._Asked(row("q", queries, ["x"] * 10 + ["y"] * 40), 4, np.zeros(4), codes, 3, True)
+    asked.meet(0, knn._Side(row("a", archive, ["x"] * 9 + ["z"] * 291), 4, np.zeros(4), codes))
+    assert [(r["query_id"], r["candidate_id"]) for r in asked.best().to_pylist()] == [("q041", "a011")]  # a007 has the group of q003
