@@ -8,8 +8,10 @@ vector a lower and an upper bound: what the levels hide, plus the tier's impact
 It stops only when at most ``RESCORE`` vectors have an upper bound that reaches the k-th lower bound, or when all
 segments are done; those vectors are scored exactly from the stored integers. So the result is exact.
 
-A batch of queries meets every index block (the stated query set against all rows, in blocks); each meeting returns at
-most k rows a query.
+The rows of the index are dealt evenly to parts, and so is a copy of the queries (the stated query set against all rows, in
+blocks). A part builds the blocks it can hold in ``PART_BYTES``, and its queries, which arrive after them in batches, meet
+these one by one; the k-th score that earlier blocks gave bounds the search of the next. At most k rows of a query leave a
+part. What is moved grows with the rows and with parts times queries, and no part holds all of either side.
 
 Vectors so large that a sum of products could leave 53 bits stay out of the postings; they are scored with integers of any
 length against every query, and so is everything against a query as large. Ranks are exact for them too.
@@ -25,18 +27,17 @@ import heapq
 import math
 import operator
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from isobar.llm.common import partitions_for
-from isobar.session import materialize
-
 BLOCK_ROWS = 4096
-QUERY_ROWS = 512
+#: What the blocks of a part may take, at ``CELL_BYTES`` for each component of a vector (itself, its posting, its segments).
+PART_BYTES, CELL_BYTES = 96 << 20, 24
 STEP = 32
 TIERS = 12
 RESCORE = 256
@@ -59,17 +60,35 @@ def integers(values: list[float], scale: int) -> list[int]:
     return [int(x) * scale if abs(x) >= 1 << 53 else math.floor(x * scale) for x in values]
 
 
-def split_by_size(rows: list, width: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, list[int]]]]:
-    """Ids and matrix of the rows whose products with one another add up to less than 2^53, and (id, integers) of the rest."""
-    limit = math.isqrt((1 << 53) // max(width, 1)) - 1
-    ids, small, large = [], [], []
-    for r in rows:
-        if max((abs(float(x)) for x in r["v"]), default=0.0) * r["scale"] < limit:
-            ids.append(r["vec_id"])
-            small.append(np.floor(np.asarray(r["v"], np.float64) * r["scale"]).astype(np.int64))
-        else:
-            large.append((r["vec_id"], integers(r["v"], r["scale"])))
-    return np.array(ids, np.int64), matrix(pd.Series(small, dtype=object), width), large
+@dataclass
+class Vectors:
+    """Rows as an integer matrix, if their products with one another add up to less than 2^53; the rest as they came."""
+
+    ids: np.ndarray
+    small: np.ndarray
+    large_ids: np.ndarray
+    large: np.ndarray
+    scales: np.ndarray
+
+    def any_length(self, rows: int = 256) -> Iterator[list[tuple[int, list[int]]]]:
+        """(id, integers) of the large rows, some at a time."""
+        for i in range(0, len(self.large_ids), rows):
+            some = zip(self.large_ids[i : i + rows].tolist(), self.large[i : i + rows].tolist(), self.scales[i : i + rows].tolist())
+            yield [(vec_id, integers(v, scale)) for vec_id, v, scale in some]
+
+
+def read_vectors(batch: pa.RecordBatch, width: int) -> Vectors:
+    """Rows (vec_id, v, scale) of a batch; short vectors are filled up with zeros."""
+    lists = batch.column("v")
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    values = np.zeros((len(lists), width))
+    values[np.arange(width) < lengths[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
+    ids, scales = batch.column("vec_id").to_numpy(), batch.column("scale").to_numpy()
+    # Half of 2^53, less a level: room for the bounds of a search, which lie beyond the products themselves.
+    limit = math.isqrt((1 << 52) // max(width, 1)) - STEP
+    with np.errstate(over="ignore"):
+        small = np.abs(values).max(axis=1, initial=0) * scales < limit
+    return Vectors(ids[small], np.floor(values[small] * scales[small, None]).astype(np.int64), ids[~small], values[~small], scales[~small])
 
 
 def exact_best(query: list[int], own: int, rows: list[tuple[int, list[int]]], k: int) -> list[tuple[int, int]]:
@@ -78,21 +97,13 @@ def exact_best(query: list[int], own: int, rows: list[tuple[int, list[int]]], k:
     return [(i, s) for s, i in heapq.nsmallest(k, scored, key=lambda x: (-x[0], x[1]))]
 
 
-def score_columns(scores: list[int]) -> dict:
+def score_columns(scores: list[int]) -> list[pa.Array]:
     """The score as a long or null, which side of the longs it is on, and there bytes that sort like it."""
     side = [(s > MOST) - (s < -MOST - 1) for s in scores]
-    return {"score": pd.array([None if d else s for s, d in zip(scores, side)], dtype="Int64"), "side": side,
-            "beyond": [(s + (1 << SCORE_BITS)).to_bytes(SCORE_BITS // 8 + 1, "big") if d else b"" for s, d in zip(scores, side)]}
-
-
-def matrix(vectors: pd.Series, width: int) -> np.ndarray:
-    """Integer matrix, short vectors filled up with zeros."""
-    lengths = vectors.map(len).to_numpy()
-    out = np.zeros((len(vectors), width), np.int64)
-    if len(vectors):
-        flat = np.concatenate([np.asarray(v, np.int64) for v in vectors]) if lengths.sum() else np.zeros(0, np.int64)
-        out[np.arange(width) < lengths[:, None]] = flat
-    return out
+    return [
+        pa.array([None if d else s for s, d in zip(scores, side)], pa.int64()), pa.array(side, pa.int32()),
+        pa.array([(s + (1 << SCORE_BITS)).to_bytes(SCORE_BITS // 8 + 1, "big") if d else b"" for s, d in zip(scores, side)], pa.binary()),
+    ]
 
 
 class Index:
@@ -102,45 +113,47 @@ class Index:
         order = np.argsort(ids, kind="stable")  # so that ties go to the smaller id
         self.ids, self.vectors = ids[order], vectors[order]
         levels = np.floor_divide(self.vectors, STEP)
-        self.postings = np.argsort(levels, axis=0, kind="stable").T.astype(np.int32)  # [dimension, place]
-        ordered = np.take_along_axis(levels.T, self.postings, axis=1)
+        postings = np.ascontiguousarray(np.argsort(levels, axis=0, kind="stable").T)  # [dimension, place]
+        ordered = np.take_along_axis(levels.T, postings, axis=1)
+        self.postings = postings.ravel()
         dims, n = ordered.shape
         first = np.ones((dims, n), bool)
         first[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
-        self.dim, self.begin = np.nonzero(first)
-        self.end = np.append(self.begin[1:], n)
-        self.end[np.flatnonzero(self.end == 0)] = n  # the next segment opens the next dimension
-        level = ordered[self.dim, self.begin]
+        self.begin = np.flatnonzero(first)  # in all postings, dimension after dimension
+        self.size = np.diff(np.append(self.begin, first.size))
+        self.dim = self.begin // max(n, 1)
+        level = ordered.ravel()[self.begin]
         self.low, self.high = level * STEP, level * STEP + STEP - 1
 
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the k best vectors, best first."""
+    def search(self, query: np.ndarray, own: int, k: int, least: float = -math.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the k best vectors, best first; those below ``least`` may be missing."""
         n = len(self.ids)
         q = query[self.dim]
         low, high = np.minimum(q * self.low, q * self.high), np.maximum(q * self.low, q * self.high)
         impact = np.maximum(np.abs(low), np.abs(high))
         order = np.argsort(-impact, kind="stable")
-        sizes = (self.end - self.begin)[order]
+        sizes, begins, low = self.size[order], self.begin[order], low[order].astype(np.float64)
         hidden = float(np.abs(query).sum() * (STEP - 1))  # what the levels of all dimensions can hide
         lows, met = np.zeros(n), np.zeros(n)
         allowed = self.ids != own
-        cuts = np.searchsorted(np.cumsum(sizes), np.arange(1, TIERS + 1) * sizes.sum() / TIERS) + 1
+        ends = np.cumsum(sizes)
+        cuts = np.searchsorted(ends, np.arange(1, TIERS + 1) * sizes.sum() / TIERS) + 1
         done, reach = 0, allowed
         for cut in np.minimum(cuts, len(order)):
-            part, size = order[done:cut], sizes[done:cut]
-            if not len(part):
+            if cut == done:
                 continue
-            inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            vec = self.postings[np.repeat(self.dim[part], size), np.repeat(self.begin[part], size) + inner]
-            lows += np.bincount(vec, np.repeat(low[part], size), n)
+            size, start = sizes[done:cut], ends[done - 1] if done else 0
+            at = np.arange(start, ends[cut - 1])
+            at += np.repeat(begins[done:cut] - (ends[done:cut] - size), size)
+            vec = self.postings[at]
+            lows += np.bincount(vec, np.repeat(low[done:cut], size), n)
             met += np.bincount(vec, minlength=n)
             done = cut
             rest = (impact[order[done]] if done < len(order) else 0) * (len(query) - met)
             floors = (lows - rest)[allowed]
-            if len(floors) <= k:
-                continue
-            kth = np.partition(floors, len(floors) - k)[len(floors) - k]
-            reach = allowed & (lows + hidden + rest >= kth)
+            if len(floors) > k:
+                least = max(least, np.partition(floors, len(floors) - k)[len(floors) - k])
+            reach = allowed & (lows + hidden + rest >= least)
             if reach.sum() <= max(RESCORE, 2 * k):
                 break
         place = np.flatnonzero(reach)
@@ -149,50 +162,97 @@ class Index:
         return place[best], scores[best]
 
 
-def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, index_label: str = "impact-index") -> DataFrame:
+class Part:
+    """The blocks of one part, built as its rows arrive."""
+
+    def __init__(self, width: int, block_rows: int):
+        self.width, self.block_rows = width, block_rows
+        self.blocks: list[Index] = []
+        self.large: list[Vectors] = []
+        self.waiting: list[Vectors] = []
+
+    def add(self, rows: Vectors) -> None:
+        if len(rows.large_ids):
+            self.large.append(rows)
+        self.waiting.append(rows)
+        if sum(len(w.ids) for w in self.waiting) >= self.block_rows:
+            self.close(self.block_rows)
+
+    def close(self, least: int = 1) -> None:
+        """Blocks of what waits, as long as it fills ``least`` rows."""
+        ids = np.concatenate([w.ids for w in self.waiting]) if self.waiting else np.zeros(0, np.int64)
+        small = np.concatenate([w.small for w in self.waiting]) if self.waiting else np.zeros((0, self.width), np.int64)
+        at = 0
+        while len(ids) - at >= least:
+            self.blocks.append(Index(ids[at : at + self.block_rows], small[at : at + self.block_rows]))
+            at += self.block_rows
+        none = np.zeros(0, np.int64)
+        self.waiting = [Vectors(ids[at:], small[at:], none, np.zeros((0, self.width)), none)] if at < len(ids) else []
+
+    def best(self, asked: Vectors, k: int) -> list[tuple[int, int, int]]:
+        """(query, vector, score) of the k best rows of the part for each query."""
+        self.close()
+        found = []
+        for own, query in zip(asked.ids.tolist(), asked.small):
+            kept: list[tuple[int, int]] = []
+            for index in self.blocks:
+                place, scores = index.search(query, own, k, kept[k - 1][1] if len(kept) == k else -math.inf)
+                if len(place):
+                    kept = sorted(kept + [*zip(index.ids[place].tolist(), scores.tolist())], key=lambda x: (-x[1], x[0]))[:k]
+            found.append((own, query, kept))
+        if self.large:
+            whole = [(own, query.tolist(), kept) for own, query, kept in found]
+            found = self._merge(whole, (rows for part in self.large for rows in part.any_length()), k)
+        out = [(own, i, s) for own, _, kept in found for i, s in kept]
+        for huge in asked.any_length():
+            small = ([*zip(index.ids[i : i + 256].tolist(), index.vectors[i : i + 256].tolist())] for index in self.blocks for i in range(0, len(index.ids), 256))
+            met = self._merge([(own, query, []) for own, query in huge], small, k)
+            met = self._merge(met, (rows for part in self.large for rows in part.any_length()), k)
+            out += [(own, i, s) for own, _, kept in met for i, s in kept]
+        return out
+
+    @staticmethod
+    def _merge(asked: list[tuple[int, list[int], list]], chunks: Iterator[list[tuple[int, list[int]]]], k: int) -> list[tuple[int, list[int], list]]:
+        for rows in chunks:
+            asked = [(own, query, sorted(kept + exact_best(query, own, rows, k), key=lambda x: (-x[1], x[0]))[:k]) for own, query, kept in asked]
+        return asked
+
+
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64()), ("side", pa.int32()), ("beyond", pa.binary())])
+
+
+def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score) of two tables (vec_id, v, scale) from :func:`integer_vectors`.
 
-    The index is a table of blocks in the shared folder; the number of blocks follows the number of rows.
+    The number of parts follows the number of rows once they fill the parts that the cores can work on at a time.
     """
     shape = candidates.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    query_width = queries.agg(F.max(F.size("v"))).first()[0]
     spark = candidates.sparkSession
-    blocks = -(-int(shape[0]) // BLOCK_ROWS) or 1
-    query_shape = queries.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    groups = -(-int(query_shape[0]) // QUERY_ROWS) or 1
-    width = max(int(shape[1] or 0), int(query_shape[1] or 0))
-
-    def packed(rows: DataFrame, n: int, name: str) -> DataFrame:
-        # Hashing the content spreads rows evenly over blocks; equal rows are few enough to share one.
-        salted = rows.withColumn(name, F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
-        return salted.groupBy(name).agg(F.collect_list(F.struct("vec_id", "v", "scale")).alias(f"{name}_rows"))
-
-    index = materialize(packed(candidates, blocks, "block"), index_label)
-    query_blocks = packed(queries, groups, "batch").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
-        for frame in frames:
-            for block, rows, asked in zip(frame["block"], frame["block_rows"], frame["batch_rows"]):
-                if kept is None or kept[0] != block:
-                    ids, vectors, large = split_by_size(rows, width)
-                    kept = block, Index(ids, vectors), large
-                _, index, large = kept
-                ids, queries, huge = split_by_size(asked, width)
-                found: list[tuple[int, int, int]] = []
-                for own, query in zip(ids.tolist(), queries):
-                    place, scores = index.search(query, own, k)
-                    found += zip([own] * len(place), index.ids[place].tolist(), scores.tolist())
-                    if large:
-                        found += [(own, i, s) for i, s in exact_best(query.tolist(), own, large, k)]
-                if huge:
-                    everything = [*zip(index.ids.tolist(), index.vectors.tolist()), *large]
-                    found += [(own, i, s) for own, query in huge for i, s in exact_best(query, own, everything, k)]
-                out = pd.DataFrame({"query_id": [f[0] for f in found], "vec_id": [f[1] for f in found], **score_columns([f[2] for f in found])})
-                yield out.astype({"query_id": "int64", "vec_id": "int64", "side": "int32"})
-
-    # A fixed number of partitions, because adaptive execution would put several blocks into one task by their bytes.
-    met = query_blocks.join(index.repartition(partitions_for(spark, blocks, 1), "block"), "block")
-    best = met.select("block", "block_rows", "batch_rows").mapInPandas(search, "query_id long, vec_id long, score long, side int, beyond binary")
+    width = max(int(shape[1] or 0), int(query_width or 0))
+    block_rows = max(1, min(BLOCK_ROWS, PART_BYTES // (CELL_BYTES * max(width, 1))))
+    blocks = -(-int(shape[0]) // block_rows) or 1
+    held = max(1, PART_BYTES // (CELL_BYTES * max(width, 1) * block_rows))
+    parts = max(-(-blocks // held), min(blocks, 3 * spark.sparkContext.defaultParallelism))
+
+    # Hashing the place as well spreads rows evenly over parts, equal ids too.
+    place = F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(parts)).cast("int")
+    stored = candidates.select(place.alias("part"), F.lit(False).alias("asked"), "vec_id", "v", "scale")
+    probes = queries.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asked"), "vec_id", "v", "scale")
+    dealt = stored.unionByName(probes).repartitionById(parts, F.col("part")).sortWithinPartitions("asked")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = Part(width, block_rows)
+        for batch in batches:
+            stored = batch.num_rows - int(np.count_nonzero(batch.column("asked").to_numpy(zero_copy_only=False)))
+            if stored:
+                part.add(read_vectors(batch.slice(0, stored), width))
+            if stored < batch.num_rows:
+                found = part.best(read_vectors(batch.slice(stored), width), k)
+                query_id, vec_id, scores = zip(*found) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(query_id, pa.int64()), pa.array(vec_id, pa.int64()), *score_columns(list(scores))], schema=FOUND)
+
+    best = dealt.drop("part").mapInArrow(search, "query_id long, vec_id long, score long, side int, beyond binary")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("side"), F.desc("score"), F.desc("beyond"), "vec_id"))
     ranked = best.withColumn("rank", rank).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -224,6 +224,24 @@ def test_top_k_matches_brute_force(spark, monkeypatch, block, rescore, step):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_top_k_moves_vectors_and_not_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(topk, "PART_BYTES", 3 * 16 * 8 * topk.CELL_BYTES)  # three blocks to a part
+    rng = random.Random(9)
+    rows = [(i % 590, [rng.gauss(0, 1e9 if i % 50 == 3 else 0.1) for _ in range(8)]) for i in range(600)]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id"), F.col("embedding"))
+    ints = [(i, topk.integers(v, 1024)) for i, v in rows]
+    got = topk.top_k(vectors, vectors.where("vec_id % 100 = 3 and vec_id > 9 or vec_id = 20"), 5)
+    want = []
+    for q, x in ints:
+        if q % 100 == 3 and q > 9 or q == 20:
+            scores = sorted(((-sum(a * b for a, b in zip(x, y)), i) for i, y in ints if i != q))[:5]
+            want += [(q, n + 1, i, -s if -(1 << 63) <= -s < 1 << 63 else None) for n, (s, i) in enumerate(scores)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Join" not in plan  # one row a vector, whatever the number of parts
+
+
 def test_top_k_of_few_rows(spark):
     frame = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<double>")
     vectors = topk.integer_vectors(frame, F.col("vec_id"), F.col("embedding"))
