@@ -286,6 +286,86 @@ def test_exchange_ends_where_no_word_gains_by_a_move(seed):
             assert likelihood(counts, moved) <= best + 1e-6
 
 
+def mixed_texts(n=60):
+    """Colours before animals, of which most are rare; words with digits, marks and other letters; a repeated rare word."""
+    rng = random.Random(3)
+    first, second = [f"red{'abcdefghij'[i % 10]}{'klmn'[i // 10]}" for i in range(40)], [f"cat{'abcdefghij'[i % 10]}{'klmn'[i // 10]}" for i in range(40)]
+    pick = lambda words: words[min(int(rng.expovariate(0.15)), len(words) - 1)]
+    rows = [(i, " ".join(f"{pick(first)} {pick(second)}" + rng.choice(("", "", "", " x1", " end.", " äö")) for _ in range(12))) for i in range(n)]
+    return [*rows, (n, "odd odd odd catak"), (n + 1, "odd odd odd catak"), (n + 1, "odd odd odd catak"), (n + 2, None), (n + 3, "new new redak 7new"), (None, "redak new")]
+
+
+def test_every_word_is_placed_where_the_likelihood_is_largest(spark):
+    rows = mixed_texts()
+    texts = spark.createDataFrame(rows, "doc_id long, text string").select(F.coalesce("text", F.lit("")).alias("text")).repartition(3)
+    counts = brown.word_counts(texts)
+    lexicon = brown.learn(texts, counts, 8, 3, None, 20)
+    got = {r["word"]: (r["class"], r["n"]) for r in lexicon.words.collect()}
+    data, offsets = np.frombuffer("".join(t or "" for _, t in rows).encode(), np.uint8), np.cumsum([0] + [len((t or "").encode()) for _, t in rows])
+    word, form, doc = brown.tokens(data, offsets)
+    some, place = np.unique(word, return_inverse=True)
+    before, after, _ = brown.sequences(place, doc, len(rows), len(some))
+    bigrams = np.zeros((len(some) + 1, len(some) + 1))
+    np.add.at(bigrams, (before, after), 1)
+    of = np.full(len(some) + 1, lexicon.learned + brown.FORMS)
+    of[place] = lexicon.learned + form
+    core = lexicon.vocabulary.ids >= 0
+    assert core.sum() == 8 and len(got) == len(some) - 8
+    of[np.searchsorted(some, lexicon.vocabulary.words[core])] = lexicon.classes[lexicon.vocabulary.ids[core]]
+    learned = 0
+    for i, w in enumerate(some[: len(some)]):
+        if int(w.astype(np.int64)) not in got:
+            continue
+        choices = [*range(lexicon.learned), of[i]]
+        values = []
+        for c in choices:
+            moved = of.copy()
+            moved[i] = c
+            values.append(likelihood(bigrams, moved))
+        c, n = got[int(w.astype(np.int64))]
+        assert n == bigrams[i].sum() and max(values) - values[choices.index(c)] < 1e-6
+        learned += c < lexicon.learned
+    assert learned > 50  # most words are outside the core
+
+
+@pytest.mark.parametrize("head", [20, 1 << 17])
+def test_scores_use_the_classes_of_all_words(spark, head):
+    rows = mixed_texts()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = brown.score_texts(docs, F.col("doc_id"), F.col("text"), F.col("doc_id") < 62, clustered=8, classes=3, head=head).collect()
+    texts = docs.where("doc_id < 62").select(F.coalesce("text", F.lit("")).alias("text"))
+    lexicon = brown.learn(texts, brown.word_counts(texts), 8, 3, None, head)
+    of = {r["word"]: (r["class"], r["n"]) for r in lexicon.words.collect()}
+    core = lexicon.vocabulary.ids >= 0
+    of |= {int(w.astype(np.int64)): (lexicon.classes[i], n) for w, i, n in zip(lexicon.vocabulary.words[core], lexicon.vocabulary.ids[core], lexicon.vocabulary.counts[core])}
+    width, paths = lexicon.learned + brown.FORMS + 1, []
+    for _, text in rows:
+        raw = (text or "").encode()
+        word, form, _ = brown.tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])) if raw else (np.zeros(0, np.uint64), [], None)
+        paths.append([(width - 1, 0), *[of.get(int(w.astype(np.int64)), (lexicon.learned + f, 0)) for w, f in zip(word, form)], (width - 1, 0)])
+    table = np.zeros((width, width))
+    for (i, _), path in zip(rows, paths):
+        if i is not None and i < 62:
+            for (a, _), (b, _) in zip(path, path[1:]):
+                table[a, b] += 1
+    arriving, staying = table.sum(axis=0), Counter(c for c, n in of.values())
+    want = []
+    for (i, _), path in zip(rows, paths):
+        steps = sum(math.log10((table[a, b] + brown.ALPHA) / (table[a].sum() + brown.ALPHA * width)) for (a, _), (b, _) in zip(path, path[1:]))
+        formed = [(c, n) for c, n in path[1:-1] if c >= lexicon.learned]
+        steps += sum(math.log10((n + 1) / (arriving[c] + staying[c] + 1)) for c, n in formed) + sum(math.log10(n / arriving[c]) for c, n in path[1:-1] if c < lexicon.learned)
+        want.append((i, round(steps, 6)))
+    assert sorted(((r["doc_id"], round(r["score"], 6)) for r in got), key=str) == sorted(want, key=str)
+    kept = [r for r in got if r["doc_id"] is not None and r["doc_id"] < 60]
+    assert sum(r["score"] for r in kept) > 0.85 * sum(r["base_score"] for r in kept)  # 0.94 with all words outside the core in the classes of their forms
+
+
+def test_core_is_filled_where_many_words_are_equally_frequent(spark):
+    counts = spark.createDataFrame([(i, 3, 7) for i in range(50)] + [(99, 3, 900)], "word long, form int, n long")
+    vocabulary = brown.frequent_words(counts, 10, 5)
+    assert vocabulary.clustered == 5 and sorted(vocabulary.words.tolist()) == [0, 1, 2, 3, 99]
+
+
 def test_scores_without_training_texts(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     got = brown.score_texts(docs, F.col("doc_id"), F.col("text"), F.lit(False)).collect()
