@@ -360,6 +360,24 @@ def test_scores_use_the_classes_of_all_words(spark, head):
     assert sum(r["score"] for r in kept) > 0.85 * sum(r["base_score"] for r in kept)  # 0.94 with all words outside the core in the classes of their forms
 
 
+def test_words_that_go_on_over_many_batches_are_placed_as_one(spark, monkeypatch):
+    table = np.random.default_rng(2).integers(1, 50, (7, 7)).astype(float) * 1000
+    rng = np.random.default_rng(3)
+    rows = [(int(w), int(3 * 64 + rng.integers(0, 7) * 8 + rng.integers(0, 7)), int(rng.integers(1, 4))) for w in np.repeat([5, 6, 9], (40, 3000, 2))]
+    columns = [np.array(c) for c in zip(*rows)]
+    want = [*zip(*(x.tolist() for x in brown.best_places(columns[0], columns[1].astype(np.int32), columns[2], table, 2)))]
+    frame = spark.createDataFrame(rows, "word long, code int, n long").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("7", "700", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            for most in (10, 1 << 15):
+                monkeypatch.setattr(brown, "MOST_ROWS", most)
+                assert sorted(map(tuple, brown.place_words(frame, table, 2).collect())) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_core_is_filled_where_many_words_are_equally_frequent(spark):
     counts = spark.createDataFrame([(i, 3, 7) for i in range(50)] + [(99, 3, 900)], "word long, form int, n long")
     vocabulary = brown.frequent_words(counts, 10, 5)
